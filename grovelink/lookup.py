@@ -21,9 +21,14 @@ HEAVY_SHARE = 256
 
 @dataclass(frozen=True)
 class JoinLimits:
-    """``broadcast_rows``: largest two-column LONG table that may be broadcast."""
+    """Row bounds, always compared with exact counts.
+
+    ``broadcast_rows``: largest two-column LONG table that may be broadcast.
+    ``pointer_rows``: largest pointer table that one task may follow.
+    """
 
     broadcast_rows: int = 500_000
+    pointer_rows: int = 100_000
     heavy_share: int = HEAVY_SHARE
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..lookup import DEFAULT_LIMITS, JoinLimits, lookup
 from ..scratch import Scratch, Stored
-from .contraction import best_of, follow_path_min, rank_by_weight, relabel_ranked
+from .contraction import best_of, follow_pointers, rank_by_weight, relabel_ranked
 
 RUN_BITS = 40
 MAX_ROUNDS = 40
@@ -122,6 +122,7 @@ def agglomerate(
     def counts(stored: Stored) -> list[int]:
         return [stored.metrics.get(f"live_{i}") or 0 for i in range(runs)]
 
+    small_rows = limits.broadcast_rows
     start = scratch.store(vertices.select("id").distinct(), **live_counts(F.lit(True)))
     ranked = rank_by_weight(scratch, arcs.where(F.col("w").isNotNull() & ~F.isnan("w")))
     live_arcs, live_ids, alive = ranked, start.df, counts(start)
@@ -137,27 +138,30 @@ def agglomerate(
         best = best_of(
             usable.select(F.col("src").alias("id"), F.col("dst").alias("nbr"), "r")
         )
-        links = scratch.store(
-            live_ids.join(best.select("id", "nbr"), "id", "left").select(
-                "id", F.coalesce("nbr", "id").alias("ptr")
-            )
+        links = live_ids.join(best.select("id", "nbr"), "id", "left").select(
+            "id", F.coalesce("nbr", "id").alias("ptr")
         )
+        if sum(alive) > limits.pointer_rows or leader != "path_min":
+            links = scratch.store(links).df
         if leader == "path_min":
             stay = F.col("leader") == F.col("id")
-            table = follow_path_min(scratch, links.df, links.rows, limits, **live_counts(stay))
+            table = follow_pointers(
+                scratch, links, sum(alive), limits, path_min=True, **live_counts(stay)
+            )
         else:
             from .components import connected_components
 
             comps = connected_components(
-                links.df.select(F.col("id").alias("src"), F.col("ptr").alias("dst")),
-                links.df.select("id"),
+                links.select(F.col("id").alias("src"), F.col("ptr").alias("dst")),
+                links.select("id"),
                 limits,
             )
             stay = F.col("leader") == F.col("id")
             table = scratch.store(
-                links.df.withColumnRenamed("ptr", "nbr").join(
+                links.withColumnRenamed("ptr", "nbr").join(
                     comps.select("id", F.col("comp").alias("leader")), "id"
                 ),
+                small=sum(alive) <= small_rows,
                 **live_counts(stay),
             )
         now = counts(table)
@@ -176,7 +180,8 @@ def agglomerate(
         done, live_arcs = live_arcs, scratch.store(
             merged.where(F.col("src") != F.col("dst"))
             .groupBy("src", "dst")
-            .agg(F.min("r").alias("r"), F.min_by("w", "r").alias("w"))
+            .agg(F.min("r").alias("r"), F.min_by("w", "r").alias("w")),
+            small=live_arcs.rows <= small_rows,
         )
         scratch.drop(done)
         live_ids = table.df.where(F.col("leader") == F.col("id")).select("id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..lookup import DEFAULT_LIMITS, JoinLimits, lookup
 from ..scratch import Scratch
-from .contraction import follow_to_root, relabel_ranked
+from .contraction import follow_pointers, relabel_ranked
 
 
 def connected_components(
@@ -34,19 +34,25 @@ def connected_components(
                 )
             ).alias("_e")
         ).select("_e.*")
-        links = scratch.store(
-            ends.groupBy("id").agg(F.min("nbr").alias("_n")).select(
-                "id", F.least("id", "_n").alias("ptr")
-            )
+        # a round has at most two vertices per edge
+        small = 2 * live.rows <= limits.pointer_rows
+        links = (
+            ends.groupBy("id")
+            .agg(F.min("nbr").alias("_n"))
+            .select("id", F.least("id", "_n").alias("ptr"))
         )
-        roots = follow_to_root(scratch, links.df, links.rows, limits)
+        bound = 2 * live.rows
+        if not small:
+            stored = scratch.store(links)
+            links, bound = stored.df, stored.rows
+        roots = follow_pointers(scratch, links, bound, limits, path_min=True)
         maps.append(roots)
-        merged = relabel_ranked(live.df, live.rows, ("a", "b"), roots, "ptr", limits)
+        merged = relabel_ranked(live.df, live.rows, ("a", "b"), roots, "leader", limits)
         lo, hi = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         done, live = live, scratch.store(
-            merged.where(F.col("a") != F.col("b")).select(lo, hi).distinct()
+            merged.where(F.col("a") != F.col("b")).select(lo, hi).distinct(), small=small
         )
-        scratch.drop(done, links)
+        scratch.drop(done)
 
     spark = edges.sparkSession
     comps = spark.createDataFrame([], "id long, comp long")
@@ -54,9 +60,13 @@ def connected_components(
         # the maps shrink from round to round, so they are composed from the last one back
         whole = maps[-1]
         for table in reversed(maps[:-1]):
-            up = lookup(table.df, table.rows, "ptr", whole.df, whole.rows, {"ptr": "_up"}, limits)
-            whole = scratch.store(up.select("id", F.coalesce("_up", "ptr").alias("ptr")))
-        comps = whole.df.select("id", F.col("ptr").alias("comp"))
+            base, value = table.df.select("id", "leader"), {"leader": "_up"}
+            up = lookup(base, table.rows, "leader", whole.df, whole.rows, value, limits)
+            whole = scratch.store(
+                up.select("id", F.coalesce("_up", "leader").alias("leader")),
+                small=table.rows <= limits.broadcast_rows,
+            )
+        comps = whole.df.select("id", F.col("leader").alias("comp"))
     alone = loops.distinct() if vertices is None else loops.union(vertices.select("id")).distinct()
     alone = alone.join(comps, "id", "left_anti").select("id", F.col("id").alias("comp"))
     return comps.unionByName(alone)

@@ -7,11 +7,15 @@ ties by id" is a plain ``min`` of a LONG with map-side partial aggregation.
 
 from __future__ import annotations
 
+from typing import Iterator, Tuple
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lookup import DEFAULT_LIMITS, JoinLimits, lookup
 from ..scratch import Scratch, Stored
+from . import kernels
 
 
 def rank_by_weight(scratch: Scratch, edges: DataFrame) -> Stored:
@@ -49,56 +53,73 @@ def relabel_ranked(
     return edges
 
 
-def _double(df: DataFrame, rows: int, limits: JoinLimits) -> DataFrame:
-    up = lookup(df, rows, "ptr", df, rows, {"ptr": "_up"}, limits)
-    to = F.coalesce("_up", "ptr")
-    return up.select("id", to.alias("ptr"), (to != F.col("ptr")).cast("long").alias("_moved"))
+def _follow_small(links: DataFrame, path_min: bool) -> DataFrame:
+    """(id, nbr, leader) of a pointer table whose row count was checked to be small."""
 
+    def follow(
+        key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, nbr = table.column("id").to_numpy(), table.column("ptr").to_numpy()
+        leader = kernels.follow_pointers(ids, nbr, path_min)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(nbr), pa.array(leader)], names=["id", "nbr", "leader"]
+        )
 
-def follow_to_root(scratch: Scratch, links: DataFrame, rows: int, limits: JoinLimits) -> Stored:
-    """links(id, ptr) of a forest whose roots point at themselves -> (id, ptr = root)."""
-    while True:
-        step = _double(links, rows, limits)
-        if rows <= limits.broadcast_rows:
-            step = _double(step.drop("_moved"), rows, limits)
-        table = scratch.store(step, hide=("_moved",), moved=F.sum("_moved"))
-        if not table.metrics.get("moved"):
-            return table
-        links, rows = table.df, table.rows
+    one = links.withColumn("_one", F.lit(0)).groupBy("_one")
+    return one.applyInArrow(follow, "id long, nbr long, leader long")
 
 
-def _double_min(df: DataFrame, rows: int, limits: JoinLimits) -> DataFrame:
-    far = lookup(df, rows, "ptr", df, rows, {"ptr": "_ptr", "m": "_m"}, limits)
-    m = F.least("m", F.coalesce("_m", "ptr"))
-    return far.select(
+def _break_pairs(links: DataFrame) -> DataFrame:
+    """Let the smaller of two vertices that point at each other point at itself."""
+    other = links.select(F.col("id").alias("_id"), F.col("ptr").alias("_ptr"))
+    mutual = (F.col("ptr") == F.col("_id")) & (F.col("id") == F.col("_ptr"))
+    return links.join(other, mutual, "left").select(
         "id",
-        F.coalesce("_ptr", "ptr").alias("ptr"),
-        m.alias("m"),
-        (m < F.col("m")).cast("long").alias("_moved"),
+        F.when(F.col("_id").isNotNull(), F.least("id", "ptr")).otherwise(F.col("ptr")).alias("ptr"),
     )
 
 
-def follow_path_min(
-    scratch: Scratch, links: DataFrame, rows: int, limits: JoinLimits, **metrics
-) -> Stored:
-    """links(id, ptr) of any self-map -> (id, nbr = ptr, leader).
+def _step_root(df: DataFrame, rows: int, limits: JoinLimits) -> DataFrame:
+    up = lookup(df, rows, "leader", df, rows, {"leader": "_up"}, limits)
+    to = F.coalesce("_up", "leader")
+    moved = (to != F.col("leader")).cast("long").alias("_moved")
+    return up.select("id", "nbr", to.alias("leader"), moved)
 
-    The leader is the smallest id on the forward path. Doubling keeps the
-    minimum over the next 2^k steps; once no minimum changes, none ever will.
+
+def _step_min(df: DataFrame, rows: int, limits: JoinLimits) -> DataFrame:
+    far = lookup(df, rows, "ptr", df, rows, {"ptr": "_ptr", "leader": "_m"}, limits)
+    m = F.least("leader", F.coalesce("_m", "ptr"))
+    moved = (m < F.col("leader")).cast("long").alias("_moved")
+    return far.select("id", "nbr", F.coalesce("_ptr", "ptr").alias("ptr"), m.alias("leader"), moved)
+
+
+def follow_pointers(
+    scratch: Scratch, links: DataFrame, rows: int, limits: JoinLimits, path_min: bool, **metrics
+) -> Stored:
+    """links(id, ptr) -> (id, nbr = ptr, leader).
+
+    With ``path_min`` the leader is the smallest id on the forward path of any
+    self-map; otherwise the links form trees that end in a loop or in two vertices
+    that point at each other, and the leader is that vertex or the smaller of
+    the two. Pointer doubling by self-joins covers 2^k steps after k
+    jobs; once nothing changes in a step, nothing ever will. ``rows`` bounds the
+    table; below ``limits.pointer_rows`` one bounded task does the following.
     """
-    state = links.select("id", F.col("ptr").alias("nbr"), "ptr", F.col("id").alias("m"))
-    first = state
+    if rows <= limits.pointer_rows:
+        return scratch.store(_follow_small(links, path_min), small=True, **metrics)
+    if not path_min:
+        links = scratch.store(_break_pairs(links)).df
+    state = links.select("id", F.col("ptr").alias("nbr"), "ptr")
+    state = state.withColumn("leader", F.col("id" if path_min else "ptr"))
+    last = None
     while True:
-        core = state.select("id", "ptr", "m")
-        step = _double_min(core, rows, limits)
-        if rows <= limits.broadcast_rows:
-            step = _double_min(step.drop("_moved"), rows, limits)
-        table = scratch.store(step, hide=("_moved",), moved=F.sum("_moved"))
+        step = (_step_min if path_min else _step_root)(state, rows, limits)
+        table = scratch.store(step, hide=("_moved",), moved=F.sum("_moved"), **metrics)
+        scratch.drop(last)
         if not table.metrics.get("moved"):
-            break
-        state, rows = table.df, table.rows
-    done = lookup(first.select("id", "nbr"), rows, "id", table.df, table.rows, {"m": "leader"}, limits)
-    return scratch.store(done, **metrics)
+            return table
+        state, rows, last = table.df, table.rows, table
 
 
 # --- the single steps as operators on plain tables ---------------------------------
@@ -141,7 +162,7 @@ def find_leaders(
         raise ValueError(f"unknown leader mode {mode!r}")
     scratch = Scratch(best.sparkSession, "leaders")
     links = scratch.store(best.select("id", F.col("nbr").alias("ptr")))
-    done = follow_path_min(scratch, links.df, links.rows, limits)
+    done = follow_pointers(scratch, links.df, links.rows, limits, path_min=True)
     return done.df.select("id", "leader")
 
 

@@ -33,7 +33,7 @@ from ..lookup import DEFAULT_LIMITS, JoinLimits
 from ..schema import EDGE_SCHEMA, canonical_edges, distinct_vertices
 from ..scratch import Scratch, Stored
 from . import kernels
-from .contraction import best_of, both_ends, follow_to_root, rank_by_weight, relabel_ranked
+from .contraction import best_of, both_ends, follow_pointers, rank_by_weight, relabel_ranked
 from .pairs import BLOCK_ROWS, complete_forest_candidates
 
 BUCKET_EDGES = 1_000_000
@@ -165,36 +165,22 @@ def contraction_forest(
     )
     picked = None
     while live.rows > finish_edges:
-        best = scratch.store(best_of(both_ends(live.df)))
+        small = live.rows <= limits.broadcast_rows
+        best = scratch.store(best_of(both_ends(live.df)), small=small)
         chosen = best.df.select("r")
         picked = chosen if picked is None else picked.union(chosen)
-        # two vertices that chose each other: the smaller id becomes the root
-        back = best.df.join(
-            best.df.select(
-                F.col("id").alias("_id"), F.col("nbr").alias("_nbr"), F.col("r").alias("_r")
-            ),
-            (F.col("r") == F.col("_r")) & (F.col("id") == F.col("_nbr")),
-            "left",
-        )
-        links = back.select(
-            "id",
-            F.when(F.col("_id").isNotNull() & (F.col("id") < F.col("nbr")), F.col("id"))
-            .otherwise(F.col("nbr"))
-            .alias("ptr"),
-        )
-        if best.rows > limits.broadcast_rows:
-            links = scratch.store(links).df
-        roots = follow_to_root(scratch, links, best.rows, limits)
-        merged = relabel_ranked(live.df, live.rows, ("a", "b"), roots, "ptr", limits)
+        links = best.df.select("id", F.col("nbr").alias("ptr"))
+        roots = follow_pointers(scratch, links, best.rows, limits, path_min=False)
+        merged = relabel_ranked(live.df, live.rows, ("a", "b"), roots, "leader", limits)
         lo, hi = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         done, live = live, scratch.store(
             merged.where(F.col("a") != F.col("b"))
             .select(lo, hi, "r")
             .groupBy("a", "b")
-            .agg(F.min("r").alias("r"))
+            .agg(F.min("r").alias("r")),
+            small=small,
         )
-        if done.path:
-            scratch.drop(done)
+        scratch.drop(done)
     if live.rows:
         rest = live.df.select(
             F.col("a").alias("src"), F.col("b").alias("dst"), F.col("r").alias("w")

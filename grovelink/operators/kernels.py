@@ -142,3 +142,31 @@ def forest_mask(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> np.ndarray:
         live = live[a[live] != b[live]]
     keep[order] = chosen
     return keep
+
+
+def follow_pointers(ids: np.ndarray, ptr: np.ndarray, path_min: bool) -> np.ndarray:
+    """Smallest id on the forward path of each pointer, or the root it ends in.
+
+    An id that is pointed at but has no row of its own ends its path.
+    """
+    order = np.argsort(ids)
+    ids = ids[order]
+    target = ptr[order]
+    at = np.minimum(np.searchsorted(ids, target), len(ids) - 1)
+    known = ids[at] == target
+    hop = np.where(known, at, np.arange(len(ids)))
+    if path_min:
+        lead = np.minimum(ids, target)
+    else:
+        here = np.arange(len(ids))
+        hop = np.where((hop[hop] == here) & (here < hop), here, hop)
+        lead = np.where(known, ids[hop], target)
+    while True:
+        nxt = np.minimum(lead, lead[hop]) if path_min else lead[hop]
+        hop = hop[hop]
+        if np.array_equal(nxt, lead):
+            break
+        lead = nxt
+    out = np.empty_like(lead)
+    out[order] = lead
+    return out

@@ -3,7 +3,8 @@
 Iterative operators cut their lineage by writing a Parquet table to the shared
 folder that the cluster names in ``spark.checkpoint.dir`` and reading it back.
 Such a table outlives any executor, is columnar (later steps read only the
-columns they need) and is computed once.
+columns they need), is computed once, and has true size statistics: a chain of
+``checkpoint()`` frames instead multiplies join estimates from round to round.
 """
 
 from __future__ import annotations
@@ -50,10 +51,13 @@ class Scratch:
         self.folder = f"{scratch_root(spark).rstrip('/')}/grovelink/{name}-{uuid.uuid4().hex}"
         self._next = 0
 
-    def store(self, df: DataFrame, hide: tuple[str, ...] = (), **metrics: Column) -> Stored:
+    def store(
+        self, df: DataFrame, hide: tuple[str, ...] = (), small: bool = False, **metrics: Column
+    ) -> Stored:
         """Write ``df`` once; row count and ``metrics`` are observed by the same job.
 
-        Columns in ``hide`` feed the metrics only and are not written.
+        Columns in ``hide`` feed the metrics only and are not written. ``small``
+        says that the caller knows a low bound on the rows: one file is enough.
         """
         self._next += 1
         path = f"{self.folder}/{self._next:04d}"
@@ -61,10 +65,10 @@ class Scratch:
         watched = df.observe(
             seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]
         )
-        written = watched.drop(*hide) if hide else watched
-        written.write.parquet(path)
+        kept = watched.drop(*hide) if hide else watched
+        (kept.coalesce(1) if small else kept).write.parquet(path)
+        table = self.spark.read.schema(kept.schema).parquet(path)
         values = dict(seen.get)
-        table = self.spark.read.schema(written.schema).parquet(path)
         rows = values.pop("rows", None)
         if rows is None:
             rows = table.count()
@@ -75,6 +79,6 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            if table is not None and table.path.startswith(self.folder):
+            if table is not None and table.path and table.path.startswith(self.folder):
                 path = jvm.org.apache.hadoop.fs.Path(table.path)
                 path.getFileSystem(conf).delete(path, True)
