@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -49,27 +51,27 @@ def make_vertices(
     )
 
 
-def _moments(vertices: DataFrame) -> DataFrame:
-    """One row (n, mean, sd): per-feature mean and population standard deviation."""
+def _moments(vertices: DataFrame) -> tuple[list[float], list[float]]:
+    """Per-feature mean and population standard deviation: two numbers per dimension."""
     summary = Summarizer.metrics("count", "mean", "variance").summary(
         array_to_vector(F.col("features"))
     )
-    return vertices.agg(summary.alias("_s")).select(
-        F.col("_s.count").alias("n"),
-        vector_to_array("_s.mean").alias("mean"),
-        F.transform(
-            vector_to_array("_s.variance"),
-            lambda v: F.sqrt(v * (F.col("_s.count") - 1) / F.col("_s.count")),
-        ).alias("sd"),
-    )
+    row = vertices.agg(summary.alias("_s")).first()["_s"]
+    n = row["count"]
+    if not n:
+        return [], []
+    return list(row["mean"]), [math.sqrt(v * (n - 1) / n) for v in row["variance"]]
+
+
+def _literals(values: list[float]):
+    return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
 
 
 def standardize(vertices: DataFrame) -> DataFrame:
     """Zero mean and unit population deviation per feature; constant features become 0."""
-    moments = _moments(vertices)
-    mean, sd = moments.select("mean").scalar(), moments.select("sd").scalar()
-    centred = F.zip_with("features", mean, lambda x, m: x - m)
-    scaled = F.zip_with(centred, sd, lambda x, s: F.when(s == 0.0, 0.0).otherwise(x / s))
+    mean, sd = _moments(vertices)
+    centred = F.zip_with("features", _literals(mean), lambda x, m: x - m)
+    scaled = F.zip_with(centred, _literals(sd), lambda x, s: F.when(s == 0.0, 0.0).otherwise(x / s))
     return vertices.withColumn("features", scaled)
 
 
@@ -80,7 +82,7 @@ def first_two(vertices: DataFrame) -> DataFrame:
 
 def pca_project(vertices: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
     """The top ``k`` principal components of the centred features, and the variance shares."""
-    mean = _moments(vertices).select("mean").scalar()
+    mean = _literals(_moments(vertices)[0])
     centred = vertices.withColumn(
         "_v", array_to_vector(F.zip_with("features", mean, lambda x, m: x - m))
     )

@@ -14,10 +14,11 @@ POLYGON_SCHEMA = (
 
 
 def read_polygon_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, arcs) of struct-of-arrays JSON files; weight is the 2-D distance.
+    """(vertices, arcs) of struct-of-arrays JSON files, one graph per file.
 
-    The arrays of a file sit in one row, so the ends of an edge are looked up in
-    place. The stored orientation of an edge is kept.
+    The weight is the 2-D distance of the ends, the stored orientation is kept.
+    All arrays of a graph sit in one row, so ends are looked up and repeated
+    pairs removed in place, without any shuffle.
     """
     doc = spark.read.schema(POLYGON_SCHEMA).json(path, multiLine=True)
     upto = F.slice(F.arrays_zip("x", "y"), F.lit(1), F.col("n").cast("int"))
@@ -26,20 +27,17 @@ def read_polygon_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     )
     pairs = F.slice(F.arrays_zip("edge_i", "edge_j"), F.lit(1), F.col("m").cast("int"))
 
-    def at(axis: str, index):
-        return F.get(F.col(axis), index.cast("int"))
-
     def edge(e):
-        dx = at("x", e["edge_i"]) - at("x", e["edge_j"])
-        dy = at("y", e["edge_i"]) - at("y", e["edge_j"])
+        dx, dy = (
+            F.get(F.col(axis), e["edge_i"].cast("int")) - F.get(F.col(axis), e["edge_j"].cast("int"))
+            for axis in ("x", "y")
+        )
         return F.struct(
-            e["edge_i"].alias("src"),
-            e["edge_j"].alias("dst"),
-            F.sqrt(dy * dy + dx * dx).alias("w"),
+            e["edge_i"].alias("src"), e["edge_j"].alias("dst"), F.sqrt(dy * dy + dx * dx).alias("w")
         )
 
-    arcs = doc.select(F.explode(F.transform(pairs, edge)).alias("_e")).select("_e.*")
-    return vertices, arcs.groupBy("src", "dst").agg(F.min("w").alias("w"))
+    arcs = doc.select(F.explode(F.array_distinct(F.transform(pairs, edge))).alias("_e"))
+    return vertices, arcs.select("_e.src", "_e.dst", "_e.w")
 
 
 def read_edge_tsv(
