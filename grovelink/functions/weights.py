@@ -30,10 +30,19 @@ def zipf_cdf(size: int = ZIPF_TABLE) -> list[float]:
     return table
 
 
+def _passed(bounds: list[float], value: Column, inclusive: bool) -> Column:
+    """How many of the ascending bounds lie below ``value``, evaluating ``value`` once."""
+    table = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
+    count = F.transform(
+        F.array(value),
+        lambda x: F.size(F.filter(table, lambda b: (b <= x) if inclusive else (b < x))),
+    )
+    return count[0]
+
+
 def zipf2(u: Column) -> Column:
     """Zipf(2) by inversion: exact table for small values, tail expansion beyond it."""
-    table = F.array(*[F.lit(v) for v in zipf_cdf()])
-    below = F.size(F.filter(table, lambda c: c < u)).cast("double") + 1.0
+    below = _passed(zipf_cdf(), u, inclusive=False).cast("double") + 1.0
     # sum over j > k of 1/j^2 is 1/(k + 1/2) up to O(k^-3)
     tail = F.ceil(F.lit(1.0) / (ZETA_2 * (F.lit(1.0) - u)) - 0.5).cast("double")
     return F.when(below <= ZIPF_TABLE, below).otherwise(F.greatest(tail, F.lit(ZIPF_TABLE + 1.0)))
@@ -100,12 +109,8 @@ def bucket_bounds(
 def bucket_number(w: Column, bounds: list[tuple[float, float]]) -> Column:
     """1-based bucket of ``w``; NULL outside all buckets."""
     last = bounds[-1][1]
-    inner = [hi for _, hi in bounds[:-1]]
-    if inner:
-        # bounds ascend, so the bucket is one more than the count of passed upper bounds
-        passed = F.size(F.filter(F.array(*[F.lit(h) for h in inner]), lambda h: h <= w))
-    else:
-        passed = F.lit(0)
+    # bounds ascend, so the bucket is one more than the count of passed upper bounds
+    passed = _passed([hi for _, hi in bounds[:-1]], w, inclusive=True)
     return F.when((w >= 0.0) & (w < last), (passed + 1).cast("int"))
 
 

@@ -20,19 +20,24 @@ HEAVY_SHARE = 256
 
 
 @dataclass(frozen=True)
-class JoinLimits:
+class Limits:
     """Row bounds, always compared with exact counts.
 
     ``broadcast_rows``: largest two-column LONG table that may be broadcast.
     ``pointer_rows``: largest pointer table that one task may follow.
+    ``finish_edges``: largest remainder of edges that one task may finish.
+    Beyond them everything is a shuffle of all tasks.
     """
 
     broadcast_rows: int = 500_000
     pointer_rows: int = 100_000
+    finish_edges: int = 100_000
     heavy_share: int = HEAVY_SHARE
 
 
-DEFAULT_LIMITS = JoinLimits()
+DEFAULT_LIMITS = Limits()
+# the path that tables of any size take
+SHUFFLE_ONLY = Limits(broadcast_rows=0, pointer_rows=0, finish_edges=0)
 
 
 def lookup(
@@ -42,7 +47,7 @@ def lookup(
     table: DataFrame,
     table_rows: int,
     values: dict[str, str],
-    limits: JoinLimits = DEFAULT_LIMITS,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Left-join ``table`` (unique on ``id``) to ``left`` on ``left[key] = table.id``.
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lookup import DEFAULT_LIMITS, JoinLimits, lookup
+from ..lookup import DEFAULT_LIMITS, Limits, lookup
 from ..scratch import Scratch, Stored
 from .contraction import best_of, follow_pointers, rank_by_weight, relabel_ranked
 
@@ -48,7 +48,7 @@ class Hierarchy:
     merges: DataFrame
     graph: DataFrame
     scratch: Scratch
-    limits: JoinLimits
+    limits: Limits
 
     def _run(self, id_col: Column) -> Column:
         return run_of(id_col) if self.runs > 1 else F.lit(0)
@@ -100,7 +100,7 @@ def agglomerate(
     leader: str = "path_min",
     max_rounds: int = MAX_ROUNDS,
     runs: int = 1,
-    limits: JoinLimits = DEFAULT_LIMITS,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> Hierarchy:
     """Merge every vertex with its best neighbour's leader, round by round.
 

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lookup import DEFAULT_LIMITS, JoinLimits, lookup
+from ..lookup import DEFAULT_LIMITS, Limits, lookup
 from ..schema import edges_to_arcs
 from ..scratch import Scratch
 from .components import connected_components
@@ -52,7 +52,7 @@ def dbscan(
     eps: float,
     min_points: int = DBSCAN_MIN_POINTS,
     metric: str = "euclidean",
-    limits: JoinLimits = DEFAULT_LIMITS,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """(id, cluster): density clusters named by their smallest core id, noise is -1.
 

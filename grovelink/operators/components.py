@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Iterator, Tuple
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lookup import DEFAULT_LIMITS, JoinLimits, lookup
+from ..lookup import DEFAULT_LIMITS, Limits, lookup
 from ..scratch import Scratch
+from . import kernels
 from .contraction import follow_pointers, relabel_ranked
 
 
+def _end(own: str, other: str) -> Column:
+    return F.struct(F.col(own).alias("id"), F.col(other).alias("nbr"))
+
+
+def _finish(pairs: DataFrame) -> DataFrame:
+    """(id, leader) of a remainder of edges whose count was checked to be small."""
+
+    def label(
+        key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, leader = kernels.component_labels(
+            table.column("a").to_numpy(), table.column("b").to_numpy()
+        )
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(leader)], names=["id", "leader"])
+
+    one = pairs.withColumn("_one", F.lit(0)).groupBy("_one")
+    return one.applyInArrow(label, "id long, leader long")
+
+
 def connected_components(
-    edges: DataFrame, vertices: DataFrame | None = None, limits: JoinLimits = DEFAULT_LIMITS
+    edges: DataFrame, vertices: DataFrame | None = None, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """components(id, comp): ``comp`` is the smallest id of the component.
 
     Every vertex points at its smallest neighbour if that is smaller than
     itself; pointers are followed to a root and the graph is contracted, until
-    no edge is left. Of two rounds, each at least halves the live vertices that
-    still have edges. ``vertices`` adds isolated vertices.
+    few enough edges are left for one bounded task. Any two rounds at least
+    halve the live vertices. ``vertices`` adds isolated vertices.
     """
     scratch = Scratch(edges.sparkSession, "components")
     pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
@@ -26,33 +50,25 @@ def connected_components(
     live = scratch.store(pairs.where(F.col("a") != F.col("b")).distinct())
     maps = []
     while live.rows:
-        ends = live.df.select(
-            F.explode(
-                F.array(
-                    F.struct(F.col("a").alias("id"), F.col("b").alias("nbr")),
-                    F.struct(F.col("b").alias("id"), F.col("a").alias("nbr")),
-                )
-            ).alias("_e")
-        ).select("_e.*")
-        # a round has at most two vertices per edge
-        small = 2 * live.rows <= limits.pointer_rows
+        if live.rows <= limits.finish_edges:
+            maps.append(scratch.store(_finish(live.df), small=True))
+            break
+        # every vertex points at its smallest neighbour if that is smaller than itself
         links = (
-            ends.groupBy("id")
-            .agg(F.min("nbr").alias("_n"))
+            live.df.select(F.explode(F.array(_end("a", "b"), _end("b", "a"))).alias("_e"))
+            .groupBy(F.col("_e.id").alias("id"))
+            .agg(F.min("_e.nbr").alias("_n"))
             .select("id", F.least("id", "_n").alias("ptr"))
         )
-        bound = 2 * live.rows
-        if not small:
-            stored = scratch.store(links)
-            links, bound = stored.df, stored.rows
-        roots = follow_pointers(scratch, links, bound, limits, path_min=True)
+        table = scratch.store(links)
+        roots = follow_pointers(scratch, table.df, table.rows, limits, path_min=True)
         maps.append(roots)
         merged = relabel_ranked(live.df, live.rows, ("a", "b"), roots, "leader", limits)
         lo, hi = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
         done, live = live, scratch.store(
-            merged.where(F.col("a") != F.col("b")).select(lo, hi).distinct(), small=small
+            merged.where(F.col("a") != F.col("b")).select(lo, hi).distinct()
         )
-        scratch.drop(done)
+        scratch.drop(done, table)
 
     spark = edges.sparkSession
     comps = spark.createDataFrame([], "id long, comp long")

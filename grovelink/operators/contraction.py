@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lookup import DEFAULT_LIMITS, JoinLimits, lookup
+from ..lookup import DEFAULT_LIMITS, Limits, lookup
 from ..scratch import Scratch, Stored
 from . import kernels
 
@@ -44,7 +44,7 @@ def best_of(ends: DataFrame) -> DataFrame:
 
 
 def relabel_ranked(
-    edges: DataFrame, rows: int, ends: tuple[str, str], table: Stored, value: str, limits: JoinLimits
+    edges: DataFrame, rows: int, ends: tuple[str, str], table: Stored, value: str, limits: Limits
 ) -> DataFrame:
     """Replace both ends by ``table[value]``, ends without a row keep their id."""
     for end in ends:
@@ -80,14 +80,14 @@ def _break_pairs(links: DataFrame) -> DataFrame:
     )
 
 
-def _step_root(df: DataFrame, rows: int, limits: JoinLimits) -> DataFrame:
+def _step_root(df: DataFrame, rows: int, limits: Limits) -> DataFrame:
     up = lookup(df, rows, "leader", df, rows, {"leader": "_up"}, limits)
     to = F.coalesce("_up", "leader")
     moved = (to != F.col("leader")).cast("long").alias("_moved")
     return up.select("id", "nbr", to.alias("leader"), moved)
 
 
-def _step_min(df: DataFrame, rows: int, limits: JoinLimits) -> DataFrame:
+def _step_min(df: DataFrame, rows: int, limits: Limits) -> DataFrame:
     far = lookup(df, rows, "ptr", df, rows, {"ptr": "_ptr", "leader": "_m"}, limits)
     m = F.least("leader", F.coalesce("_m", "ptr"))
     moved = (m < F.col("leader")).cast("long").alias("_moved")
@@ -95,7 +95,7 @@ def _step_min(df: DataFrame, rows: int, limits: JoinLimits) -> DataFrame:
 
 
 def follow_pointers(
-    scratch: Scratch, links: DataFrame, rows: int, limits: JoinLimits, path_min: bool, **metrics
+    scratch: Scratch, links: DataFrame, rows: int, limits: Limits, path_min: bool, **metrics
 ) -> Stored:
     """links(id, ptr) -> (id, nbr = ptr, leader).
 
@@ -145,7 +145,7 @@ def best_neighbours(arcs: DataFrame, vertices: DataFrame | None = None) -> DataF
 
 
 def find_leaders(
-    best: DataFrame, mode: str = "path_min", limits: JoinLimits = DEFAULT_LIMITS
+    best: DataFrame, mode: str = "path_min", limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """leaders(id, leader) of a best-neighbour map (id, nbr).
 
@@ -166,7 +166,7 @@ def find_leaders(
     return done.df.select("id", "leader")
 
 
-def relabel(arcs: DataFrame, leaders: DataFrame, limits: JoinLimits = DEFAULT_LIMITS) -> DataFrame:
+def relabel(arcs: DataFrame, leaders: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Replace both ends of every arc by their leaders."""
     scratch = Scratch(arcs.sparkSession, "relabel")
     stored, table = scratch.store(arcs), scratch.store(leaders.select("id", "leader"))
@@ -178,7 +178,7 @@ def drop_internal(arcs: DataFrame) -> DataFrame:
     return arcs.where(F.col("src") != F.col("dst"))
 
 
-def contract(arcs: DataFrame, leaders: DataFrame, limits: JoinLimits = DEFAULT_LIMITS) -> DataFrame:
+def contract(arcs: DataFrame, leaders: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Arcs between leaders; parallel arcs become one of the smallest weight."""
     return (
         drop_internal(relabel(arcs, leaders, limits))

@@ -6,7 +6,7 @@ Three pieces, all exact under the total order (w, src, dst):
   own spanning forest; an edge dropped there closes a cycle as its heaviest
   edge and can never be in the answer;
 * contraction rounds on DataFrames, for whatever is left, of any size;
-* once a *counted* remainder is below ``FINISH_EDGES`` (a constant), one bounded
+* once a *counted* remainder is below ``finish_edges`` (a constant), one bounded
   bucket finishes it.
 """
 
@@ -29,7 +29,7 @@ from ..functions.scalars import (
     next_exponent,
     partition_count,
 )
-from ..lookup import DEFAULT_LIMITS, JoinLimits
+from ..lookup import DEFAULT_LIMITS, Limits
 from ..schema import EDGE_SCHEMA, canonical_edges, distinct_vertices
 from ..scratch import Scratch, Stored
 from . import kernels
@@ -37,7 +37,6 @@ from .contraction import best_of, both_ends, follow_pointers, rank_by_weight, re
 from .pairs import BLOCK_ROWS, complete_forest_candidates
 
 BUCKET_EDGES = 1_000_000
-FINISH_EDGES = 100_000
 MAX_TASKS = 20_000
 
 
@@ -130,7 +129,7 @@ def sparsify_hash(edges: DataFrame, n: int, m: int, epsilon: float, salt) -> tup
 
 
 def sparsify_vertex_partition(
-    edges: DataFrame, n: int, m: int, c: float, epsilon: float, salt
+    edges: DataFrame, n: int, m: int, c: float, epsilon: float, salt, limits: Limits
 ) -> tuple[DataFrame, int]:
     """One round over pairs of vertex parts: each bucket is dense, so most edges go.
 
@@ -138,25 +137,20 @@ def sparsify_vertex_partition(
     BUCKET_EDGES edges on average.
     """
     k = max(partition_count(n, c, epsilon), math.ceil(math.sqrt(2.0 * m / BUCKET_EDGES)))
-    if m <= FINISH_EDGES and c <= epsilon:
-        k = 1
-    elif m > FINISH_EDGES:
+    if m > limits.finish_edges:
         k = max(k, 2)
     pairs = k * (k + 1) // 2
     return bucket_forests(edges, vertex_pair_bucket(k, salt), pairs), pairs
 
 
 def contraction_forest(
-    scratch: Scratch,
-    edges: DataFrame,
-    limits: JoinLimits = DEFAULT_LIMITS,
-    finish_edges: int = FINISH_EDGES,
+    scratch: Scratch, edges: DataFrame, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """Minimum spanning forest by contraction rounds on DataFrames.
 
     Each round every live vertex picks its first edge in rank order, picked
     edges enter the forest, and the graph is contracted along them, so the live
-    vertices at least halve. A remainder of at most ``finish_edges`` edges is
+    vertices at least halve. A remainder of at most ``limits.finish_edges`` is
     finished by one bounded bucket.
     """
     ranked = rank_by_weight(scratch, edges)
@@ -164,7 +158,7 @@ def contraction_forest(
         ranked.df.select(F.col("src").alias("a"), F.col("dst").alias("b"), "r"), ranked.rows, ""
     )
     picked = None
-    while live.rows > finish_edges:
+    while live.rows > limits.finish_edges:
         small = live.rows <= limits.broadcast_rows
         best = scratch.store(best_of(both_ends(live.df)), small=small)
         chosen = best.df.select("r")
@@ -202,8 +196,7 @@ def minimum_spanning_forest(
     epsilon: float = 0.125,
     sparsifier: str | None = "vertex",
     seed: int = 0,
-    limits: JoinLimits = DEFAULT_LIMITS,
-    finish_edges: int = FINISH_EDGES,
+    limits: Limits = DEFAULT_LIMITS,
     canonical: bool = False,
     warn: bool = False,
 ) -> Forest:
@@ -226,7 +219,9 @@ def minimum_spanning_forest(
         if sparsifier == "hash":
             kept, buckets = sparsify_hash(live.df, n, live.rows, epsilon, salt)
         else:
-            kept, buckets = sparsify_vertex_partition(live.df, n, live.rows, c, epsilon, salt)
+            kept, buckets = sparsify_vertex_partition(
+                live.df, n, live.rows, c, epsilon, salt, limits
+            )
         done, live = live, scratch.store(kept)
         scratch.drop(done)
         rounds.append((done.rows, live.rows))
@@ -236,8 +231,10 @@ def minimum_spanning_forest(
         c = next_exponent(c, epsilon)
     if solved:
         result = live.df
+    elif live.rows <= limits.finish_edges:
+        result = bucket_forests(live.df, F.lit(0), 1)
     else:
-        result = contraction_forest(scratch, live.df, limits, finish_edges)
+        result = contraction_forest(scratch, live.df, limits)
     forest = Forest(result, rounds, n)
     if warn:
         stored = scratch.store(result)
@@ -252,8 +249,7 @@ def complete_forest(
     metric: str = "euclidean",
     epsilon: float = 0.125,
     block_rows: int = BLOCK_ROWS,
-    limits: JoinLimits = DEFAULT_LIMITS,
-    finish_edges: int = FINISH_EDGES,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> Forest:
     """Minimum spanning forest of the complete graph over points.
 
@@ -267,7 +263,6 @@ def complete_forest(
         vertices,
         epsilon,
         limits=limits,
-        finish_edges=finish_edges,
         canonical=True,
     )
     return forest

@@ -170,3 +170,21 @@ def follow_pointers(ids: np.ndarray, ptr: np.ndarray, path_min: bool) -> np.ndar
     out = np.empty_like(lead)
     out[order] = lead
     return out
+
+
+def component_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, smallest id of the component) over the ends of a block of edges."""
+    ids, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = codes[: len(a)], codes[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[u], label[v])
+        nxt = label.copy()
+        # hook the labels of both ends to the smaller one, then shorten all paths
+        np.minimum.at(nxt, label[u], low)
+        np.minimum.at(nxt, label[v], low)
+        while not np.array_equal(nxt[nxt], nxt):
+            nxt = nxt[nxt]
+        if np.array_equal(nxt, label):
+            return ids, ids[label]
+        label = nxt

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lookup import DEFAULT_LIMITS, JoinLimits, lookup
+from ..lookup import DEFAULT_LIMITS, Limits, lookup
 from ..schema import assign_ids
 
 COLOURS = 23  # fixed value: number of colours a cluster index is reduced to
@@ -114,7 +114,7 @@ def _xy(vertices: DataFrame) -> DataFrame:
 
 
 def cluster_segments(
-    merges: DataFrame, vertices: DataFrame, labels: DataFrame, limits: JoinLimits = DEFAULT_LIMITS
+    merges: DataFrame, vertices: DataFrame, labels: DataFrame, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """Plot-ready rows: a vertex, its parent's coordinates, its cluster and colour.
 
@@ -137,7 +137,7 @@ def forest_segments(
     forest: DataFrame,
     vertices: DataFrame,
     components: DataFrame,
-    limits: JoinLimits = DEFAULT_LIMITS,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Plot-ready rows of a cut forest: both ends of every edge and its cluster."""
     xy, rows = _xy(vertices), vertices.count()

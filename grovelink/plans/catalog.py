@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import schema, sources
 from ..functions.scalars import bucket_count, density_exponent, edge_budget, partition_count
+from ..lookup import SHUFFLE_ONLY, Limits
 from ..operators import agglomerate as agg
 from ..operators import compare, components, contraction, features, forest, modify, pairs, stats
 from ..scratch import Scratch
@@ -421,7 +422,8 @@ def q_random_partition(spark, sf):
 
 
 def q_perturb_weights(spark, sf):
-    return _rounded(fn.perturb_weights(schema.edges_to_arcs(part_supplier(spark, sf)), 0.05, 42))
+    arcs = fn.perturb_weights(schema.edges_to_arcs(part_supplier(spark, sf)), 0.05, 42)
+    return arcs.withColumn("w", F.round("w", 3))
 
 
 def q_bucket_weights(spark, sf):
@@ -515,6 +517,15 @@ def q_components_customers(spark, sf):
     return components.connected_components(pairs.eps_join(v, EPS), v.select("id"))
 
 
+def q_components_shuffled(spark, sf):
+    v = customers_2d(spark, sf)
+    return components.connected_components(pairs.eps_join(v, EPS), v.select("id"), SHUFFLE_ONLY)
+
+
+def q_agglomerate_shuffled(spark, sf):
+    return graphs.cluster_points(suppliers_2d(spark, sf), limits=SHUFFLE_ONLY).labels()
+
+
 def q_forest_segments(spark, sf):
     v = suppliers_2d(spark, sf)
     tree = Scratch(spark, "tree").store(forest.complete_forest(v).edges).df
@@ -660,11 +671,14 @@ QUERIES: dict[str, Query] = {
     "mst_embeddings": q_mst_embeddings,
     "mst_sparsified": _edge_forest(sparsifier="hash"),
     "mst_vertex_partition": _edge_forest(sparsifier="vertex"),
-    "mst_contraction": _edge_forest(sparsifier=None, finish_edges=0),
+    "mst_contraction": _edge_forest(sparsifier=None, limits=Limits(finish_edges=0)),
+    "mst_shuffled": _edge_forest(limits=SHUFFLE_ONLY),
     "connected_components": q_connected_components,
     "components_customers": q_components_customers,
+    "components_shuffled": q_components_shuffled,
     "forest_segments": q_forest_segments,
     "agglomerate_labels": q_agglomerate_labels,
+    "agglomerate_shuffled": q_agglomerate_shuffled,
     "agglomerate_merges": q_agglomerate_merges,
     "agglomerate_components": q_agglomerate_components,
     "agglomerate_graph": q_agglomerate_graph,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.weights import bucket_bounds, bucketize, max_weight, perturb_weights
-from ..lookup import DEFAULT_LIMITS, JoinLimits
+from ..lookup import DEFAULT_LIMITS, Limits
 from ..operators.agglomerate import Hierarchy, agglomerate, run_of, tag_run, untag
 from ..operators.components import connected_components
 from ..operators.features import make_vertices, select_features
@@ -71,7 +71,7 @@ def cluster_points(
     beta: float | None = None,
     alpha: float = 0.0,
     seed: int | str = 0,
-    limits: JoinLimits = DEFAULT_LIMITS,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> Hierarchy:
     """Points -> arcs -> linkage rounds.
 
@@ -104,7 +104,7 @@ def stability_runs(
     k: int | None = None,
     num_clusters: int = 3,
     gamma: float = 0.05,
-    limits: JoinLimits = DEFAULT_LIMITS,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """runs(run, id, val): the parent of every vertex in each perturbed run.
 

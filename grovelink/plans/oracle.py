@@ -123,6 +123,31 @@ def _linkage(arcs: str, vertices: str, rounds: int, stop: int) -> str:
     return ", ".join(parts)
 
 
+def _group_linkage(arcs: str, vertices: str, rounds: int, stop: int) -> str:
+    """Like _linkage for one run, but the leader is the smallest id of the whole group."""
+    parts = [
+        f"a0 AS MATERIALIZED ({arcs})",
+        f"l0 AS MATERIALIZED (SELECT 0 AS run, id, id AS label FROM ({vertices}))",
+    ]
+    for r in range(1, rounds + 1):
+        p = r - 1
+        parts += [
+            f"""n{r} AS MATERIALIZED (SELECT s.label AS s, arg_min(d.label,
+              row(a.w, least(a.src, a.dst), greatest(a.src, a.dst), a.src)) AS nb FROM a0 a
+              JOIN l{p} s ON a.src = s.id JOIN l{p} d ON a.dst = d.id WHERE s.label <> d.label
+              AND (SELECT count(DISTINCT label) FROM l{p}) > {stop} GROUP BY s.label)""",
+            f"y{r} AS MATERIALIZED (SELECT s AS u, nb AS v FROM n{r} UNION SELECT nb, s FROM n{r})",
+            f"""k{r} AS (SELECT DISTINCT u AS s, u AS cur FROM y{r} UNION
+              SELECT k.s, y.v FROM k{r} k JOIN y{r} y ON k.cur = y.u)""",
+            f"d{r} AS MATERIALIZED (SELECT s, min(cur) AS leader FROM k{r} GROUP BY s)",
+            f"""l{r} AS MATERIALIZED (SELECT 0 AS run, l.id, coalesce(d.leader, l.label) AS label
+              FROM l{p} l LEFT JOIN d{r} d ON l.label = d.s)""",
+            f"""c{r} AS MATERIALIZED (SELECT DISTINCT a.run FROM l{p} a JOIN l{r} b
+              ON a.id = b.id WHERE a.label <> b.label)""",
+        ]
+    return ", ".join(parts)
+
+
 def _labels(rounds: int) -> str:
     return " UNION ALL ".join(
         f"SELECT CAST({r} AS INTEGER) AS round, id, label FROM l{r} WHERE run IN (SELECT run FROM c{r})"
@@ -297,7 +322,7 @@ def oracle_sql() -> dict[str, str]:
           round(w, 6) AS w FROM e""",
         "random_partition": f"""SELECT id, CAST((row_number() OVER (ORDER BY {_u(_lit('3-u'), 'id')}, id) - 1) % 7 AS INTEGER) AS u,
           CAST((row_number() OVER (ORDER BY {_u(_lit('3-v'), 'id')}, id) - 1) % 7 AS INTEGER) AS v FROM ({C2})""",
-        "perturb_weights": arcs + f"SELECT src, dst, round({PERTURB.format(u=_u(_lit(42), *PAIR))}, 6) AS w FROM ar",
+        "perturb_weights": arcs + f"SELECT src, dst, round({PERTURB.format(u=_u(_lit(42), *PAIR))}, 3) AS w FROM ar",
         "bucket_weights": f"""WITH e AS MATERIALIZED ({EL}), {_bounds('SELECT * FROM e', 0.2, 0.1, 3)}
           SELECT src, dst, CAST((SELECT count(*) FROM bounds WHERE hi <= e.w) + 1 AS DOUBLE) AS w FROM e""",
         "random_weight_gaussian": edges + f"""SELECT src, dst, round(list_extract([5.0, 10.0, 15.0, 20.0, 25.0]::DOUBLE[],
@@ -334,6 +359,10 @@ def oracle_sql() -> dict[str, str]:
           round(b.x, 6) AS dst_x, round(b.y, 6) AS dst_y FROM rest r JOIN ({P2}) a ON r.src = a.id
           JOIN ({P2}) b ON r.dst = b.id JOIN comps c ON r.src = c.id""",
         "agglomerate_labels": rec + _linkage(full, single, 9, 3) + " " + _labels(9),
+        "agglomerate_components": rec
+        + _group_linkage(_knn(P2, D2, 4), P2, 9, 3)
+        + " "
+        + _labels(9),
         "agglomerate_merges": rec
         + _linkage(embed_arcs, f"SELECT 0 AS run, id FROM ({PE})", 9, 3)
         + f" SELECT id, leader, parent, round FROM ({_merges(9)})",
@@ -396,5 +425,8 @@ def oracle_sql() -> dict[str, str]:
           LEFT JOIN comps c ON p.id = c.id LEFT JOIN border b ON p.id = b.id""",
     }
     sql["eps_join_salted"] = sql["eps_join_2d"]
-    sql["mst_sparsified"] = sql["mst_contraction"] = sql["mst_vertex_partition"]
+    for name in ("mst_sparsified", "mst_contraction", "mst_shuffled"):
+        sql[name] = sql["mst_vertex_partition"]
+    sql["components_shuffled"] = sql["components_customers"]
+    sql["agglomerate_shuffled"] = sql["agglomerate_labels"]
     return sql

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lookup import DEFAULT_LIMITS, JoinLimits, lookup
+from .lookup import DEFAULT_LIMITS, Limits, lookup
 from .scratch import Scratch
 
 EDGE_SCHEMA = "src long, dst long, w double"
@@ -72,7 +72,7 @@ def assign_ids(df: DataFrame, *order_by: str | Column, id_col: str = "id") -> Da
 
 
 def nested_adjacency(
-    arcs: DataFrame, max_entries: int = 100_000, limits: JoinLimits = DEFAULT_LIMITS
+    arcs: DataFrame, max_entries: int = 100_000, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """adj(id, part, nbrs ARRAY<STRUCT<dst,w>>): neighbour lists sorted by (w, dst).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lookup import DEFAULT_LIMITS, JoinLimits
+from ..lookup import DEFAULT_LIMITS, Limits
 from ..schema import canonical_edges, nested_adjacency
 
 
@@ -15,7 +15,7 @@ def write_points_csv(vertices: DataFrame, path: str, dim: int = 2) -> None:
 
 
 def export_edge_map(
-    edges: DataFrame, max_entries: int = 100_000, limits: JoinLimits = DEFAULT_LIMITS
+    edges: DataFrame, max_entries: int = 100_000, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """(src, part, nbrs MAP<dst,w>) over canonical edges; big vertices span several parts."""
     nested = nested_adjacency(canonical_edges(edges), max_entries, limits)
