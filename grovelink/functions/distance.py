@@ -43,10 +43,13 @@ def check_metric(metric: str) -> None:
         raise ValueError(f"unknown metric {metric!r}, expected one of {METRICS}")
 
 
-def flat_euclidean(left: list[Column], right: list[Column]) -> Column:
-    """Euclidean distance over separate coordinate columns (stays in generated code)."""
+def flat_distance(left: list[Column], right: list[Column], metric: str) -> Column:
+    """Euclidean or Manhattan distance over separate coordinate columns.
+
+    Unlike the array form it stays in generated code.
+    """
     total = None
     for p, q in zip(left, right):
-        term = (p - q) * (p - q)
+        term = (p - q) * (p - q) if metric == "euclidean" else F.abs(p - q)
         total = term if total is None else total + term
-    return F.sqrt(total)
+    return F.sqrt(total) if metric == "euclidean" else total

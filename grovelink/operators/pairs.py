@@ -9,7 +9,6 @@ pairs under a threshold, or the spanning forest of the block pair.
 
 from __future__ import annotations
 
-import itertools
 import math
 from typing import Iterator, Tuple
 
@@ -18,15 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import check_metric, flat_euclidean
+from ..functions.distance import check_metric
 from ..functions.hashing import hashed_uniform
 from ..schema import EDGE_SCHEMA
-from . import kernels
+from . import grid, kernels
 
 BLOCK_ROWS = 2048
 MAX_TASKS = 20_000
-GRID_DIMENSIONS = 3
-HEAVY_CELLS = 4096
+GRID_ROWS = 50_000
 
 EDGE_ARROW = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("w", pa.float64())])
 
@@ -154,14 +152,24 @@ def _nearest(d: np.ndarray, k: int) -> np.ndarray:
 
 
 def knn(
-    vertices: DataFrame, k: int = 5, metric: str = "euclidean", block_rows: int = BLOCK_ROWS
+    vertices: DataFrame,
+    k: int = 5,
+    metric: str = "euclidean",
+    block_rows: int = BLOCK_ROWS,
+    grid_rows: int = GRID_ROWS,
 ) -> DataFrame:
     """arcs: exact k nearest other vertices; ties by id, the vertex itself excluded by id.
 
-    Every block pair keeps k neighbours per vertex, then the best k of these
-    partial lists are taken.
+    More than ``grid_rows`` points of up to three dimensions are searched by
+    growing grid cells. Otherwise every block pair keeps k neighbours per
+    vertex, and the best k of these partial lists are taken.
     """
     check_metric(metric)
+    rows = vertices.count()
+    if rows > grid_rows and metric in grid.GRID_METRICS:
+        dim = dimension(vertices)
+        if 0 < dim <= grid.GRID_DIMENSIONS:
+            return grid.knn_grid(vertices, k, metric, dim)
 
     def nearest(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = _pair_index(key[0].as_py())
@@ -180,7 +188,7 @@ def knn(
                 i, j = np.nonzero(_nearest(d, k))
                 yield _edge_batch(ids_a[rows][i], ids_b[j], d[i, j])
 
-    partial = _block_pairs(vertices, block_rows).applyInArrow(nearest, EDGE_SCHEMA)
+    partial = _block_pairs(vertices, block_rows, rows).applyInArrow(nearest, EDGE_SCHEMA)
     return k_nearest_per_vertex(partial, k)
 
 
@@ -227,82 +235,19 @@ def eps_join(
     eps: float,
     metric: str = "euclidean",
     dim: int | None = None,
-    cell_rows: int = 20_000,
+    cell_rows: int = grid.CELL_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """edges: pairs within ``eps``, without enumerating the pairs that are far apart.
+    """edges: pairs within ``eps``.
 
-    Up to three dimensions: points fall into grid cells of side eps and meet
-    only the points of neighbouring cells. A crowded cell is split into salted
-    parts, so no task has to take a whole hot cell. Otherwise block pairs with
-    a threshold are used.
+    In up to three dimensions a grid keeps far pairs from ever meeting,
+    otherwise block pairs with a threshold are used.
     """
     check_metric(metric)
     dim = dimension(vertices) if dim is None else dim
-    if metric != "euclidean" or not 0 < dim <= GRID_DIMENSIONS or eps <= 0:
-        return all_pairs(vertices, metric, eps, block_rows)
-
-    axes = range(dim)
-    cells, xs = [f"c{i}" for i in axes], [f"x{i}" for i in axes]
-    side = eps * (1.0 + 1e-9)  # room for rounding in the division
-    points = vertices.select(
-        F.col("id").cast("long").alias("id"),
-        *[
-            F.when(F.size("features") == dim, F.col("features")[i])
-            .otherwise(F.raise_error(F.lit("all feature vectors must have the same length")))
-            .cast("double")
-            .alias(xs[i])
-            for i in axes
-        ],
-    )
-    points = points.select(
-        "id", *xs, *[F.floor(F.col(xs[i]) / side).cast("long").alias(cells[i]) for i in axes]
-    )
-    rows = vertices.count()
-    # at most HEAVY_CELLS cells can hold more rows than this
-    floor = max(cell_rows, rows // HEAVY_CELLS)
-    heavy = (
-        points.groupBy(*cells)
-        .count()
-        .where(F.col("count") > floor)
-        .select(*cells, F.ceil(F.col("count") / cell_rows).cast("long").alias("_parts"))
-    )
-
-    def parts_of(df: DataFrame) -> DataFrame:
-        joined = df.join(F.broadcast(heavy), cells, "left")
-        return joined.withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
-
-    left = parts_of(points).select(
-        *cells,
-        F.expr("pmod(xxhash64(id), _parts)").alias("_salt"),
-        F.col("id").alias("a"),
-        *[F.col(x).alias(f"a{x}") for x in xs],
-    )
-    # own cell plus one of each two opposite neighbours, so a pair meets once
-    offsets = [o for o in itertools.product((-1, 0, 1), repeat=dim) if o >= (0,) * dim]
-    steps = F.array(*[F.struct(*[F.lit(v).alias(cells[i]) for i, v in enumerate(o)]) for o in offsets])
-    moved = points.withColumn("_step", F.explode(steps)).select(
-        "id",
-        *xs,
-        *[(F.col(c) + F.col(f"_step.{c}")).alias(c) for c in cells],
-        F.forall(
-            F.array(*[F.col(f"_step.{c}") for c in cells]), lambda v: v == 0
-        ).alias("_own"),
-    )
-    right = (
-        parts_of(moved)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-        .select(
-            *cells, "_salt", "_own", F.col("id").alias("b"), *[F.col(x).alias(f"b{x}") for x in xs]
-        )
-    )
-    w = flat_euclidean([F.col(f"a{x}") for x in xs], [F.col(f"b{x}") for x in xs])
-    return (
-        left.join(right, [*cells, "_salt"])
-        .where(~F.col("_own") | (F.col("a") < F.col("b")))
-        .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), w.alias("w"))
-        .where(F.col("w") <= eps)
-    )
+    if metric in grid.GRID_METRICS and 0 < dim <= grid.GRID_DIMENSIONS and eps > 0:
+        return grid.eps_join_grid(vertices, eps, metric, dim, cell_rows)
+    return all_pairs(vertices, metric, eps, block_rows)
 
 
 def limit_edges(edges: DataFrame, max_edges: int | None) -> DataFrame:

@@ -266,6 +266,11 @@ def q_knn_join(spark, sf):
     return _rounded(pairs.knn(embeddings(spark, sf), 5))
 
 
+def q_knn_grid(spark, sf):
+    """Nearest customers by growing grid cells, whatever the table size."""
+    return _rounded(pairs.knn(customers_2d(spark, sf), 5, grid_rows=0))
+
+
 def q_knn_cosine(spark, sf):
     return _rounded(pairs.knn(embeddings(spark, sf), 3, "cosine"))
 
@@ -630,6 +635,7 @@ QUERIES: dict[str, Query] = {
     "eps_join_2d": q_eps_join_2d,
     "eps_join_salted": q_eps_join_salted,
     "knn_join": q_knn_join,
+    "knn_grid": q_knn_grid,
     "knn_cosine": q_knn_cosine,
     "knn_symmetric": q_knn_symmetric,
     "k_nearest_shuffled": q_k_nearest_shuffled,

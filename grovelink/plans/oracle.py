@@ -267,6 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "eps_join_1d": f"SELECT src, dst, round(w, 6) AS w FROM ({_pairs(C1, 'abs(a.x - b.x)', 'abs(a.x - b.x) <= 0.75::DOUBLE')})",
         "eps_join_2d": f"SELECT src, dst, round(w, 6) AS w FROM ({_pairs(C2, D2, f'abs(a.x - b.x) <= 60 AND {D2} <= 60')})",
         "knn_join": f"SELECT src, dst, round(w, 6) AS w FROM ({_knn(PE, DE, 5)})",
+        "knn_grid": f"SELECT src, dst, round(w, 6) AS w FROM ({_knn(C2, D2, 5)})",
         "knn_cosine": f"SELECT src, dst, round(w, 6) AS w FROM ({_knn(PE, 'list_cosine_distance(a.f, b.f)', 3)})",
         "knn_symmetric": f"""WITH k AS MATERIALIZED ({_knn(PE, DE, 3)})
           SELECT src, dst, CAST(count(*) AS DOUBLE) * 0.5::DOUBLE AS w FROM

@@ -62,6 +62,23 @@ def test_threshold_and_limit(make):
     assert triples(pairs.limit_edges(near, None)) == want
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3])
+@pytest.mark.parametrize("cell_rows", [3, 20000])
+def test_knn_grid(make, dim, cell_rows):
+    far = [[1e6] * dim, [-300.0] * dim]
+    points = brute.random_points(60, dim, 3, step=0.5) + [[2.0] * dim] * 30 + far
+    from grovelink.lookup import SHUFFLE_ONLY, Limits
+    from grovelink.operators.grid import knn_grid
+
+    for limits in (Limits(), SHUFFLE_ONLY)[: 1 + (dim == 2)]:
+        got = triples(knn_grid(make.points(points), 4, "euclidean", dim, cell_rows, limits))
+        assert got == brute.knn(points, 4)
+
+
+def test_knn_grid_few_points(make):
+    assert len(triples(pairs.knn(make.points([[0.0], [0.0], [9.0]]), 5, grid_rows=0))) == 6
+
+
 @pytest.mark.parametrize("block_rows", [4, 2048])
 def test_knn_ties_and_copies(make, block_rows):
     points = brute.random_points(25, 2, 3, step=2.5) + [[0.0, 0.0]] * 9
