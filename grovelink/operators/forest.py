@@ -29,14 +29,15 @@ from ..functions.scalars import (
     next_exponent,
     partition_count,
 )
-from ..lookup import DEFAULT_LIMITS, Limits
-from ..schema import EDGE_SCHEMA, canonical_edges, distinct_vertices
+from ..lookup import DEFAULT_LIMITS, Limits, lookup
+from ..schema import EDGE_SCHEMA, assign_ids, canonical_edges, distinct_vertices
 from ..scratch import Scratch, Stored
 from . import kernels
 from .contraction import best_of, both_ends, follow_pointers, rank_by_weight, relabel_ranked
-from .pairs import BLOCK_ROWS, complete_forest_candidates
+from .pairs import BLOCK_ROWS, complete_forest_candidates, dimension
 
 BUCKET_EDGES = 1_000_000
+LINE_ROWS = 50_000
 MAX_TASKS = 20_000
 
 
@@ -110,6 +111,11 @@ def bucket_forests(edges: DataFrame, bucket: Column, buckets: int) -> DataFrame:
     return _bucketed(edges, bucket, buckets).applyInArrow(_forest_filter(False), EDGE_SCHEMA)
 
 
+def removed_edges(flagged: DataFrame) -> DataFrame:
+    """The edges that some bucket dropped."""
+    return flagged.where(~F.col("kept")).select("src", "dst", "w").distinct()
+
+
 def edge_bucket(buckets: int, salt) -> Column:
     """Bucket of an edge; the salt changes from round to round so buckets never repeat."""
     return F.pmod(F.xxhash64("src", "dst", F.lit(salt)), F.lit(buckets).cast("long"))
@@ -250,13 +256,17 @@ def complete_forest(
     epsilon: float = 0.125,
     block_rows: int = BLOCK_ROWS,
     limits: Limits = DEFAULT_LIMITS,
+    line_rows: int = LINE_ROWS,
 ) -> Forest:
     """Minimum spanning forest of the complete graph over points.
 
     The first sparsifier round is fused with the distances, so the n(n-1)/2
-    edges never exist as rows.
+    edges never exist as rows. More than ``line_rows`` points on a line are
+    only sorted.
     """
     n = vertices.count()
+    if n > line_rows and metric in ("euclidean", "manhattan") and dimension(vertices) == 1:
+        return Forest(line_forest(vertices, n, limits), [], n)
     candidates = complete_forest_candidates(vertices, metric, block_rows, rows=n)
     forest = minimum_spanning_forest(
         candidates,
@@ -268,6 +278,30 @@ def complete_forest(
     return forest
 
 
+def line_forest(vertices: DataFrame, rows: int, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Spanning tree of points on a line: neighbours in sorted order, copies to their first id."""
+    points = vertices.select(
+        F.col("id").cast("long").alias("point"), F.col("features")[0].cast("double").alias("x")
+    )
+    places = assign_ids(
+        points.groupBy("x").agg(F.min("point").alias("first")), "x", id_col="pos"
+    )
+    after = places.select(
+        (F.col("pos") - 1).alias("pos"), F.col("x").alias("nx"), F.col("first").alias("nfirst")
+    )
+    steps = places.join(after, "pos").select(
+        F.least("first", "nfirst").alias("src"),
+        F.greatest("first", "nfirst").alias("dst"),
+        F.abs(F.col("nx") - F.col("x")).alias("w"),
+    )
+    table = places.select(F.col("x").alias("id"), "first")
+    copies = lookup(points, rows, "x", table, places.count(), {"first": "first"}, limits)
+    same = copies.where(F.col("point") != F.col("first")).select(
+        F.col("first").alias("src"), F.col("point").alias("dst"), F.lit(0.0).alias("w")
+    )
+    return steps.unionByName(same)
+
+
 # --- ordering, cutting, filtering ---------------------------------------------------
 
 

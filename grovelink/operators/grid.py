@@ -151,7 +151,7 @@ def knn_grid(
         )
     points = kept.df.select("id", *xs)
     extent = max(kept.metrics[f"max_{x}"] - kept.metrics[f"min_{x}"] for x in xs) or 1.0
-    side = extent / kept.metrics["places"] ** (1.0 / dim)
+    side = extent * ((k + 1) / kept.metrics["places"]) ** (1.0 / dim)
     for _ in range(MAX_PROBES):
         counts = _with_cells(points, dim, side).groupBy(*cells).count()
         if counts.agg(F.max("count")).first()[0] <= 32 * (k + 1):

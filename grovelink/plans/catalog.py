@@ -393,6 +393,11 @@ def q_run_differences(spark, sf):
     return stats.run_differences(runs.select("_r.run", "id", "_r.val"), [0, 1, 2])
 
 
+def q_removed_edges(spark, sf):
+    flagged = forest.bucket_msf(part_supplier(spark, sf), F.col("dst") % 4, 4)
+    return _rounded(forest.removed_edges(flagged))
+
+
 def q_label_crosstab(spark, sf):
     return stats.label_crosstab(_embedding_components(spark, sf), embeddings(spark, sf))
 
@@ -426,6 +431,16 @@ def q_random_partition(spark, sf):
 # --- functions -------------------------------------------------------------------------
 
 
+def q_column_distances(spark, sf):
+    """Distance columns between each vector and the next one."""
+    v = embeddings(spark, sf).select("id", "features")
+    after = v.select((F.col("id") - 1).alias("id"), F.col("features").alias("next"))
+    x, y = F.col("features"), F.col("next")
+    return v.join(after, "id").select(
+        "id", *[F.round(fn.distance(x, y, m), 6).alias(m) for m in ("euclidean", "manhattan", "cosine")]
+    )
+
+
 def q_perturb_weights(spark, sf):
     arcs = fn.perturb_weights(schema.edges_to_arcs(part_supplier(spark, sf)), 0.05, 42)
     return arcs.withColumn("w", F.round("w", 3))
@@ -484,6 +499,11 @@ def q_mst_1d(spark, sf):
     return _weights_of(forest.complete_forest(customers_1d(spark, sf)).edges)
 
 
+def q_mst_line(spark, sf):
+    """The same weights by the sorted form that large tables on a line take."""
+    return _weights_of(forest.complete_forest(customers_1d(spark, sf), line_rows=0).edges)
+
+
 def q_mst_cut_1d(spark, sf):
     return stats.cluster_sizes(graphs.point_clusters(suppliers_1d(spark, sf), 3))
 
@@ -658,9 +678,11 @@ QUERIES: dict[str, Query] = {
     "label_crosstab": q_label_crosstab,
     "cluster_sizes": q_cluster_sizes,
     "bucket_msf": q_bucket_msf,
+    "removed_edges": q_removed_edges,
     "heaviest_edges": q_heaviest_edges,
     "edges_sorted": q_edges_sorted,
     "random_partition": q_random_partition,
+    "column_distances": q_column_distances,
     "perturb_weights": q_perturb_weights,
     "bucket_weights": q_bucket_weights,
     "random_weight_gaussian": _random_weight("gaussian"),
@@ -671,6 +693,7 @@ QUERIES: dict[str, Query] = {
     "first_two": q_first_two,
     "pca_project": q_pca_project,
     "mst_1d": q_mst_1d,
+    "mst_line": q_mst_line,
     "mst_cut_1d": q_mst_cut_1d,
     "mst_2d": q_mst_2d,
     "mst_manhattan": q_mst_manhattan,

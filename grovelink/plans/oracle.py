@@ -318,6 +318,13 @@ def oracle_sql() -> dict[str, str]:
         + _forest(f"SELECT src * 8 + dst % 4 AS src, dst * 8 + dst % 4 AS dst, w FROM ({EL})", edge_rounds)
         + """ SELECT e.src // 8 AS src, e.dst // 8 AS dst, round(e.w, 6) AS w,
           CAST(f.src IS NOT NULL AS INTEGER) AS kept FROM e0 e LEFT JOIN forest f ON e.src = f.src AND e.dst = f.dst""",
+        "column_distances": f"""SELECT a.id, round({DE}, 6) AS euclidean, round(list_cosine_distance(a.f, b.f), 6) AS cosine,
+          round(list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2]))), 6) AS manhattan
+          FROM ({PE}) a JOIN ({PE}) b ON b.id = a.id + 1""",
+        "removed_edges": rec
+        + _forest(f"SELECT src * 8 + dst % 4 AS src, dst * 8 + dst % 4 AS dst, w FROM ({EL})", edge_rounds)
+        + """ SELECT e.src // 8 AS src, e.dst // 8 AS dst, round(e.w, 6) AS w
+          FROM e0 e ANTI JOIN forest f ON e.src = f.src AND e.dst = f.dst""",
         "heaviest_edges": edges + "SELECT src, dst, round(w, 6) AS w FROM e ORDER BY e.w DESC, src, dst LIMIT 25",
         "edges_sorted": edges + """SELECT row_number() OVER (ORDER BY e.w, src, dst) - 1 AS pos, src, dst,
           round(w, 6) AS w FROM e""",
@@ -426,6 +433,7 @@ def oracle_sql() -> dict[str, str]:
           LEFT JOIN comps c ON p.id = c.id LEFT JOIN border b ON p.id = b.id""",
     }
     sql["eps_join_salted"] = sql["eps_join_2d"]
+    sql["mst_line"] = sql["mst_1d"]
     for name in ("mst_sparsified", "mst_contraction", "mst_shuffled"):
         sql[name] = sql["mst_vertex_partition"]
     sql["components_shuffled"] = sql["components_customers"]

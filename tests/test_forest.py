@@ -134,6 +134,21 @@ def test_edges_between_and_removal(make):
     ]
 
 
+@pytest.mark.parametrize("limits", [Limits(), SHUFFLE_ONLY])
+def test_line_forest(make, limits):
+    points = brute.random_points(40, 1, 13, step=0.5) + [[4.0]] * 10
+    want = brute.kruskal(brute.complete(points))
+    got = forest.complete_forest(make.points(points), limits=limits, line_rows=0).edges
+    assert triples(got) == want
+
+
+def test_removed_edges(make):
+    rows = brute.random_edges(20, 90, 14)
+    flagged = forest.bucket_msf(make.edges(rows), F.lit(0), 1)
+    kept = brute.kruskal(rows)
+    assert triples(forest.removed_edges(flagged)) == sorted(e for e in rows if e not in kept)
+
+
 def test_empty_graph(make):
     assert msf(make.edges([])) == []
     assert triples(forest.complete_forest(make.points([[1.0]])).edges) == []
