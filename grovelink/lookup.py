@@ -79,3 +79,27 @@ def lookup(
         *left.columns,
         *[F.coalesce(F.col(f"_hot_{v}"), F.col(v)).alias(v) for v in values.values()],
     )
+
+
+def flags(
+    left: DataFrame,
+    left_rows: int,
+    keys: list[str],
+    sets: dict[str, DataFrame],
+    limits: Limits = DEFAULT_LIMITS,
+) -> DataFrame:
+    """Add a boolean ``<key>_<name>`` per key and named set(id): is the key in the set?"""
+    marks = [
+        ids.select("id", *[F.lit(n == name).alias(n) for n in sets]) for name, ids in sets.items()
+    ]
+    table = marks[0]
+    for more in marks[1:]:
+        table = table.union(more)
+    table = table.groupBy("id").agg(*[F.max(n).alias(n) for n in sets])
+    rows = table.count()
+    for key in keys:
+        values = {n: f"{key}_{n}" for n in sets}
+        left = lookup(left, left_rows, key, table, rows, values, limits)
+        for name in values.values():
+            left = left.withColumn(name, F.coalesce(name, F.lit(False)))
+    return left

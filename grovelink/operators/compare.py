@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lookup import DEFAULT_LIMITS, Limits, lookup
-from ..schema import edges_to_arcs
+from ..lookup import DEFAULT_LIMITS, Limits, flags, lookup
 from ..scratch import Scratch
 from .components import connected_components
 from .pairs import eps_join, knn_symmetric
@@ -47,6 +46,10 @@ def spectral(vertices: DataFrame, k: int = 3, neighbours: int = 10, rounds: int
     return pic.assignClusters(graph).select("id", "cluster")
 
 
+def _end(own: str, n: str) -> Column:
+    return F.struct(F.col(own).alias("id"), F.col(n).alias("n"))
+
+
 def dbscan(
     vertices: DataFrame,
     eps: float,
@@ -68,21 +71,32 @@ def dbscan(
         )
     )
     near = scratch.store(eps_join(places.df.select("id", "features"), eps, metric))
-    arcs = edges_to_arcs(near.df)
-    weight = places.df.select(F.col("id").alias("dst"), "weight")
-    around = arcs.join(weight, "dst").groupBy("src").agg(F.sum("weight").alias("_w"))
+    pairs = near.df.select("src", "dst")
+    for end in ("src", "dst"):
+        value = {"weight": f"{end}_n"}
+        pairs = lookup(pairs, near.rows, end, places.df, places.rows, value, limits)
+    around = (
+        pairs.select(F.explode(F.array(_end("src", "dst_n"), _end("dst", "src_n"))).alias("_e"))
+        .groupBy(F.col("_e.id").alias("id"))
+        .agg(F.sum("_e.n").alias("_n"))
+    )
     core = scratch.store(
-        places.df.join(around, F.col("id") == F.col("src"), "left")
-        .where(F.col("weight") + F.coalesce("_w", F.lit(0)) >= min_points)
+        places.df.join(around, "id", "left")
+        .where(F.col("weight") + F.coalesce("_n", F.lit(0)) >= min_points)
         .select("id")
     )
-    core_src, core_dst = (core.df.select(F.col("id").alias(c)) for c in ("src", "dst"))
-    links = near.df.join(core_src, "src", "left_semi").join(core_dst, "dst", "left_semi")
+    marked = flags(near.df.select("src", "dst"), near.rows, ["src", "dst"], {"core": core.df}, limits)
+    marked = scratch.store(marked.where("src_core or dst_core"))
+    links = marked.df.where("src_core and dst_core")
     comps = scratch.store(connected_components(links, core.df, limits))
+    one_core = marked.df.where("not (src_core and dst_core)").select(
+        F.when(F.col("src_core"), F.col("dst")).otherwise(F.col("src")).alias("id"),
+        F.when(F.col("src_core"), F.col("src")).otherwise(F.col("dst")).alias("core"),
+    )
+    value = {"comp": "comp"}
     border = (
-        arcs.join(core_src, "src", "left_anti")
-        .join(comps.df.select(F.col("id").alias("dst"), "comp"), "dst")
-        .groupBy(F.col("src").alias("id"))
+        lookup(one_core, marked.rows, "core", comps.df, comps.rows, value, limits)
+        .groupBy("id")
         .agg(F.min("comp").alias("comp"))
     )
     placed = scratch.store(

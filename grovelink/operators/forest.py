@@ -29,8 +29,8 @@ from ..functions.scalars import (
     next_exponent,
     partition_count,
 )
-from ..lookup import DEFAULT_LIMITS, Limits, lookup
-from ..schema import EDGE_SCHEMA, assign_ids, canonical_edges, distinct_vertices
+from ..lookup import DEFAULT_LIMITS, Limits, flags, lookup
+from ..schema import EDGE_SCHEMA, assign_ids, canonical_edges, distinct_vertices, first_n
 from ..scratch import Scratch, Stored
 from . import kernels
 from .contraction import best_of, both_ends, follow_pointers, rank_by_weight, relabel_ranked
@@ -307,7 +307,7 @@ def line_forest(vertices: DataFrame, rows: int, limits: Limits = DEFAULT_LIMITS)
 
 def heaviest_edges(forest: DataFrame, count: int) -> DataFrame:
     """The ``count`` heaviest edges, ties by (src, dst)."""
-    return forest.orderBy(F.col("w").desc(), "src", "dst").limit(count)
+    return first_n(forest, count, F.col("w").desc(), "src", "dst")
 
 
 def edges_sorted(edges: DataFrame, descending: bool = False) -> DataFrame:
@@ -328,19 +328,20 @@ def cut_heaviest(forest: DataFrame, k: int) -> DataFrame:
     return remove_edges(forest, heaviest_edges(forest, k - 1)) if k > 1 else forest
 
 
-def edges_between(edges: DataFrame, u: DataFrame, v: DataFrame) -> DataFrame:
+def edges_between(
+    edges: DataFrame, u: DataFrame, v: DataFrame, limits: Limits = DEFAULT_LIMITS
+) -> DataFrame:
     """Edges with one end in ``u`` and the other in ``v``, in either stored orientation."""
-
-    def crossing(first: DataFrame, second: DataFrame) -> DataFrame:
-        return edges.join(first.select(F.col("id").alias("src")), "src", "left_semi").join(
-            second.select(F.col("id").alias("dst")), "dst", "left_semi"
-        ).select("src", "dst", "w")
-
-    return crossing(u, v).union(crossing(v, u)).distinct()
+    edges = edges.select("src", "dst", "w")
+    marked = flags(edges, edges.count(), ["src", "dst"], {"u": u, "v": v}, limits)
+    crossing = (F.col("src_u") & F.col("dst_v")) | (F.col("src_v") & F.col("dst_u"))
+    return marked.where(crossing).select("src", "dst", "w").distinct()
 
 
-def forest_in_cluster(forest: DataFrame, cluster: DataFrame) -> DataFrame:
+def forest_in_cluster(
+    forest: DataFrame, cluster: DataFrame, limits: Limits = DEFAULT_LIMITS
+) -> DataFrame:
     """Forest edges whose first end belongs to ``cluster``."""
-    return forest.join(cluster.select(F.col("id").alias("src")), "src", "left_semi").select(
-        "src", "dst", "w"
-    )
+    forest = forest.select("src", "dst", "w")
+    marked = flags(forest, forest.count(), ["src"], {"in": cluster}, limits)
+    return marked.where("src_in").select("src", "dst", "w")

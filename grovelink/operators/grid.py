@@ -101,8 +101,10 @@ def eps_join_grid(
 ) -> DataFrame:
     """edges: all pairs within ``eps``."""
     xs, cells = _axes(dim)
-    points = _with_cells(_coordinates(vertices, dim), dim, eps * (1.0 + ROUNDING))
-    crowded = _crowded(points, vertices.count(), cells, cell_rows)
+    stored = Scratch(vertices.sparkSession, "eps").store(
+        _with_cells(_coordinates(vertices, dim), dim, eps * (1.0 + ROUNDING))
+    )
+    points, crowded = stored.df, _crowded(stored.df, stored.rows, cells, cell_rows)
     # the own cell plus one of each two opposite neighbours, so a pair meets once
     half = [o for o in itertools.product((-1, 0, 1), repeat=dim) if o >= (0,) * dim]
     keys = [*cells, "_salt"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hashed_uniform
+from ..lookup import DEFAULT_LIMITS, Limits, flags
 from ..schema import assign_ids, canonical_edges
 
 # fixed value: circle radius as a share of the shorter side of the box, halved
@@ -91,16 +92,18 @@ def _pick(df: DataFrame, count: int, seed: int | str, *keys: str) -> DataFrame:
 
 
 def delete_random_vertices(
-    vertices: DataFrame, arcs: DataFrame, fraction: float = 0.01, seed: int | str = 0
+    vertices: DataFrame,
+    arcs: DataFrame,
+    fraction: float = 0.01,
+    seed: int | str = 0,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> tuple[DataFrame, DataFrame]:
     """Drop ceil(fraction * n) vertices and every arc that touches one of them."""
     ids = vertices.select("id")
     gone = _pick(ids, math.ceil(ids.count() * fraction), seed, "id")
     kept = vertices.join(gone, "id", "left_anti")
-    left = arcs.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(
-        gone.select(F.col("id").alias("dst")), "dst", "left_anti"
-    )
-    return kept, left.select(*arcs.columns)
+    marked = flags(arcs, arcs.count(), ["src", "dst"], {"gone": gone}, limits)
+    return kept, marked.where(~F.col("src_gone") & ~F.col("dst_gone")).select(*arcs.columns)
 
 
 def delete_random_edges(arcs: DataFrame, fraction: float = 0.01, seed: int | str = 0) -> DataFrame:

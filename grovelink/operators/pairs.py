@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import check_metric
 from ..functions.hashing import hashed_uniform
-from ..schema import EDGE_SCHEMA
+from ..schema import EDGE_SCHEMA, first_n
 from . import grid, kernels
 
 BLOCK_ROWS = 2048
@@ -252,4 +252,4 @@ def eps_join(
 
 def limit_edges(edges: DataFrame, max_edges: int | None) -> DataFrame:
     """The first ``max_edges`` edges in (src, dst) order."""
-    return edges if max_edges is None else edges.orderBy("src", "dst").limit(max_edges)
+    return edges if max_edges is None else first_n(edges, max_edges, "src", "dst")

@@ -23,6 +23,9 @@ DE = "list_distance(a.f, b.f)"
 BOTH = "SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e"
 
 
+LINKS = 14  # linkage rounds to unroll
+
+
 def _with(*ctes: tuple[str, str], recursive: bool = False) -> str:
     body = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in ctes)
     return f"WITH {'RECURSIVE ' if recursive else ''}{body} "
@@ -366,18 +369,18 @@ def oracle_sql() -> dict[str, str]:
         + f""" SELECT r.src, r.dst, round(r.w, 6) AS w, round(a.x, 6) AS src_x, round(a.y, 6) AS src_y, c.comp,
           round(b.x, 6) AS dst_x, round(b.y, 6) AS dst_y FROM rest r JOIN ({P2}) a ON r.src = a.id
           JOIN ({P2}) b ON r.dst = b.id JOIN comps c ON r.src = c.id""",
-        "agglomerate_labels": rec + _linkage(full, single, 9, 3) + " " + _labels(9),
+        "agglomerate_labels": rec + _linkage(full, single, LINKS, 3) + " " + _labels(LINKS),
         "agglomerate_components": rec
-        + _group_linkage(_knn(P2, D2, 4), P2, 9, 3)
+        + _group_linkage(_knn(P2, D2, 4), P2, LINKS, 3)
         + " "
-        + _labels(9),
+        + _labels(LINKS),
         "agglomerate_merges": rec
-        + _linkage(embed_arcs, f"SELECT 0 AS run, id FROM ({PE})", 9, 3)
-        + f" SELECT id, leader, parent, round FROM ({_merges(9)})",
+        + _linkage(embed_arcs, f"SELECT 0 AS run, id FROM ({PE})", LINKS, 3)
+        + f" SELECT id, leader, parent, round FROM ({_merges(LINKS)})",
         "agglomerate_graph": rec
-        + _linkage(embed_arcs, f"SELECT 0 AS run, id FROM ({PE})", 9, 40)
-        + """ SELECT s.label AS src, d.label AS dst, round(min(w), 6) AS w FROM a0
-          JOIN l9 s ON a0.src = s.id JOIN l9 d ON a0.dst = d.id WHERE s.label <> d.label GROUP BY 1, 2""",
+        + _linkage(embed_arcs, f"SELECT 0 AS run, id FROM ({PE})", LINKS, 40)
+        + f""" SELECT s.label AS src, d.label AS dst, round(min(w), 6) AS w FROM a0
+          JOIN l{LINKS} s ON a0.src = s.id JOIN l{LINKS} d ON a0.dst = d.id WHERE s.label <> d.label GROUP BY 1, 2""",
         "cluster_perturbed": rec
         + f"e AS MATERIALIZED ({one_shift}), {_bounds('SELECT * FROM e', 0.2, 0.1, 9)}, "
         + "q AS MATERIALIZED (SELECT src, dst, CAST((SELECT count(*) FROM bounds WHERE hi <= e.w) + 1 AS DOUBLE) AS w FROM e), "
@@ -385,23 +388,23 @@ def oracle_sql() -> dict[str, str]:
         + _linkage(
             f"""SELECT 0 AS run, src, dst, w FROM ar QUALIFY row_number() OVER
             (PARTITION BY src ORDER BY w, {_u(_lit(9), 'src', 'dst')}, dst) <= 8""",
-            single, 9, 3,
+            single, LINKS, 3,
         )
-        + " SELECT id, label FROM l9",
+        + f" SELECT id, label FROM l{LINKS}",
         "stability_study": rec
         + f"sh AS MATERIALIZED ({shifted}), "
-        + _linkage("SELECT * FROM sh UNION ALL SELECT run, dst, src, w FROM sh", rounds_run, 9, 3)
-        + f""", mg AS MATERIALIZED ({_merges(9)})
+        + _linkage("SELECT * FROM sh UNION ALL SELECT run, dst, src, w FROM sh", rounds_run, LINKS, 3)
+        + f""", mg AS MATERIALIZED ({_merges(LINKS)})
           SELECT CAST(p.run AS INTEGER) AS run_a, CAST(q.run AS INTEGER) AS run_b,
           CAST(count(*) FILTER (p.parent <> q.parent) AS BIGINT) AS diff
           FROM mg p JOIN mg q ON p.id = q.id GROUP BY 1, 2""",
         "cluster_segments": rec
-        + _linkage(full, single, 9, 3)
-        + f""", mg AS MATERIALIZED ({_merges(9)}), ix AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS i
-            FROM (SELECT DISTINCT label FROM l9))
+        + _linkage(full, single, LINKS, 3)
+        + f""", mg AS MATERIALIZED ({_merges(LINKS)}), ix AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS i
+            FROM (SELECT DISTINCT label FROM l{LINKS}))
           SELECT m.id, round(a.x, 6) AS x, round(a.y, 6) AS y, m.parent, round(b.x, 6) AS parent_x,
           round(b.y, 6) AS parent_y, l.label, CAST(ix.i % 23 AS INTEGER) AS colour FROM mg m
-          JOIN ({P2}) a ON m.id = a.id JOIN ({P2}) b ON m.parent = b.id JOIN l9 l ON m.id = l.id
+          JOIN ({P2}) a ON m.id = a.id JOIN ({P2}) b ON m.parent = b.id JOIN l{LINKS} l ON m.id = l.id
           JOIN ix ON l.label = ix.label""",
         "noise_uniform": f"""WITH p AS ({C2}), b AS (SELECT count(*) AS n, max(id) AS last, min(x) AS x0, max(x) AS x1,
             min(y) AS y0, max(y) AS y1 FROM p)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .lookup import DEFAULT_LIMITS, Limits, lookup
 from .scratch import Scratch
 
+TOP_ROWS = 100_000
 EDGE_SCHEMA = "src long, dst long, w double"
 
 
@@ -71,6 +72,17 @@ def assign_ids(df: DataFrame, *order_by: str | Column, id_col: str = "id") -> Da
     )
 
 
+def first_n(df: DataFrame, count: int, *order_by: str | Column) -> DataFrame:
+    """The first ``count`` rows in the given order.
+
+    A small count is a top-k that every task cuts to k rows; a large one is a
+    filter on positions of a distributed sort, so no task holds all of them.
+    """
+    if count <= TOP_ROWS:
+        return df.orderBy(*order_by).limit(count)
+    return assign_ids(df, *order_by, id_col="_pos").where(F.col("_pos") < count).drop("_pos")
+
+
 def nested_adjacency(
     arcs: DataFrame, max_entries: int = 100_000, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.weights import random_weight
-from ..schema import assign_ids, canonical_edges
+from ..schema import TOP_ROWS, assign_ids, canonical_edges, first_n
 
 POLYGON_SCHEMA = (
     "n long, m long, x array<double>, y array<double>, edge_i array<long>, edge_j array<long>"
@@ -106,9 +106,12 @@ def read_feature_table(
     """(id, columns...): CSV with header, all columns numeric; optionally the first rows only."""
     rows = spark.read.csv(path, header=True)
     rows = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in rows.columns])
-    return assign_ids(rows.limit(max_samples) if max_samples else rows)
+    if max_samples and max_samples <= TOP_ROWS:
+        return assign_ids(rows.limit(max_samples))
+    numbered = assign_ids(rows)
+    return numbered.where(F.col("id") < max_samples) if max_samples else numbered
 
 
 def first_rows(df: DataFrame, order_by: list[str], count: int) -> DataFrame:
     """The first ``count`` rows in the given order."""
-    return df.orderBy(*order_by).limit(count)
+    return first_n(df, count, *order_by)
