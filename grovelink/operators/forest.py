@@ -36,7 +36,9 @@ from . import kernels
 from .contraction import best_of, both_ends, follow_pointers, rank_by_weight, relabel_ranked
 from .pairs import BLOCK_ROWS, complete_forest_candidates, dimension
 
-BUCKET_EDGES = 1_000_000
+BUCKET_EDGES = 1_000_000  # edges a task reads before it squeezes them
+FOREST_EDGES = 4_000_000  # largest forest of one bucket
+WORTHWHILE = 0.9  # a round that keeps more than this share is the last one
 LINE_ROWS = 50_000
 MAX_TASKS = 20_000
 
@@ -129,8 +131,13 @@ def vertex_pair_bucket(parts: int, salt) -> Column:
 
 
 def sparsify_hash(edges: DataFrame, n: int, m: int, epsilon: float, salt) -> tuple[DataFrame, int]:
-    """One round over edge-hash buckets of about n^(1+epsilon) edges."""
+    """One round over edge-hash buckets of about n^(1+epsilon) edges.
+
+    A bucket's forest can have n edges; beyond FOREST_EDGES buckets get smaller.
+    """
     x = bucket_count(n, m, epsilon)
+    if n > FOREST_EDGES:
+        x = max(x, math.ceil(m / FOREST_EDGES))
     return bucket_forests(edges, edge_bucket(x, salt), x), x
 
 
@@ -139,12 +146,16 @@ def sparsify_vertex_partition(
 ) -> tuple[DataFrame, int]:
     """One round over pairs of vertex parts: each bucket is dense, so most edges go.
 
-    The number of parts is never so small that a bucket holds more than
-    BUCKET_EDGES edges on average.
+    Two parts together never exceed FOREST_EDGES vertices, which bounds the
+    forest a task holds; the edges of a bucket only stream past it. There are
+    enough buckets for all cores as far as the graph is dense enough: about
+    n * (k + 1) edges survive, so k stays well below the average degree.
     """
-    k = max(partition_count(n, c, epsilon), math.ceil(math.sqrt(2.0 * m / BUCKET_EDGES)))
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    spread = min(math.ceil(math.sqrt(2.0 * cores)), m // (4 * max(n, 1)))
+    k = max(partition_count(n, c, epsilon), math.ceil(2.0 * n / FOREST_EDGES))
     if m > limits.finish_edges:
-        k = max(k, 2)
+        k = max(k, spread, 2)
     pairs = k * (k + 1) // 2
     return bucket_forests(edges, vertex_pair_bucket(k, salt), pairs), pairs
 
@@ -210,7 +221,7 @@ def minimum_spanning_forest(
 
     While there are more than n^(1+epsilon) edges a sparsifier round runs
     ('vertex' pairs of vertex parts, 'hash' buckets, or None), stopping early if
-    a round removes nothing; contraction rounds solve the rest. ``canonical``
+    a round hardly removes anything; contraction rounds solve the rest. ``canonical``
     says that ``edges`` is already oriented and free of duplicates.
     """
     if sparsifier not in ("vertex", "hash", None):
@@ -232,7 +243,7 @@ def minimum_spanning_forest(
         scratch.drop(done)
         rounds.append((done.rows, live.rows))
         solved = buckets == 1
-        if solved or live.rows == done.rows:
+        if solved or live.rows > WORTHWHILE * done.rows:
             break
         c = next_exponent(c, epsilon)
     if solved:

@@ -22,7 +22,7 @@ from ..functions.hashing import hashed_uniform
 from ..schema import EDGE_SCHEMA, first_n
 from . import grid, kernels
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 MAX_TASKS = 20_000
 GRID_ROWS = 50_000
 

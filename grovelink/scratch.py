@@ -22,7 +22,11 @@ _local_roots: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """The shared checkpoint folder; a temporary one only for local sessions without it."""
     conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    root = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or conf.get("spark.checkpoint.dir")
+        or spark.sparkContext.getCheckpointDir()
+    )
     if root:
         return root
     if not (conf.get("spark.master") or "").startswith("local"):
