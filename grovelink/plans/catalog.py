@@ -700,6 +700,7 @@ QUERIES: dict[str, Query] = {
     "mst_embeddings": q_mst_embeddings,
     "mst_sparsified": _edge_forest(sparsifier="hash"),
     "mst_vertex_partition": _edge_forest(sparsifier="vertex"),
+    "mst_two_way": _edge_forest(sparsifier="two_way"),
     "mst_contraction": _edge_forest(sparsifier=None, limits=Limits(finish_edges=0)),
     "mst_shuffled": _edge_forest(limits=SHUFFLE_ONLY),
     "connected_components": q_connected_components,

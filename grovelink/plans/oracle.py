@@ -437,7 +437,7 @@ def oracle_sql() -> dict[str, str]:
     }
     sql["eps_join_salted"] = sql["eps_join_2d"]
     sql["mst_line"] = sql["mst_1d"]
-    for name in ("mst_sparsified", "mst_contraction", "mst_shuffled"):
+    for name in ("mst_sparsified", "mst_two_way", "mst_contraction", "mst_shuffled"):
         sql[name] = sql["mst_vertex_partition"]
     sql["components_shuffled"] = sql["components_customers"]
     sql["agglomerate_shuffled"] = sql["agglomerate_labels"]

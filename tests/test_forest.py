@@ -60,6 +60,7 @@ def test_all_routes_agree(make, seed):
     edges = make.edges([(b, a, w) if i % 2 else (a, b, w) for i, (a, b, w) in enumerate(rows)])
     for options in (
         {"sparsifier": "vertex"},
+        {"sparsifier": "two_way"},
         {"sparsifier": "hash"},
         {"sparsifier": None},
         {"sparsifier": "vertex", "limits": Limits(finish_edges=100)},
@@ -79,7 +80,7 @@ def test_complete_forest_matches(make):
 def test_sparsifier_ends_on_a_size_that_stalls_unsalted(make):
     points = brute.random_points(100, 8, 9)
     rows = brute.complete(points)
-    for name in ("vertex", "hash"):
+    for name in ("vertex", "two_way", "hash"):
         done = forest.minimum_spanning_forest(make.edges(rows), sparsifier=name)
         assert triples(done.edges) == brute.kruskal(rows)
         assert len(done.rounds) <= 8
