@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup
-from .common import small_batches, table
+from . import bpe, chat, exact_dedup, packing, pii, quality
+from .common import table
+
+CAPACITY = 2048
+
+
+def op1_best_fit_packing(spark, sf):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.cut_pieces(table(spark, sf, "documents"), path, CAPACITY)
+    light = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(light, "length", ["doc_id", "piece", "ids_crc32"], CAPACITY)
 
 
 def op3_exact_dedup(spark, sf):
@@ -15,6 +25,40 @@ def op3_exact_dedup(spark, sf):
     )
 
 
+# a demonstration key; a deployment takes its own from its secret store
+PII_KEY = b"grovelink pseudonyms"
+
+
+def op2_pii_feistel(spark, sf):
+    done = pii.pseudonymise(table(spark, sf, "documents"), PII_KEY)
+
+    def count(kind):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+
+    return done.select(
+        F.col("document.doc_id").alias("doc_id"),
+        "text",
+        F.size("found").cast("long").alias("n_values"),
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+    )
+
+
+def op4_quality_trees(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
+    return scored.select(
+        F.col("document.doc_id").alias("doc_id"),
+        quality.held_out(F.col("document.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op5_bpe_automaton(spark, sf):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encode(table(spark, sf, "documents"), path, digests=True)
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -30,7 +74,11 @@ def op9_chat_format(spark, sf):
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_pii_feistel": op2_pii_feistel,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality_trees": op4_quality_trees,
+    "op5_bpe_automaton": op5_bpe_automaton,
     "op9_chat_format": op9_chat_format,
 }
 
