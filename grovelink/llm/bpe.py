@@ -34,14 +34,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches, texts
+from .common import Recent, small_batches, texts
 
 # fixed values: the split pattern and the byte alphabet of byte-level BPE
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 60
-# words remembered by a Python worker
-CACHE_WORDS = 400_000
-CACHE_CHARS = 48
+# words remembered by a Python worker, twice this at most
+CACHE_WORDS = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -147,10 +146,10 @@ class Tokenizer:
         by_length = sorted(self.special, key=len, reverse=True)
         self._split = re.compile("(" + "|".join(map(re.escape, by_length)) + ")") if by_length else None
         self._words = regex.compile(PATTERN)
-        self._word = _Memo(lambda w: self._ids(w.encode()))
+        self._word = Recent(lambda w: self._ids(w.encode()), CACHE_WORDS)
         # text between single blanks, which the pattern never reads across
-        self._first = _Memo(self._chunk)
-        self._rest = _Memo(lambda c: self._chunk(" " + c))
+        self._first = Recent(self._chunk, CACHE_WORDS // 8)
+        self._rest = Recent(lambda c: self._chunk(" " + c), CACHE_WORDS)
 
     def _ids(self, word: bytes) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.automaton.encode(word))
@@ -183,22 +182,6 @@ class Tokenizer:
 _WIDE = re.compile(r" \s|\s ")
 
 
-class _Memo(dict):
-    """Results by short string, forgotten all at once when there are too many."""
-
-    def __init__(self, make):
-        super().__init__()
-        self._make = make
-
-    def __missing__(self, key):
-        value = self._make(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[key] = value
-        return value
-
-
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     """One compiled tokenizer per Python worker and file."""

@@ -47,3 +47,23 @@ def attach_groups(
     return left.join(F.broadcast(hot), key).unionByName(
         left.join(hot_keys, key, "left_anti").join(cold, key)
     )
+
+
+class Recent(dict):
+    """Results by short string: the last ``size`` to 2 * ``size`` that were asked for."""
+
+    def __init__(self, make, size: int, longest: int = 48):
+        super().__init__()
+        self.make, self.size, self.longest = make, size, longest
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from .common import small_batches, texts
 
-# words remembered by a Python worker
-CACHE_WORDS = 400_000
+# words remembered by a Python worker, twice this at most
+CACHE_WORDS = 500_000
 CACHE_CHARS = 48
 # pieces of one length that a task ranks at once, as a mean
 RANK_ROWS = 200_000
@@ -262,10 +262,16 @@ def pack(pieces: DataFrame, length: str, order_by: list[str], capacity: int = 20
 # --- texts to pieces -----------------------------------------------------------------
 
 
+# between words that are encoded in one call; a word that holds it is encoded alone
+_MARK = b"\x01"
+
+
 class _Words:
     """Ids of words by the tokenizers library, remembered by word.
 
-    The vocabulary drops white space, so words between blanks are encoded independently.
+    The vocabulary ignores case and drops white space, so words between white space are
+    encoded independently, and lower-casing A-Z first makes fewer of them. Only a text
+    with the start of a special string, which is told by its case, goes in whole.
     """
 
     def __init__(self, path: str):
@@ -275,21 +281,53 @@ class _Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.mark = self._ids(_MARK.decode())
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode_new(self, new: list[bytes]) -> None:
+        plain = [w for w in new if _MARK not in w]
+        if len(self.mark) != 4:
+            plain = []
+        joined = [
+            (b" " + _MARK + b" ").join(plain[i : i + 256]).decode()
+            for i in range(0, len(plain), 256)
+        ]
+        mark = int.from_bytes(self.mark, "little") if joined else 0
+        for n, e in enumerate(self.library.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = [-1, *np.flatnonzero(ids == mark).tolist(), len(ids)]
+            coded = ids.tobytes()
+            words = plain[256 * n : 256 * n + 256]
+            for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
+                self.known[w] = coded[4 * a + 4 : 4 * b]
+        for w in set(new).difference(plain):
+            self.known[w] = self._ids(w.decode())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.split(" ") for text in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        coded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, coded)}
-        known.update(fresh)
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        split = [() if i in whole else t.encode().lower().split() for i, t in enumerate(texts)]
+        known, old = self.known, self.old
+        new = []
+        for w in set().union(*split):
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.append(w)
+        self._encode_new(new)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for i in whole:
+            out[i] = self._ids(texts[i])
         for w in new:
             if len(w) > CACHE_CHARS:
                 del known[w]
+        if len(known) > CACHE_WORDS:
+            self.known, self.old = {}, known
         return out
 
 
