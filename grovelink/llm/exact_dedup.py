@@ -25,6 +25,8 @@ from ..scratch import Scratch
 from .common import attach_groups
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# keys in a partition of a new state, as a mean
+STATE_ROWS = 10_000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -54,9 +56,16 @@ def _located(docs: DataFrame, scratch: Scratch) -> DataFrame:
 class DedupState:
     """Keyed state in a shared folder; the same folder can be opened again."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    def __init__(
+        self, spark: SparkSession, folder: str | None = None, partitions: int = 8
+    ):
+        """``partitions`` is fixed by the first use of a folder: a state can't be dealt anew
+        later, so it is chosen by the number of keys to come, not by the session's setting
+        for shuffles. Each has a database of its own with a fixed cost of some megabytes.
+        """
         self.spark = spark
         self.folder = folder or Scratch(spark, "dedup-state").folder
+        self.partitions = partitions
 
     def add(self, arrivals: DataFrame) -> None:
         """arrivals(doc_id, digest, file, row) join the state."""
@@ -66,7 +75,7 @@ class DedupState:
         for key, value in {
             "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
             "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-            "spark.sql.shuffle.partitions": self.spark.conf.get("spark.sql.shuffle.partitions"),
+            "spark.sql.streaming.internal.stateStore.partitions": str(self.partitions),
         }.items():
             session.conf.set(key, value)
         source = session.readStream.schema(arrivals.schema).parquet(inbox)
@@ -110,7 +119,7 @@ def deduplicate(
     seen = scratch.store(located.select("doc_id", "digest", "file", "row"))
     if not seen.rows:
         return _result(seen.df.select("*", *_none()))
-    state = DedupState(spark, state_folder)
+    state = DedupState(spark, state_folder, max(8, seen.rows // STATE_ROWS))
     state.add(seen.df)
     groups = scratch.store(state.groups())
     joined = attach_groups(seen.df, groups.df, "digest", "group_size", seen.rows)
