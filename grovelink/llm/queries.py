@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, pii, quality
+from . import ann, bpe, chat, exact_dedup, near_dedup, packing, pii, quality
 from .common import table
 
 CAPACITY = 2048
@@ -59,6 +59,14 @@ def op5_bpe_automaton(spark, sf):
     return bpe.encode(table(spark, sf, "documents"), path, digests=True)
 
 
+def op8_multi_index(spark, sf):
+    return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_minhash_join(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents"))
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -79,7 +87,9 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_trees": op4_quality_trees,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op8_multi_index": op8_multi_index,
     "op9_chat_format": op9_chat_format,
+    "op10_minhash_join": op10_minhash_join,
 }
 
 ORACLE_SQL = {
