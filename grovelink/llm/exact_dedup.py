@@ -167,11 +167,13 @@ def _compared(
     differs = (
         texts.df.where("not stays").join(stay, "digest").where(F.col("text") != F.col("stay_text"))
     )
-    odd = scratch.store(differs.select("digest").distinct())
-    if not odd.rows:
+    # no grouping here: it would keep Spark from splitting the skewed key of the join
+    found = scratch.store(differs.select("digest"))
+    if not found.rows:
         scratch.drop(texts)
         return None, None
-    rows = texts.df.join(odd.df, "digest", "left_semi").drop("keep_file", "keep_row", "stays")
+    odd = found.df.distinct()
+    rows = texts.df.join(odd, "digest", "left_semi").drop("keep_file", "keep_row", "stays")
     best = F.max(F.struct("doc_id", "file", "row"))
     by_text = rows.groupBy("digest", "text").agg(
         best.alias("best"), F.count(F.lit(1)).alias("group_size")
@@ -183,7 +185,7 @@ def _compared(
         F.col("best.row").alias("keep_row"),
         "group_size",
     )
-    return odd.df, grouped
+    return odd, grouped
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
