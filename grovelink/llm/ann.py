@@ -12,6 +12,9 @@ shard size over several shards by vec_id. A query goes once to each shard that h
 of its cells, a shard scores blocks of queries against its entries and keeps the best k
 per query, and the best k over the shards are the answer.
 
+Vectors without structure (uniform directions in 64 dimensions) are the worst case: half of
+the entries have to be met for a recall of 0.93 to 0.96 at 20 neighbours.
+
 For the budget a crowded cell counts as ``crowd`` times the mean cell at most, so copies of
 one vector don't use a query's budget up; all their entries are still scored.
 
@@ -35,7 +38,7 @@ from ..scratch import Scratch
 from .common import small_batches
 
 SAMPLE_ROWS = 20_000  # the codebooks are fitted on at most so many vectors
-CENTROIDS = 32
+CENTROIDS = 64
 SHARD_ROWS = 8192
 QUERY_BLOCK = 256
 QUERY_PARTS = 8  # a shard's queries are dealt over so many tasks
@@ -131,7 +134,7 @@ def nearest(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    probe: float = 0.45,
+    probe: float = 0.5,
     centroids: int = CENTROIDS,
     crowd: float = 8.0,
     sample_rows: int = SAMPLE_ROWS,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, near_dedup, packing, pii, quality
+from . import ann, bpe, chat, exact_dedup, near_dedup, packing, pii, quality, repeats
 from .common import table
 
 CAPACITY = 2048
@@ -59,6 +59,13 @@ def op5_bpe_automaton(spark, sf):
     return bpe.encode(table(spark, sf, "documents"), path, digests=True)
 
 
+def op6_repeated_bytes(spark, sf):
+    cut = repeats.remove_repeats(table(spark, sf, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_multi_index(spark, sf):
     return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -87,6 +94,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_trees": op4_quality_trees,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_repeated_bytes": op6_repeated_bytes,
     "op8_multi_index": op8_multi_index,
     "op9_chat_format": op9_chat_format,
     "op10_minhash_join": op10_minhash_join,
