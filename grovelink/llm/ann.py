@@ -41,7 +41,8 @@ SAMPLE_ROWS = 20_000  # the codebooks are fitted on at most so many vectors
 CENTROIDS = 64
 SHARD_ROWS = 8192
 QUERY_BLOCK = 256
-QUERY_PARTS = 8  # a shard's queries are dealt over so many tasks
+QUERY_ROWS = 8192  # queries that a task meets with one shard, as a mean
+LEAST_TASKS = 16
 
 
 def _valid(vector: Column) -> Column:
@@ -187,6 +188,9 @@ def nearest(
             shard, filled = shard + 1, 0
         shard_of[cell] = list(range(shard, shard + parts))
         shard, filled = (shard + parts, 0) if parts > 1 else (shard, filled + sizes[cell])
+    shards = shard + bool(filled)
+    n_queries = index.df.where(is_query).count()
+    query_parts = max(1, -(-n_queries // QUERY_ROWS), -(-LEAST_TASKS // shards))
     weighed = np.minimum(sizes, crowd * sizes.sum() / max(1, np.count_nonzero(sizes)))
     enough = probe * weighed.sum()
 
@@ -227,11 +231,11 @@ def nearest(
             )
 
     entries = index.df.mapInArrow(deal, "shard int, vec_id long, v array<double>, cell int")
-    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(QUERY_PARTS - 1))))
+    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
     queries = index.df.where(is_query).mapInArrow(
         probe_cells, "shard int, query_id long, q array<double>, cells array<int>"
     )
-    part = F.pmod(F.xxhash64("query_id"), F.lit(QUERY_PARTS)).cast("int")
+    part = F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int")
     queries = queries.withColumn("part", part)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -278,6 +278,16 @@ def near_duplicates(
     )
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The documents that stand for their component, with all their columns."""
+    stays = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    boxed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
+        F.col("doc_id").cast("long").alias("own_id"),
+    )
+    return boxed.join(stays, boxed["own_id"] == stays["kept_id"], "left_semi").select("document.*")
+
+
 # a look-up table that is broadcast has at most so many rows of a few numbers
 _LIMITS = Limits(broadcast_rows=20_000, pointer_rows=20_000, finish_edges=20_000)
 
