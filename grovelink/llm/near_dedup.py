@@ -7,8 +7,9 @@
    collide; classes with fewer than ``matches`` shared ones have no partner and go.
 3. Two classes that agree in at least ``matches`` coordinates agree in one of the first
    s - matches + 1 of either's s shared values, rarest first. Only that prefix is
-   joined, the frequent rest is skipped; postings that differ too much in set size for the
-   similarity are skipped as well. Collisions are then counted on the whole signatures.
+   joined, the frequent rest is skipped. In the join, postings that differ too much in set
+   size for the similarity are skipped as well, and so are pairs that collide too rarely: the
+   collisions are counted on sketches of 128 minima that the postings carry.
 4. Pairs that agree often enough are confirmed on the full shingle sets.
 
 Large groups of near copies would still meet in all pairs, so steps 3 and 4 run in rounds.
@@ -16,8 +17,8 @@ In the first two each class meets only the hub of its list (the smallest, then t
 id), and what that confirms is merged. Then lists that still hold several components are
 joined in full, but only across components. No link between components is lost.
 
-With 48 coordinates and 21 matches a pair at the threshold of 0.75 is missed with a
-probability of 2e-6, at 0.8 of 2e-9.
+With 48 coordinates and 21 matches, and 70 of 128 matches in the sketch, a pair at the
+threshold of 0.75 is missed with a probability of 2e-6, at 0.8 of 1e-8.
 
 Defined cases: a null text is empty; a text without words has no shingles and no links; one
 with fewer words than a shingle is one shingle; repeated rows (also with equal doc_id) are
@@ -40,9 +41,12 @@ from ..scratch import Scratch
 from .common import Recent, small_batches, texts
 
 WORDS, COORDINATES, MATCHES, PERCENT = 5, 48, 21, 75
+# a sketch has four bits of each of so many minima; similar sets agree in so many of them
+SKETCHED, SKETCH_MATCHES = 128, 70
+SKETCH = [f"s{i}" for i in range(SKETCHED // 16)]
 CACHE_WORDS = 300_000
 PARTNERS = 64  # pairs that are confirmed against one class in one group
-_BLOCK = 4096
+_BLOCK = 1024
 
 _rng = np.random.default_rng(20_11)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,14 +81,19 @@ class Shingler:
         return np.unique(_mixed(total))
 
 
-def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
-    """Minima of ``coordinates`` permutations, cut to 32 bits."""
-    low = np.full(coordinates, np.iinfo(np.uint64).max, dtype=np.uint64)
-    turn, flip = _TURN[:coordinates, None], _FLIP[:coordinates, None]
+def signature(shingles: np.ndarray, coordinates: int) -> tuple[np.ndarray, np.ndarray]:
+    """Minima of SKETCHED permutations: the first ``coordinates`` cut to 32 bits, and
+    a sketch of four bits of each, sixteen to a LONG."""
+    low = np.full(SKETCHED, np.iinfo(np.uint64).max, dtype=np.uint64)
+    turn, flip = _TURN[:SKETCHED, None], _FLIP[:SKETCHED, None]
     for at in range(0, len(shingles), _BLOCK):
-        block = (shingles[None, at : at + _BLOCK] ^ flip) * turn
+        block = shingles[None, at : at + _BLOCK] ^ flip
+        block *= turn
         np.minimum(low, block.min(axis=1), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    values = (low[:coordinates] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    four = ((low >> np.uint64(20)) & np.uint64(15)).reshape(-1, 16)
+    sketch = (four << (np.uint64(4) * np.arange(16, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    return values, sketch.view(np.int64)
 
 
 def _key(shingles: np.ndarray) -> tuple[int, int]:
@@ -99,14 +108,16 @@ def _sets(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            size, high, low, rows = [], [], [], []
+            size, high, low, rows, sketches = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingler(text)
                 one, two = _key(shingles)
                 size.append(len(shingles))
                 high.append(one)
                 low.append(two)
-                rows.append(signature(shingles, coordinates) if len(shingles) else None)
+                values, sketch = signature(shingles, coordinates)
+                rows.append(values)
+                sketches.append(sketch)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -114,12 +125,15 @@ def _sets(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
                     pa.array(high, pa.int64()),
                     pa.array(low, pa.int64()),
                     pa.array(rows, pa.list_(pa.int32())),
+                    *(pa.array(c) for c in np.array(sketches).reshape(-1, len(SKETCH)).T),
                 ],
-                names=["doc_id", "n_shingles", "high", "low", "signature"],
+                names=["doc_id", "n_shingles", "high", "low", "signature", *SKETCH],
             )
 
     return texts(docs).mapInArrow(
-        run, "doc_id long, n_shingles long, high long, low long, signature array<int>"
+        run,
+        "doc_id long, n_shingles long, high long, low long, signature array<int>, "
+        + ", ".join(f"{c} long" for c in SKETCH),
     )
 
 
@@ -139,29 +153,34 @@ def _postings(scratch: Scratch, classes: DataFrame, matches: int) -> DataFrame:
         .where(F.size("values") >= matches)
     )
     prefix = F.slice("values.key", F.lit(1), F.size("values") - (matches - 1))
-    out = scratch.store(shared.select("id", "n", F.explode(prefix).alias("key")))
+    posted = shared.select("id", "n", F.explode(prefix).alias("key"))
+    out = scratch.store(posted.join(classes.select("id", *SKETCH), "id"))
     scratch.drop(each)
     return out
 
 
-def _agree(a: str, b: str, matches: int) -> F.Column:
-    same = F.zip_with(a, b, lambda x, y: (x == y).cast("int"))
-    return F.aggregate(same, F.lit(0), lambda acc, x: acc + x) >= matches
-
+def _alike(percent: int) -> F.Column:
+    """Set sizes under which the similarity can be reached, and sketches that agree enough.
 
-def _candidates(
-    scratch: Scratch, pairs: DataFrame, classes: DataFrame, matches: int
-):
-    """Distinct pairs (a, b) with enough equal coordinates in the whole signatures."""
-    own = classes.select("id", "signature")
-    found = (
-        pairs.distinct()
-        .join(own.toDF("a", "sig_a"), "a")
-        .join(own.toDF("b", "sig_b"), "b")
-        .where(_agree("sig_a", "sig_b", matches))
-        .select("a", "b")
+    Part of the joins of posting lists, so that pairs without a chance never become rows.
+    """
+    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (
+        F.col("n_b") * 100 >= F.col("n_a") * percent
     )
-    return scratch.store(found)
+    differ = F.lit(0)
+    for c in SKETCH:
+        bits = F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+    return sizes & (differ <= SKETCHED - SKETCH_MATCHES)
+
+
+def _side(lists: DataFrame, x: str) -> DataFrame:
+    """Postings as one side of a join."""
+    marks = [F.col(c).alias(f"{c}_{x}") for c in ("n", *SKETCH) if c in lists.columns]
+    more = [F.col("comp").alias(f"comp_{x}")] if "comp" in lists.columns else []
+    return lists.select("key", F.col("id").alias(x), *marks, *more)
 
 
 def _confirmed(
@@ -234,13 +253,16 @@ def near_duplicates(
     # the smallest doc_id stands for a class, and one class for a doc_id
     classes = scratch.store(linked.groupBy("high", "low").agg(F.min("doc_id").alias("id")))
     kind = F.struct(F.col("n_shingles").alias("n"), "high", "low")
-    first = linked.select(F.col("doc_id").alias("id"), "high", "low", kind.alias("kind"), "signature")
+    first = linked.select(F.col("doc_id").alias("id"), "high", "low", kind.alias("kind"), "signature", *SKETCH)
     # copies of a class stand behind its first document, so they needn't go any further
     signed = scratch.store(
         first.join(classes.df, ["high", "low", "id"])
         .groupBy("id")
-        .agg(F.min("kind").alias("kind"), F.min_by("signature", "kind").alias("signature"))
-        .select("id", "kind.*", "signature")
+        .agg(
+            F.min("kind").alias("kind"),
+            *[F.min_by(c, "kind").alias(c) for c in ("signature", *SKETCH)],
+        )
+        .select("id", "kind.*", "signature", *SKETCH)
     ).df
     posted = _postings(scratch, signed, matches).df
     involved = posted.select("id").distinct().join(signed.select("id", "low"), "id")
@@ -252,14 +274,14 @@ def near_duplicates(
     for hub in (F.min("id"), F.max("id")):
         lists = posted if found is None else _still_open(scratch, posted, merged)
         pairs = _to_hubs(lists, hub, percent)
-        some = _candidates(scratch, pairs, signed, matches)
-        edges = scratch.store(_confirmed(scratch, some.df, text, words, percent)).df
+        some = scratch.store(pairs).df
+        edges = scratch.store(_confirmed(scratch, some, text, words, percent)).df
         found = edges if found is None else found.unionByName(edges)
         merged = _components(scratch, found, signed).df
 
     across = _across(_still_open(scratch, posted, merged), percent)
-    rest = _candidates(scratch, across, signed, matches)
-    more = scratch.store(_confirmed(scratch, rest.df, text, words, percent))
+    rest = scratch.store(across).df
+    more = scratch.store(_confirmed(scratch, rest, text, words, percent))
     if more.rows:
         merged = _components(scratch, found.unionByName(more.df), signed).df
 
@@ -297,23 +319,12 @@ def _components(scratch: Scratch, edges: DataFrame, classes: DataFrame):
     return scratch.store(connected_components(edges, classes.select("id"), _LIMITS))
 
 
-def _alike(percent: int) -> F.Column:
-    """Set sizes under which the similarity can be reached."""
-    return (F.col("n_a") * 100 >= F.col("n_b") * percent) & (
-        F.col("n_b") * 100 >= F.col("n_a") * percent
-    )
-
-
 def _to_hubs(lists: DataFrame, hub, percent: int) -> DataFrame:
     """(a, b): each class of a list with the class that ``hub`` picks from it."""
-    hubs = lists.groupBy("key").agg(hub.alias("hub"))
-    sizes = lists.select(F.col("id").alias("hub"), F.col("n").alias("n_a"), "key")
-    pairs = (
-        lists.select("key", "id", F.col("n").alias("n_b"))
-        .join(hubs.join(sizes, ["key", "hub"]), "key")
-        .where((F.col("id") != F.col("hub")) & _alike(percent))
-    )
-    return pairs.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    hubs = lists.groupBy("key").agg(hub.alias("a"))
+    hubs = hubs.join(_side(lists, "a"), ["key", "a"])
+    met = _side(lists, "b").join(hubs, "key").where((F.col("a") != F.col("b")) & _alike(percent))
+    return met.select("a", "b").distinct()
 
 
 def _still_open(scratch: Scratch, posted: DataFrame, merged: DataFrame) -> DataFrame:
@@ -329,14 +340,6 @@ def _still_open(scratch: Scratch, posted: DataFrame, merged: DataFrame) -> DataF
 
 def _across(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b) of all classes that share a list and are in different components."""
-    one, two = (
-        lists.select(
-            "key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("comp").alias(f"c_{x}")
-        )
-        for x in "ab"
-    )
-    return (
-        one.join(two, "key")
-        .where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _alike(percent))
-        .select("a", "b")
-    )
+    one, two = _side(lists, "a"), _side(lists, "b")
+    met = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _alike(percent)
+    return one.join(two, "key").where(met).select("a", "b").distinct()
