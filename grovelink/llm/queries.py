@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, near_dedup, packing, pii, quality, repeats
+from . import ann, bpe, chat, exact_dedup, licenses, near_dedup, packing, pii, quality, repeats
 from .common import table
 
 CAPACITY = 2048
@@ -66,6 +66,18 @@ def op6_repeated_bytes(spark, sf):
     )
 
 
+def op7_license_paragraphs(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = licenses.scan(docs, licenses.train(docs))
+    families = F.array_sort(F.array_distinct("found.family"))
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_notices"),
+        F.array_join(families, ",").alias("families"),
+        F.array_join(F.col("found.line").cast("array<string>"), ",").alias("lines"),
+    )
+
+
 def op8_multi_index(spark, sf):
     return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -95,6 +107,7 @@ QUERIES = {
     "op4_quality_trees": op4_quality_trees,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_repeated_bytes": op6_repeated_bytes,
+    "op7_license_paragraphs": op7_license_paragraphs,
     "op8_multi_index": op8_multi_index,
     "op9_chat_format": op9_chat_format,
     "op10_minhash_join": op10_minhash_join,
