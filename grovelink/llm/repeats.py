@@ -6,7 +6,7 @@ the same or another document.
 1. Anchors. Every window of ``length`` bytes has one anchor: the place of its smallest
    hashed ``GRAM``-gram, the leftmost of equal ones. It depends on the window's content
    alone, so equal windows have equal anchors at equal places. Neighbouring windows
-   share anchors: a document has about one per 90 bytes, each with the run of windows it
+   share anchors: a document has about one per 70 bytes, each with the run of windows it
    stands for and a digest of their bytes (the context).
 2. Anchors that occur once have no repeated window. Of the others, equal contexts are
    folded to one with its number of occurrences.
@@ -18,9 +18,11 @@ the same or another document.
    increasing value, and the expansion stops at ``length``: what is still unknown then
    shares at least ``length`` bytes with its neighbour. These are the repeated windows,
    beside all windows of contexts that occur more than once.
-4. An anchor with more than ``group`` different contexts isn't dealt to a bucket: its
-   windows are counted by their digests, each a row of its own, so no group grows with a
-   frequent line.
+4. An anchor with more than ``group`` different contexts isn't dealt to a bucket. Its
+   windows are split in two runs by the side that reaches further from the gram; all
+   windows of a run share that side's bytes, which make a longer anchor. Steps 2 and 3 are
+   done again for these, and only if one is still too frequent, its windows are counted
+   by their digests, each a row of its own. So no group grows with a frequent line.
 5. The repeated windows of all occurrences are cut out of the documents.
 
 Defined cases: a null text is empty; a text shorter than ``length`` stays; repeated rows (also
@@ -42,8 +44,8 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from .common import small_batches, texts
 
-LENGTH, GRAM = 200, 16
-GROUP = 1000  # different contexts of an anchor that a bucket takes
+LENGTH, GRAM = 200, 64
+GROUP = 8000  # different contexts of an anchor that a bucket takes
 BUCKET_BYTES = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -278,18 +280,36 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, length: int, group: int) ->
         .dropDuplicates(["anchor", "context"]),
         size=F.coalesce(F.sum(F.length("bytes")), F.lit(0)),
     )
-    # buckets hold whole anchors, each bounded by ``group`` contexts
-    buckets = max(1, int(cuts.metrics["size"] or 0) // BUCKET_BYTES)
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).alias("bucket")
-    few = cuts.df.where(F.col("kinds") <= group).select(bucket, "anchor", "context", "times", "bytes")
+    few = cuts.df.where(F.col("kinds") <= group)
+    in_buckets = _in_buckets(few, int(cuts.metrics["size"] or 0), length)
+    alone = folded.df.where("times > 1").select(
+        "anchor",
+        "context",
+        F.array(F.struct(F.lit(0).alias("first"), F.col("windows").cast("int").alias("count"))).alias("runs"),
+    )
+    single = alone.join(kinds.where("kinds = 1").select("anchor"), "anchor", "left_semi")
+    runs = in_buckets.unionByName(single)
+    many = scratch.store(cuts.df.where(F.col("kinds") > group))
+    if many.rows:
+        runs = runs.unionByName(_by_side(scratch, many.df, length, group))
+    runs = scratch.store(runs.where(F.size("runs") > 0))
+    return shared.df.join(runs.df, ["anchor", "context"]).select(
+        "uid", F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), r["count"].alias("count"))).alias("runs")
+    )
+
+
+def _in_buckets(contexts: DataFrame, size: int, length: int) -> DataFrame:
+    """(anchor, context, runs) of contexts(anchor, context, times, bytes) of ``size`` bytes."""
+    # buckets hold whole anchors, each with a bounded number of contexts
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, size // BUCKET_BYTES))).alias("bucket")
 
     def expand(bucket: pa.Table) -> pa.Table:
-        contexts = bucket.column("bytes").to_pylist()
-        found = repeated_windows(contexts, length)
-        times = bucket.column("times").to_pylist()
+        own = bucket.column("bytes").to_pylist()
         runs = [
             [(0, len(c) - length + 1)] if t > 1 else _runs(f)
-            for c, f, t in zip(contexts, found, times)
+            for c, f, t in zip(
+                own, repeated_windows(own, length), bucket.column("times").to_pylist()
+            )
         ]
         return pa.table(
             {
@@ -299,22 +319,75 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, length: int, group: int) ->
             }
         )
 
-    in_buckets = few.groupBy("bucket").applyInArrow(expand, f"anchor long, context long, runs {RUNS}")
-    alone = folded.df.where("times > 1").select(
-        "anchor",
-        "context",
-        F.array(F.struct(F.lit(0).alias("first"), F.col("windows").cast("int").alias("count"))).alias("runs"),
+    dealt = contexts.select(bucket, "anchor", "context", "times", "bytes")
+    return dealt.groupBy("bucket").applyInArrow(
+        expand, f"anchor long, context long, runs {RUNS}"
     )
-    single = alone.join(kinds.where("kinds = 1").select("anchor"), "anchor", "left_semi")
-    runs = in_buckets.unionByName(single)
-    many = cuts.df.where(F.col("kinds") > group)
-    crowded = scratch.store(many.groupBy("anchor").agg(F.first("kinds").alias("kinds")))
-    if crowded.rows:
-        runs = runs.unionByName(_by_window(many, length))
-    runs = scratch.store(runs.where(F.size("runs") > 0))
-    return shared.df.join(runs.df, ["anchor", "context"]).select(
-        "uid", F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), r["count"].alias("count"))).alias("runs")
+
+
+def _by_side(scratch: Scratch, many: DataFrame, length: int, group: int) -> DataFrame:
+    """The same for frequent anchors, made longer by the side that reaches further."""
+    reach = (length - GRAM + 1) // 2
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, longer, part, first, own = [], [], [], [], []
+            for row, context in enumerate(batch.column(3).to_pylist()):
+                count = len(context) - length + 1
+                data = np.frombuffer(context, dtype=np.uint8)
+                at = count - 1 + int((_gram_hashes(data)[count - 1 : length - GRAM + 1] >> np.uint64(32)).argmin())
+                cut = min(max(at - reach + 1, 0), count)  # windows before it reach left
+                for side, (a, b) in enumerate(((0, cut), (cut, count))):
+                    if a == b:
+                        continue
+                    fixed = context[at - reach : at + GRAM] if side == 0 else context[at : at + GRAM + reach]
+                    piece = context[a : b - 1 + length]
+                    rows.append(row)
+                    longer.append(xxhash.xxh3_64_intdigest(fixed, seed=side) - (1 << 63))
+                    part.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
+                    first.append(a)
+                    own.append(piece)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i).take(take) for i in range(3)),
+                    pa.array(longer, pa.int64()),
+                    pa.array(part, pa.int64()),
+                    pa.array(first, pa.int32()),
+                    pa.array(own, pa.binary()),
+                ],
+                names=["anchor", "context", "times", "longer", "part", "first", "bytes"],
+            )
+
+    sides = scratch.store(
+        many.select("anchor", "context", "times", "bytes").mapInArrow(
+            split,
+            "anchor long, context long, times long, longer long, part long, first int, bytes binary",
+        )
+    )
+    parts = scratch.store(
+        sides.df.groupBy("longer", "part").agg(
+            F.sum("times").alias("times"), F.first("bytes").alias("bytes")
+        )
+    )
+    kinds = parts.df.groupBy("longer").agg(
+        F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("all")
+    )
+    again = scratch.store(
+        parts.df.join(kinds.where("all > 1"), "longer")
+        .withColumnRenamed("longer", "anchor")
+        .withColumnRenamed("part", "context"),
+        size=F.coalesce(F.sum(F.length("bytes")), F.lit(0)),
+    )
+    runs = _in_buckets(again.df.where(F.col("kinds") <= group), int(again.metrics["size"] or 0), length)
+    runs = runs.unionByName(_by_window(again.df.where(F.col("kinds") > group), length)).toDF(
+        "longer", "part", "runs"
+    )
+    back = sides.df.drop("bytes", "times").join(runs.where(F.size("runs") > 0), ["longer", "part"])
+    moved = F.transform(
+        "runs", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), r["count"].alias("count"))
     )
+    return back.groupBy("anchor", "context").agg(F.flatten(F.collect_list(moved)).alias("runs"))
 
 
 def _by_window(many: DataFrame, length: int) -> DataFrame:
