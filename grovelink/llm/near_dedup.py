@@ -14,7 +14,8 @@
 
 Large groups of near copies would still meet in all pairs, so steps 3 and 4 run in rounds.
 In the first two each class meets only the hub of its list (the smallest, then the largest
-id), and what that confirms is merged. Then lists that still hold several components are
+id), and what that confirms is merged. The classes of lists that still hold several
+components are posted once more, under the rarest of their shingles, and these lists are
 joined in full, but only across components. No link between components is lost.
 
 With 48 coordinates and 21 matches, and 70 of 128 matches in the sketch, a pair at the
@@ -279,7 +280,8 @@ def near_duplicates(
         found = edges if found is None else found.unionByName(edges)
         merged = _components(scratch, found, signed).df
 
-    across = _across(_still_open(scratch, posted, merged), percent)
+    lists = _still_open(scratch, posted, merged)
+    across = _across(_rare_shingles(scratch, lists, text, words, percent), percent)
     rest = scratch.store(across).df
     more = scratch.store(_confirmed(scratch, rest, text, words, percent))
     if more.rows:
@@ -338,6 +340,50 @@ def _still_open(scratch: Scratch, posted: DataFrame, merged: DataFrame) -> DataF
     return scratch.store(labelled.join(mixed.select("key"), "key", "left_semi")).df
 
 
+def _rare_shingles(
+    scratch: Scratch, lists: DataFrame, text: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """Lists of the classes in ``lists`` under shingles instead of coordinates, again only
+    the prefix: of n shingles the n - ceil(n * percent / 100) + 1 rarest among these classes.
+
+    What shares a frequent passage and little else meets under coordinates, but not here.
+    """
+    own = lists.drop("key").dropDuplicates(["id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            rows, found = [], []
+            for row, (text, key) in enumerate(zip(batch.column(1), batch.column(2))):
+                shingles = shingler(text.as_py())
+                if _key(shingles)[1] == key.as_py():
+                    rows.append(np.full(len(shingles), row))
+                    found.append(shingles.view(np.int64))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(np.concatenate(rows))),
+                        pa.array(np.concatenate(found)),
+                    ],
+                    names=["id", "key"],
+                )
+
+    open_text = text.join(own.select("id"), "id", "left_semi").select("id", "text", "low")
+    each = scratch.store(open_text.mapInArrow(run, "id long, key long").distinct())
+    often = each.df.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # shingles of one class alone come first in the order; their number is what n lacks
+    shared = (
+        each.df.join(often, "key")
+        .groupBy("id")
+        .agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("keys"))
+        .join(own, "id")
+    )
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    left = length - (F.col("n") - F.size("keys"))
+    prefix = F.slice("keys.key", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
+    return scratch.store(shared.select(F.explode(prefix).alias("key"), *own.columns)).df
+
+
 def _across(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b) of all classes that share a list and are in different components."""
     one, two = _side(lists, "a"), _side(lists, "b")
