@@ -32,7 +32,6 @@ several texts; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -436,7 +435,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     own = texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("uid"))
     runs = repeated_runs(own.select("uid", "text"), scratch, length, group)
     by_text = scratch.store(
-        runs.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+        runs.groupBy("uid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     )
     joined = own.join(by_text.df, "uid", "left").select("doc_id", "text", "runs")
 
