@@ -16,7 +16,6 @@ from ..scratch import Scratch, Stored
 from .contraction import best_of, follow_pointers, rank_by_weight, relabel_ranked
 
 RUN_BITS = 40
-MAX_ROUNDS = 40
 
 
 def tag_run(id_col: Column, run: Column) -> Column:
@@ -98,7 +97,7 @@ def agglomerate(
     vertices: DataFrame,
     num_clusters: int = 3,
     leader: str = "path_min",
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
     runs: int = 1,
     limits: Limits = DEFAULT_LIMITS,
 ) -> Hierarchy:
@@ -107,6 +106,7 @@ def agglomerate(
     Before each round a run stops when it has at most ``num_clusters`` vertices
     or no arcs left; it also stops after a round that changed nothing. Ties
     follow the total order (w, smaller id, larger id) of the original arcs.
+    ``max_rounds`` cuts all runs off after so many rounds; by default nothing does.
     """
     if leader not in ("path_min", "component_min"):
         raise ValueError(f"unknown leader mode {leader!r}")
@@ -128,7 +128,7 @@ def agglomerate(
     live_arcs, live_ids, alive = ranked, start.df, counts(start)
     rounds, active = [0] * runs, [n > num_clusters for n in alive]
     leaders, merges, round_no = [], [], 0
-    while any(active) and live_arcs.rows and round_no < max_rounds:
+    while any(active) and live_arcs.rows and round_no != max_rounds:
         round_no += 1
         if not all(active):
             going = [i for i in range(runs) if active[i]]

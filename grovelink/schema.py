@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .lookup import DEFAULT_LIMITS, Limits, lookup
 from .scratch import Scratch
 
-TOP_ROWS = 100_000
+TOP_ROWS = 1_000  # of every task, so what one task merges stays small
 EDGE_SCHEMA = "src long, dst long, w double"
 
 

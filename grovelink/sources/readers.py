@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.weights import random_weight
-from ..schema import TOP_ROWS, assign_ids, canonical_edges, first_n
+from ..schema import assign_ids, canonical_edges, first_n
 
 POLYGON_SCHEMA = (
     "n long, m long, x array<double>, y array<double>, edge_i array<long>, edge_j array<long>"
@@ -84,19 +84,28 @@ def read_edge_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return canonical_edges(edges), names
 
 
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """Ids 0..n-1 by file name, then by row in the file, however the files are split."""
+    placed = rows.select(
+        *rows.columns,
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    return assign_ids(placed, "_file", "_block", "_at").drop("_file", "_block", "_at")
+
+
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
     """vertices of a CSV with two coordinate columns and no header."""
     rows = spark.read.csv(path, schema="x double, y double")
-    return assign_ids(rows).select("id", F.array("x", "y").alias("features"))
+    return _in_file_order(rows).select("id", F.array("x", "y").alias("features"))
 
 
 def read_csv_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """vertices from two named columns of a CSV with header, in the requested order."""
-    rows = spark.read.csv(path, header=True).select(
-        *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]
-    )
-    return assign_ids(rows).select(
-        "id", F.array(*[F.col(f"`{c}`") for c in columns]).alias("features")
+    rows = _in_file_order(spark.read.csv(path, header=True))
+    return rows.select(
+        "id", F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("features")
     )
 
 
@@ -105,10 +114,9 @@ def read_feature_table(
 ) -> DataFrame:
     """(id, columns...): CSV with header, all columns numeric; optionally the first rows only."""
     rows = spark.read.csv(path, header=True)
-    rows = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in rows.columns])
-    if max_samples and max_samples <= TOP_ROWS:
-        return assign_ids(rows.limit(max_samples))
-    numbered = assign_ids(rows)
+    numbered = _in_file_order(rows).select(
+        "id", *[F.col(f"`{c}`").cast("double").alias(c) for c in rows.columns]
+    )
     return numbered.where(F.col("id") < max_samples) if max_samples else numbered
 
 

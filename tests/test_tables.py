@@ -229,3 +229,17 @@ def test_scratch_counts_and_empty(spark):
     empty = scratch.store(spark.range(10).where("id < 0").groupBy("id").count())
     assert empty.rows == 0 and empty.df.count() == 0
     scratch.drop(done)
+
+
+def test_ids_follow_files_and_rows(spark, tmp_path):
+    from grovelink.sources.readers import read_feature_table
+
+    n = 0
+    for name, rows in (("a", 10), ("b", 5000), ("c", 3)):
+        lines = [f"0,{n + i}" for i in range(rows)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(["signal,f1", *lines]) + "\n")
+        n += rows
+    whole = read_feature_table(spark, str(tmp_path)).collect()
+    assert len(whole) == n and all(r.id == r.f1 for r in whole)
+    few = read_feature_table(spark, str(tmp_path), max_samples=12).collect()
+    assert sorted(r.f1 for r in few) == list(range(12))
