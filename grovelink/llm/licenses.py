@@ -47,6 +47,7 @@ NOTICES = {
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3",
+        "Licensed under the GNU General Public License, version 2",
         "This program is free software: you can redistribute it and/or modify it under the terms"
         " of the GNU General Public License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
