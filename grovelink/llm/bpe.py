@@ -30,6 +30,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -140,9 +141,7 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         tokens = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
         self.automaton = MergeAutomaton(tokens, [(raw(a), raw(b)) for a, b in pairs])
-        self.labels = {
-            i.to_bytes(4, "little"): label for i, label in self.automaton.labels.items()
-        } | {i.to_bytes(4, "little"): s.encode() for s, i in self.special.items()}
+        self.labels = self.automaton.labels | {i: s.encode() for s, i in self.special.items()}
         by_length = sorted(self.special, key=len, reverse=True)
         self._split = re.compile("(" + "|".join(map(re.escape, by_length)) + ")") if by_length else None
         self._words = regex.compile(PATTERN)
@@ -173,8 +172,8 @@ class Tokenizer:
         )
 
     def decode(self, ids: bytes) -> str:
-        labels = self.labels
-        emitted = b"".join([labels[ids[i : i + 4]] for i in range(0, len(ids), 4)])
+        arcs = np.frombuffer(ids, dtype="<u4").tolist()
+        emitted = b"".join(map(self.labels.__getitem__, arcs))
         return emitted.decode("utf-8", errors="replace")
 
 
