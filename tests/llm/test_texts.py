@@ -199,6 +199,19 @@ def test_near_duplicates(docs, none, rows):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_bitmaps_never_differ_more_than_the_sets(spark):
+    sets = {0: range(40), 1: range(5, 44), 2: range(20, 60), 3: range(100, 103), 4: [-1, 1 << 62, 7]}
+    keys = spark.createDataFrame([(i, k) for i, s in sets.items() for k in s], "id long, key long")
+    got = {r.id: r for r in near_dedup._bitmaps(keys).collect()}
+    for a in sets:
+        for b in sets:
+            differ = sum(
+                bin((got[a][c] ^ got[b][c]) & ((1 << 64) - 1)).count("1") for c in near_dedup.BITMAP
+            )
+            assert differ <= len(set(sets[a]) ^ set(sets[b]))
+            assert differ or set(sets[a]) == set(sets[b])
+
+
 @pytest.mark.parametrize("group", [8000, 2, 1])
 def test_repeats(docs, none, rows, group):
     length = 200
