@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 HEAVY_SHARE = 256
 
 
@@ -96,10 +98,10 @@ def flags(
     for more in marks[1:]:
         table = table.union(more)
     table = table.groupBy("id").agg(*[F.max(n).alias(n) for n in sets])
-    rows = table.count()
+    marked = Scratch(left.sparkSession, "flags").store(table)
     for key in keys:
         values = {n: f"{key}_{n}" for n in sets}
-        left = lookup(left, left_rows, key, table, rows, values, limits)
+        left = lookup(left, left_rows, key, marked.df, marked.rows, values, limits)
         for name in values.values():
             left = left.withColumn(name, F.coalesce(name, F.lit(False)))
     return left

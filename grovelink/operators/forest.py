@@ -34,7 +34,7 @@ from ..schema import EDGE_SCHEMA, assign_ids, canonical_edges, distinct_vertices
 from ..scratch import Scratch, Stored
 from . import kernels
 from .contraction import best_of, both_ends, follow_pointers, rank_by_weight, relabel_ranked
-from .pairs import BLOCK_ROWS, complete_forest_candidates, dimension
+from .pairs import BLOCK_ROWS, complete_forest_candidates, dimension, finite
 
 BUCKET_EDGES = 1_000_000  # edges a task reads before it squeezes them
 FOREST_EDGES = 4_000_000  # largest forest of one bucket
@@ -297,12 +297,13 @@ def complete_forest(
 
     The first sparsifier round is fused with the distances, so the n(n-1)/2
     edges never exist as rows. More than ``line_rows`` points on a line are
-    only sorted.
+    only sorted. A point with an undefined or infinite coordinate has no edges.
     """
     n = vertices.count()
-    if n > line_rows and metric in ("euclidean", "manhattan") and dimension(vertices) == 1:
-        return Forest(line_forest(vertices, n, limits), [], n)
-    candidates = complete_forest_candidates(vertices, metric, block_rows, rows=n)
+    points = finite(vertices)
+    if n > line_rows and metric in ("euclidean", "manhattan") and dimension(points) == 1:
+        return Forest(line_forest(points, n, limits), [], n)
+    candidates = complete_forest_candidates(points, metric, block_rows, rows=n)
     forest = minimum_spanning_forest(
         candidates,
         vertices,
@@ -367,8 +368,8 @@ def edges_between(
     edges: DataFrame, u: DataFrame, v: DataFrame, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """Edges with one end in ``u`` and the other in ``v``, in either stored orientation."""
-    edges = edges.select("src", "dst", "w")
-    marked = flags(edges, edges.count(), ["src", "dst"], {"u": u, "v": v}, limits)
+    own = Scratch(edges.sparkSession, "between").store(edges.select("src", "dst", "w"))
+    marked = flags(own.df, own.rows, ["src", "dst"], {"u": u, "v": v}, limits)
     crossing = (F.col("src_u") & F.col("dst_v")) | (F.col("src_v") & F.col("dst_u"))
     return marked.where(crossing).select("src", "dst", "w").distinct()
 
@@ -377,6 +378,6 @@ def forest_in_cluster(
     forest: DataFrame, cluster: DataFrame, limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """Forest edges whose first end belongs to ``cluster``."""
-    forest = forest.select("src", "dst", "w")
-    marked = flags(forest, forest.count(), ["src"], {"in": cluster}, limits)
+    own = Scratch(forest.sparkSession, "in-cluster").store(forest.select("src", "dst", "w"))
+    marked = flags(own.df, own.rows, ["src"], {"in": cluster}, limits)
     return marked.where("src_in").select("src", "dst", "w")

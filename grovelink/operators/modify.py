@@ -10,68 +10,79 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hashed_uniform
 from ..lookup import DEFAULT_LIMITS, Limits, flags
 from ..schema import assign_ids, canonical_edges
+from ..scratch import Scratch
+from .pairs import dimension
 
 # fixed value: circle radius as a share of the shorter side of the box, halved
 CIRCLE_SHARE = 0.7
 SHAPES = ("circle", "horizontal_line", "vertical_line")
 
 
-def _box(vertices: DataFrame):
-    """Scalars only: count, largest id and the 2-D bounding box."""
-    x, y = F.col("features")[0], F.col("features")[1]
-    return vertices.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("id").alias("last"),
-        F.min(x).alias("x0"),
-        F.max(x).alias("x1"),
-        F.min(y).alias("y0"),
-        F.max(y).alias("y1"),
-    ).first()
+def _box(vertices: DataFrame) -> tuple[int, int, list[tuple[float, float]]]:
+    """Scalars only: count, largest id and the bounds of every coordinate."""
+    dim = dimension(vertices)
+    bounds = []
+    for i in range(max(dim, 0)):
+        x = F.col("features")[i]
+        bounds += [F.min(x), F.max(x)]
+    n, last, *ends = vertices.agg(F.count(F.lit(1)), F.max("id"), *bounds).first()
+    return n, last, list(zip(ends[::2], ends[1::2]))
 
 
-def _append(vertices: DataFrame, last: int, size: int, x, y) -> DataFrame:
+def _append(vertices: DataFrame, last: int, size: int, coordinates: list) -> DataFrame:
+    """Noise rows behind the points; their label, if there is one, is NULL."""
     noise = vertices.sparkSession.range(size).select(
-        (F.col("id") + F.lit(last + 1)).alias("id"), F.array(x, y).alias("features")
+        (F.col("id") + F.lit(last + 1)).alias("id"), F.array(*coordinates).alias("features")
     )
-    points = vertices.select("id", F.col("features").cast("array<double>").alias("features"))
-    return points.unionByName(noise)
+    return _points(vertices).unionByName(noise, allowMissingColumns=True)
 
 
-def add_uniform_noise(vertices: DataFrame, noise: float = 0.1, seed: int | str = 0) -> DataFrame:
-    """Append ceil(n * noise) points drawn uniformly from the bounding box."""
-    b = _box(vertices)
-    if not b["n"]:
-        return vertices.select("id", "features")
-    u, v = hashed_uniform(f"{seed}-x", "id"), hashed_uniform(f"{seed}-y", "id")
-    return _append(
-        vertices,
-        b["last"],
-        math.ceil(b["n"] * noise),
-        b["x0"] + u * (b["x1"] - b["x0"]),
-        b["y0"] + v * (b["y1"] - b["y0"]),
+def _points(vertices: DataFrame) -> DataFrame:
+    label = ["label"] if "label" in vertices.columns else []
+    return vertices.select(
+        "id", F.col("features").cast("array<double>").alias("features"), *label
     )
 
 
+def add_uniform_noise(vertices: DataFrame, noise: float = 0.1, seed: int | str = 0) -> DataFrame:
+    """Append ceil(n * noise) points drawn uniformly from the bounding box of all dimensions."""
+    n, last, bounds = _box(vertices)
+    if not n:
+        return _points(vertices)
+    axes = ["x", "y", *range(2, len(bounds))]
+    drawn = [
+        lo + hashed_uniform(f"{seed}-{axis}", "id") * (hi - lo)
+        for axis, (lo, hi) in zip(axes, bounds)
+    ]
+    return _append(vertices, last, math.ceil(n * noise), drawn)
+
+
 def add_shape_noise(vertices: DataFrame, shape: str, noise: float = 0.1) -> DataFrame:
-    """Append ceil(n * noise) points on a circle or a centre line of the bounding box."""
+    """Append ceil(n * noise) points on a circle or a centre line of the bounding box.
+
+    The points have to be in two dimensions.
+    """
     if shape not in SHAPES:
         raise ValueError(f"unknown shape {shape!r}, expected one of {SHAPES}")
-    b = _box(vertices)
-    if not b["n"]:
-        return vertices.select("id", "features")
-    size = math.ceil(b["n"] * noise)
-    width, height = b["x1"] - b["x0"], b["y1"] - b["y0"]
-    cx, cy = (b["x1"] + b["x0"]) / 2, (b["y1"] + b["y0"]) / 2
+    n, last, bounds = _box(vertices)
+    if not n:
+        return _points(vertices)
+    if len(bounds) != 2:
+        raise ValueError(f"shapes are drawn in two dimensions, the points have {len(bounds)}")
+    size = math.ceil(n * noise)
+    (x0, x1), (y0, y1) = bounds
+    width, height = x1 - x0, y1 - y0
+    cx, cy = (x1 + x0) / 2, (y1 + y0) / 2
     i = F.col("id")
     if shape == "circle":
         radius = min(width, height) * CIRCLE_SHARE / 2
         angle = i * (2 * math.pi / size)
         x, y = F.cos(angle) * radius + cx, F.sin(angle) * radius + cy
     elif shape == "horizontal_line":
-        x, y = b["x0"] + i * (width / size), F.lit(cy)
+        x, y = x0 + i * (width / size), F.lit(cy)
     else:
-        x, y = F.lit(cx), b["y0"] + i * (height / size)
-    return _append(vertices, b["last"], size, x, y)
+        x, y = F.lit(cx), y0 + i * (height / size)
+    return _append(vertices, last, size, [x, y])
 
 
 def random_partition(vertices: DataFrame, k: int, seed: int | str = 0) -> DataFrame:
@@ -99,10 +110,12 @@ def delete_random_vertices(
     limits: Limits = DEFAULT_LIMITS,
 ) -> tuple[DataFrame, DataFrame]:
     """Drop ceil(fraction * n) vertices and every arc that touches one of them."""
+    scratch = Scratch(vertices.sparkSession, "delete-vertices")
     ids = vertices.select("id")
-    gone = _pick(ids, math.ceil(ids.count() * fraction), seed, "id")
+    gone = scratch.store(_pick(ids, math.ceil(ids.count() * fraction), seed, "id")).df
     kept = vertices.join(gone, "id", "left_anti")
-    marked = flags(arcs, arcs.count(), ["src", "dst"], {"gone": gone}, limits)
+    own = scratch.store(arcs)
+    marked = flags(own.df, own.rows, ["src", "dst"], {"gone": gone}, limits)
     return kept, marked.where(~F.col("src_gone") & ~F.col("dst_gone")).select(*arcs.columns)
 
 

@@ -162,10 +162,12 @@ def knn(
 
     More than ``grid_rows`` points of up to three dimensions are searched by
     growing grid cells. Otherwise every block pair keeps k neighbours per
-    vertex, and the best k of these partial lists are taken.
+    vertex, and the best k of these partial lists are taken. A point with an undefined
+    or infinite coordinate has no neighbours and is nobody's neighbour.
     """
     check_metric(metric)
     rows = vertices.count()
+    vertices = finite(vertices)
     if rows > grid_rows and metric in grid.GRID_METRICS:
         dim = dimension(vertices)
         if 0 < dim <= grid.GRID_DIMENSIONS:
@@ -225,6 +227,15 @@ def knn_symmetric(
     )
 
 
+def finite(vertices: DataFrame) -> DataFrame:
+    """The vertices whose coordinates are all finite numbers."""
+    # NaN counts as larger than any number, and a null is not true
+    infinity = F.lit(float("inf"))
+    return vertices.where(
+        F.forall("features", lambda x: F.abs(x.cast("double")) < infinity)
+    )
+
+
 def dimension(vertices: DataFrame) -> int:
     first = vertices.select(F.size("features")).first()
     return 0 if first is None else first[0]

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..lookup import DEFAULT_LIMITS, Limits, lookup
 from ..schema import assign_ids
+from ..scratch import Scratch
 
 COLOURS = 23  # fixed value: number of colours a cluster index is reduced to
 
 
-def exact_median(df: DataFrame, value: str, *ties: str) -> DataFrame:
+def exact_median(df: DataFrame, value: str, *ties: str, rows: int | None = None) -> DataFrame:
     """One row (median): mean of the middle one or two values of a distributed sort."""
-    n = df.count()
+    n = df.count() if rows is None else rows
     if n == 0:
         return df.agg(F.lit(None).cast("double").alias("median"))
     ordered = assign_ids(df.select(value, *ties), value, *ties, id_col="_pos")
@@ -23,21 +24,21 @@ def exact_median(df: DataFrame, value: str, *ties: str) -> DataFrame:
 
 def graph_summary(vertices: DataFrame, edges: DataFrame, feature_names: list[str]) -> DataFrame:
     """One row: counts, features and min / max / mean / median weight (NULL without edges)."""
-    stats = edges.agg(
-        F.count(F.lit(1)).alias("num_edges"),
-        F.min("w").alias("min_edge_weight"),
-        F.max("w").alias("max_edge_weight"),
-        F.avg("w").alias("mean_edge_weight"),
+    # the edges are made once: counts are taken while they are written
+    own = Scratch(edges.sparkSession, "summary").store(
+        edges.select("src", "dst", "w"), low=F.min("w"), high=F.max("w"), mean=F.avg("w")
     )
-    median = exact_median(edges, "w", "src", "dst")
+    median = exact_median(own.df, "w", "src", "dst", rows=own.rows)
+    weights = {
+        f"{name}_edge_weight": F.lit(own.metrics.get(key)).cast("double")
+        for name, key in (("min", "low"), ("max", "high"), ("mean", "mean"))
+    }
     return vertices.agg(F.count(F.lit(1)).alias("num_vertices")).select(
         "num_vertices",
-        stats.select("num_edges").scalar().alias("num_edges"),
+        F.lit(own.rows).cast("long").alias("num_edges"),
         F.lit(len(feature_names)).alias("num_features"),
         F.array(*[F.lit(c) for c in feature_names]).alias("feature_names"),
-        stats.select("min_edge_weight").scalar().alias("min_edge_weight"),
-        stats.select("max_edge_weight").scalar().alias("max_edge_weight"),
-        stats.select("mean_edge_weight").scalar().alias("mean_edge_weight"),
+        *[value.alias(name) for name, value in weights.items()],
         median.scalar().alias("median_edge_weight"),
     )
 

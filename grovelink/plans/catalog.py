@@ -104,25 +104,34 @@ def _folder(spark, name: str) -> str:
 def q_read_polygon_json(spark, sf):
     """Graphs of up to 50 suppliers each: a chain with its first edge repeated."""
     point = F.struct("s_suppkey", "s_acctbal", (F.col("s_nationkey") * 400).cast("double").alias("y"))
+    several = F.size("p") > 1
+
+    def chain(start, less):
+        ends = F.concat(F.sequence(F.lit(start), F.size("p") - less), F.array(F.lit(start)))
+        return F.when(several, ends).otherwise(F.array().cast("array<int>"))
+
     docs = (
         _table(spark, sf, "supplier")
         .groupBy(F.floor(F.col("s_suppkey") / 50).alias("g"))
         .agg(F.array_sort(F.collect_list(point)).alias("p"))
-        .where(F.size("p") > 1)
         .select(
+            "g",
             F.size("p").alias("n"),
-            F.size("p").alias("m"),
+            F.when(several, F.size("p")).otherwise(0).alias("m"),
             F.col("p.s_acctbal").alias("x"),
             F.col("p.y").alias("y"),
-            F.concat(F.sequence(F.lit(0), F.size("p") - 2), F.array(F.lit(0))).alias("edge_i"),
-            F.concat(F.sequence(F.lit(1), F.size("p") - 1), F.array(F.lit(1))).alias("edge_j"),
+            chain(0, 2).alias("edge_i"),
+            chain(1, 1).alias("edge_j"),
         )
     )
     path = _folder(spark, "polygon")
-    docs.write.option("maxRecordsPerFile", 1).json(path)
+    docs.write.partitionBy("g").option("maxRecordsPerFile", 1).json(path)
     _, arcs = sources.read_polygon_json(spark, path)
-    return arcs.groupBy("src", "dst").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("w")
+    return arcs.select(
+        F.regexp_extract("graph", "g=([0-9]+)", 1).cast("long").alias("graph"),
+        "src",
+        "dst",
+        F.round("w", 6).alias("w"),
     )
 
 
@@ -339,7 +348,7 @@ def q_relabel(spark, sf):
     return (
         contraction.drop_internal(contraction.relabel(arcs, leaders))
         .groupBy("src", "dst")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.round(F.min("w"), 6).alias("w"))
     )
 
 

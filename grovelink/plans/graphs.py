@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.weights import bucket_bounds, bucketize, max_weight, perturb_weights
-from ..lookup import DEFAULT_LIMITS, Limits
-from ..operators.agglomerate import Hierarchy, agglomerate, run_of, tag_run, untag
+from ..lookup import DEFAULT_LIMITS, Limits, lookup
+from ..operators.agglomerate import RUN_BITS, Hierarchy, agglomerate, run_of, tag_run, untag
 from ..operators.components import connected_components
 from ..operators.features import make_vertices, select_features
 from ..operators.forest import bucket_forests, complete_forest, cut_heaviest, vertex_pair_bucket
@@ -20,7 +20,7 @@ from ..operators.pairs import (
     limit_edges,
 )
 from ..operators.stats import graph_summary, run_differences
-from ..schema import edges_to_arcs
+from ..schema import assign_ids, edges_to_arcs
 from ..scratch import Scratch
 from ..sources.readers import read_feature_table
 
@@ -110,18 +110,30 @@ def stability_runs(
 
     All runs go through the same rounds as one disjoint graph. For the complete
     graph each run is first sparsified bucket by bucket, which cannot drop an
-    edge that any best-neighbour choice uses.
+    edge that any best-neighbour choice uses. Ids that leave no room for the run
+    number are numbered in their own order meanwhile, so all ties fall alike.
     """
     spark = vertices.sparkSession
     scratch = Scratch(spark, "stability")
-    n = vertices.count()
+    n, lowest, highest = vertices.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
     base = scratch.store(all_pairs(vertices))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("_run")
-    copies = base.df.select("src", "dst", "w", numbers)
-    shifted = perturb_weights(copies, gamma, seed=F.col("_run"))
+    ids, pairs_of_ids = vertices.select("id"), base.df.withColumns({"_a": F.col("src"), "_b": F.col("dst")})
+    places = None
+    if n and (lowest < 0 or highest >> RUN_BITS):
+        places = scratch.store(assign_ids(ids.withColumnRenamed("id", "own"), "own", id_col="place"))
+        by_own = places.df.select(F.col("own").alias("id"), "place")
+        ids, pairs_of_ids = by_own.select(F.col("place").alias("id")), base.df
+        for end, place in (("src", "_a"), ("dst", "_b")):
+            pairs_of_ids = lookup(
+                pairs_of_ids, base.rows, end, by_own, places.rows, {"place": place}, limits
+            )
+    shifted = perturb_weights(
+        pairs_of_ids.select("src", "dst", "w", "_a", "_b", numbers), gamma, seed=F.col("_run")
+    )
     tagged = shifted.select(
-        tag_run(F.col("src"), F.col("_run")).alias("src"),
-        tag_run(F.col("dst"), F.col("_run")).alias("dst"),
+        tag_run(F.col("_a"), F.col("_run")).alias("src"),
+        tag_run(F.col("_b"), F.col("_run")).alias("dst"),
         "w",
     )
     if k is None or k >= n - 1:
@@ -131,15 +143,22 @@ def stability_runs(
         arcs = edges_to_arcs(bucket_forests(tagged, bucket, pairs * runs))
     else:
         arcs = k_nearest_per_vertex(edges_to_arcs(tagged), k)
-    everyone = vertices.select("id", numbers).select(
+    everyone = ids.select("id", numbers).select(
         tag_run(F.col("id"), F.col("_run")).alias("id")
     )
     done = agglomerate(arcs, everyone, num_clusters, runs=runs, limits=limits)
-    return done.merges.select(
+    found = done.merges.select(
         run_of(F.col("id")).alias("run"),
         untag(F.col("id")).alias("id"),
         untag(F.col("parent")).alias("val"),
     )
+    if places is None:
+        return found
+    by_place = places.df.select(F.col("place").alias("id"), "own")
+    back = found.toDF("run", "_vertex", "_parent")
+    for own, name in (("_vertex", "id"), ("_parent", "val")):
+        back = lookup(back, n * runs, own, by_place, places.rows, {"own": name}, limits)
+    return back.select("run", "id", "val")
 
 
 def stability_study(vertices: DataFrame, runs: int = 10, **options) -> DataFrame:

@@ -231,9 +231,9 @@ def oracle_sql() -> dict[str, str]:
     edge_rounds = 14
     sql = {
         "read_polygon_json": f"""WITH p AS ({P2}), n AS (SELECT id // 50 AS g, id % 50 AS i, x, y FROM p),
-          s AS (SELECT a.i AS src, b.i AS dst, {D2} AS w FROM n a JOIN n b ON a.g = b.g AND b.i = a.i + 1)
-          SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, count(*) AS n,
-          round(sum(w), 6) AS w FROM s GROUP BY 1, 2""",
+          s AS (SELECT a.g, a.i AS src, b.i AS dst, {D2} AS w FROM n a JOIN n b ON a.g = b.g AND b.i = a.i + 1)
+          SELECT CAST(g AS BIGINT) AS graph, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst,
+          round(w, 6) AS w FROM s""",
         "read_edge_tsv": f"SELECT src, dst, round(w, 6) AS w FROM ({EL})",
         "read_edge_tsv_drawn": edges + f", drawn AS MATERIALIZED ({drawn}), cdf AS MATERIALIZED ({CDF}) {ZIPF}",
         "read_edge_csv": f"""WITH t AS (SELECT 'v' || src AS a, 'v' || dst AS b, w FROM ({EL})),
@@ -295,7 +295,8 @@ def oracle_sql() -> dict[str, str]:
         + f"e AS MATERIALIZED ({EL}), best AS MATERIALIZED ({_best(BOTH)}), "
         + _components("SELECT id FROM best", "SELECT id AS src, nbr AS dst FROM best")
         + " SELECT id, comp AS leader FROM comps",
-        "relabel": best + WALK + """ SELECT s.leader AS src, d.leader AS dst, count(*) AS n FROM ar
+        "relabel": best + WALK + """ SELECT s.leader AS src, d.leader AS dst, count(*) AS n,
+          round(min(w), 6) AS w FROM ar
           JOIN lead s ON ar.src = s.id JOIN lead d ON ar.dst = d.id WHERE s.leader <> d.leader GROUP BY 1, 2""",
         "contract_once": best + WALK + """ SELECT s.leader AS src, d.leader AS dst, round(min(w), 6) AS w FROM ar
           JOIN lead s ON ar.src = s.id JOIN lead d ON ar.dst = d.id WHERE s.leader <> d.leader GROUP BY 1, 2""",

@@ -16,14 +16,16 @@ POLYGON_SCHEMA = (
 def read_polygon_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, arcs) of struct-of-arrays JSON files, one graph per file.
 
+    Both have a column ``graph``, the file's path: ids start from 0 in every file.
     The weight is the 2-D distance of the ends, the stored orientation is kept.
-    All arrays of a graph sit in one row, so ends are looked up and repeated
-    pairs removed in place, without any shuffle.
+    All arrays of a graph sit in one row, so ends are looked up in place; repeated
+    pairs are removed by a grouping.
     """
     doc = spark.read.schema(POLYGON_SCHEMA).json(path, multiLine=True)
+    doc = doc.withColumn("graph", F.col("_metadata.file_path"))
     upto = F.slice(F.arrays_zip("x", "y"), F.lit(1), F.col("n").cast("int"))
-    vertices = doc.select(F.posexplode(upto).alias("id", "_p")).select(
-        F.col("id").cast("long").alias("id"), F.array("_p.x", "_p.y").alias("features")
+    vertices = doc.select("graph", F.posexplode(upto).alias("id", "_p")).select(
+        "graph", F.col("id").cast("long").alias("id"), F.array("_p.x", "_p.y").alias("features")
     )
     pairs = F.slice(F.arrays_zip("edge_i", "edge_j"), F.lit(1), F.col("m").cast("int"))
 
@@ -36,8 +38,9 @@ def read_polygon_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
             e["edge_i"].alias("src"), e["edge_j"].alias("dst"), F.sqrt(dy * dy + dx * dx).alias("w")
         )
 
-    arcs = doc.select(F.explode(F.array_distinct(F.transform(pairs, edge))).alias("_e"))
-    return vertices, arcs.select("_e.src", "_e.dst", "_e.w")
+    arcs = doc.select("graph", F.explode(F.transform(pairs, edge)).alias("_e"))
+    arcs = arcs.groupBy("graph", "_e.src", "_e.dst").agg(F.min("_e.w").alias("w"))
+    return vertices, arcs
 
 
 def read_edge_tsv(

@@ -1,3 +1,4 @@
+import math
 import random
 import warnings
 
@@ -153,3 +154,10 @@ def test_removed_edges(make):
 def test_empty_graph(make):
     assert msf(make.edges([])) == []
     assert triples(forest.complete_forest(make.points([[1.0]])).edges) == []
+
+
+@pytest.mark.parametrize("line_rows", [0, 100])
+def test_undefined_coordinates_have_no_edges(spark, line_rows):
+    points = [(0, [1.0]), (1, [math.nan]), (2, [2.0]), (3, [None]), (4, [math.nan]), (5, [math.inf])]
+    v = spark.createDataFrame(points, "id long, features array<double>")
+    assert triples(forest.complete_forest(v, line_rows=line_rows).edges) == [(0, 2, 1.0)]

@@ -175,3 +175,14 @@ def test_stability_study(make):
     got = {(r["run_a"], r["run_b"]): r["diff"] for r in graphs.stability_study(make.points(points), 3).collect()}
     assert len(got) == 9
     assert all(got[a, a] == 0 and got[a, b] == got[b, a] for a in range(3) for b in range(3))
+
+
+@pytest.mark.parametrize("offset", [-100, 1 << 41])
+def test_stability_with_ids_of_any_size(make, offset):
+    # evenly spaced ids that are shifted keep their order, so only the draws differ
+    points = make.points([[float(x * x)] for x in range(7)])
+    wide = points.withColumn("id", F.col("id") + F.lit(offset))
+    runs = graphs.stability_runs(wide, 2, num_clusters=2, gamma=0.0)
+    plain = graphs.stability_runs(points, 2, num_clusters=2, gamma=0.0)
+    want = [(r, i + offset, v + offset) for r, i, v in rows_of(plain, "run", "id", "val")]
+    assert rows_of(runs, "run", "id", "val") == want

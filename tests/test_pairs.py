@@ -125,3 +125,10 @@ def test_shuffled_ties_stay_within_equal_weights(make):
     for p in picks:
         assert len(p) == 8 and sum(w == 1.0 for _, _, w in p) == 6
     assert len({str(p) for p in picks}) > 1
+
+
+@pytest.mark.parametrize("grid_rows", [0, 100])
+def test_undefined_coordinates_have_no_neighbours(spark, grid_rows):
+    points = [(0, [1.0, 0.0]), (1, [math.nan, 0.0]), (2, [2.0, 0.0]), (3, [None, 1.0]), (4, [0.0, math.inf])]
+    v = spark.createDataFrame(points, "id long, features array<double>")
+    assert triples(pairs.knn(v, 2, grid_rows=grid_rows)) == [(0, 2, 1.0), (2, 0, 1.0)]

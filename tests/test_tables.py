@@ -32,6 +32,12 @@ def test_polygon_json(spark, tmp_path):
         (0, [0.0, 0.0]), (1, [3.0, 4.0]), (2, [0.0, 1.0])
     ]
     assert triples(arcs) == [(0, 1, 5.0), (1, 0, 5.0), (1, 2, math.sqrt(18))]
+    other = {**doc, "x": [0, 6, 0], "y": [0, 8, 1]}
+    write(tmp_path / "h.json", json.dumps(other))
+    v, arcs = sources.read_polygon_json(spark, str(tmp_path))
+    assert v.count() == 6 and v.select("graph", "id").distinct().count() == 6
+    ends = arcs.where("src = 0").select(F.regexp_extract("graph", "([a-z])\\.json$", 1).alias("g"), "w")
+    assert sorted(map(tuple, ends.collect())) == [("g", 5.0), ("h", 10.0)]
 
 
 def test_edge_tsv(spark, tmp_path):
@@ -146,6 +152,12 @@ def test_noise(make):
     assert [r["features"] for r in line] == [[0.0, 10.0], [5.0, 10.0]]
     with pytest.raises(ValueError):
         modify.add_shape_noise(v, "square")
+    deep = make.points([[0.0, 0.0, 5.0], [1.0, 2.0, 7.0]]).withColumn("label", F.lit(1.0))
+    rows = modify.add_uniform_noise(deep, 1.0, 1).orderBy("id").collect()
+    assert [r["label"] for r in rows] == [1.0, 1.0, None, None]
+    assert all(len(r["features"]) == 3 and 5 <= r["features"][2] <= 7 for r in rows)
+    with pytest.raises(ValueError):
+        modify.add_shape_noise(deep, "circle")
 
 
 def test_deletions_and_partition(make):
