@@ -5,8 +5,8 @@ kept, and returns a DataFrame; its result is written as Parquet to the shared fo
 read again as the next one's documents. All but the last return the columns of documents.
 
 Defined cases: those of the operators; a stage that keeps nothing gives the next one an empty
-table. Rows that share a doc_id are separate documents, but near copies are told by doc_id:
-all rows with the doc_id that stands for its group stay.
+table. Rows that share a doc_id or have none are separate documents. Of a group of near
+copies all rows with the smallest doc_id stay, and one row if none of them has a doc_id.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
+    """One document of each group of near copies, one with the smallest doc_id."""
     return near_dedup.kept_documents(docs)
 
 

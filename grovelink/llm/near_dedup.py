@@ -25,7 +25,8 @@ threshold of 0.75 is missed with a probability of 2e-6, at 0.8 of 1e-8.
 
 Defined cases: a null text is empty; a text without words has no shingles and no links; one
 with fewer words than a shingle is one shingle; repeated rows (also with equal doc_id) are
-copies; an empty table gives an empty table; other columns are ignored.
+copies; rows that share a doc_id are separate documents, and a null doc_id is one like any
+other, larger than all numbers; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +36,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lookup import Limits, lookup
 from ..operators.components import connected_components
 from ..scratch import Scratch
-from .common import Recent, small_batches, texts
+from .common import Recent, small_batches
 
 WORDS, COORDINATES, MATCHES, PERCENT = 5, 48, 21, 75
 # a sketch has four bits of each of so many minima; similar sets agree in so many of them
@@ -107,8 +109,29 @@ def _key(shingles: np.ndarray) -> tuple[int, int]:
     return (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _sets(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key LONG pair, signature) per document."""
+def _is_scan(docs: DataFrame) -> bool:
+    try:
+        docs.select("_metadata.row_index")
+        return True
+    except AnalysisException:
+        return False
+
+
+def _located(docs: DataFrame) -> DataFrame:
+    """(doc_id LONG, text STRING, file, row): a null text is an empty one; other columns go."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"),
+    )
+
+
+def _sets(located: DataFrame, words: int, coordinates: int) -> DataFrame:
+    """(doc_id, file, row, n_shingles, set_key LONG pair, signature, number) per document.
+
+    ``number`` is unique; the graph's nodes are numbers, as a doc_id may be null or repeated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -126,20 +149,23 @@ def _sets(docs: DataFrame, words: int, coordinates: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
+                    batch.column(3),
                     pa.array(size, pa.int64()),
                     pa.array(high, pa.int64()),
                     pa.array(low, pa.int64()),
                     pa.array(rows, pa.list_(pa.int32())),
                     *(pa.array(c) for c in np.array(sketches).reshape(-1, len(SKETCH)).T),
                 ],
-                names=["doc_id", "n_shingles", "high", "low", "signature", *SKETCH],
+                names=["doc_id", "file", "row", "n_shingles", "high", "low", "signature", *SKETCH],
             )
 
-    return texts(docs).mapInArrow(
+    found = located.mapInArrow(
         run,
-        "doc_id long, n_shingles long, high long, low long, signature array<int>, "
-        + ", ".join(f"{c} long" for c in SKETCH),
+        "doc_id long, file string, row long, n_shingles long, high long, low long, "
+        "signature array<int>, " + ", ".join(f"{c} long" for c in SKETCH),
     )
+    return found.withColumn("number", F.monotonically_increasing_id())
 
 
 def _postings(scratch: Scratch, classes: DataFrame, matches: int) -> DataFrame:
@@ -227,7 +253,7 @@ def _confirmed(
         shingler = Shingler(words)
 
         def sets(texts: pa.ChunkedArray, keys: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]:
-            # a doc_id may have come with several texts: the class is one of them
+            # a locator that a join repeated may bring several texts: the class is one of them
             for row, (text, key) in enumerate(zip(texts, keys)):
                 found = shingler(text.as_py())
                 if _key(found)[1] == key.as_py():
@@ -265,32 +291,49 @@ def near_duplicates(
 ) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row each.
 
-    ``component_id`` is the smallest doc_id that is reachable over links; ``kept`` marks the
-    document with this id.
+    ``component_id`` is the smallest doc_id that is reachable over links, null if all are;
+    ``kept`` marks the rows of the component that have this id, and one row if it is null.
+    Components that aren't linked have the same ``component_id`` if their smallest doc_id is
+    the same.
+    """
+    placed = _placed(docs, words, coordinates, matches, percent)
+    return placed.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _placed(
+    docs: DataFrame,
+    words: int = WORDS,
+    coordinates: int = COORDINATES,
+    matches: int = MATCHES,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """The rows of ``near_duplicates`` with file and row of the documents.
+
+    A frame that isn't a plain file scan is written first, and the locators are those of
+    the written files.
     """
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "near-dedup")
-    sets = scratch.store(_sets(docs, words, coordinates))
+    located = _located(docs if _is_scan(docs) else scratch.store(docs.select("doc_id", "text")).df)
+    sets = scratch.store(_sets(located, words, coordinates))
     linked = sets.df.where("n_shingles > 0")
-    # the smallest doc_id stands for a class, and one class for a doc_id
-    classes = scratch.store(linked.groupBy("high", "low").agg(F.min("doc_id").alias("id")))
-    kind = F.struct(F.col("n_shingles").alias("n"), "high", "low")
-    first = linked.select(F.col("doc_id").alias("id"), "high", "low", kind.alias("kind"), "signature", *SKETCH)
-    # copies of a class stand behind its first document, so they needn't go any further
+    # the document with the smallest doc_id stands for a class, which goes by its number
+    best = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "number")).alias("best")
+    classes = scratch.store(
+        linked.groupBy("high", "low").agg(best).withColumn("id", F.col("best.number"))
+    )
+    # copies of a class stand behind this document, so they needn't go any further
+    first = classes.df.select("id").join(linked, F.col("id") == F.col("number"))
     signed = scratch.store(
-        first.join(classes.df, ["high", "low", "id"])
-        .groupBy("id")
-        .agg(
-            F.min("kind").alias("kind"),
-            *[F.min_by(c, "kind").alias(c) for c in ("signature", *SKETCH)],
+        first.select(
+            "id", F.col("n_shingles").alias("n"), "high", "low", "signature", *SKETCH, "file", "row"
         )
-        .select("id", "kind.*", "signature", *SKETCH)
     ).df
     posted = _postings(scratch, signed, matches).df
-    involved = posted.select("id").distinct().join(signed.select("id", "low"), "id")
+    involved = posted.select("id").distinct().join(signed.select("id", "low", "file", "row"), "id")
     text = scratch.store(
-        texts(docs).withColumnRenamed("doc_id", "id").join(involved, "id")
+        located.drop("doc_id").join(involved, ["file", "row"]).select("id", "text", "low")
     ).df
 
     found = None
@@ -309,29 +352,49 @@ def near_duplicates(
     if more.rows:
         merged = _components(scratch, found.unionByName(more.df), signed).df
 
+    members = scratch.store(
+        classes.df.join(merged, "id").select(F.struct("high", "low").alias("key"), "comp", "best")
+    )
+    heads = scratch.store(
+        members.df.groupBy("comp")
+        .agg(F.min("best").alias("best"))
+        .select(
+            F.col("comp").alias("id"),
+            F.col("best.doc_id").alias("component_id"),
+            F.col("best.number").alias("stays"),
+        )
+    )
+    values = {c: c for c in ("component_id", "stays")}
     whole = scratch.store(
-        classes.df.join(merged, "id").select(F.struct("high", "low").alias("id"), "comp")
+        lookup(
+            members.df.select("key", "comp"), members.rows, "comp", heads.df, heads.rows, values, _LIMITS
+        ).select(F.col("key").alias("id"), *values)
     )
     keyed = scratch.store(
-        sets.df.select("doc_id", "n_shingles", F.struct("high", "low").alias("set_key"))
-    )
-    placed = lookup(
-        keyed.df, keyed.rows, "set_key", whole.df, whole.rows, {"comp": "component_id"}, _LIMITS
+        sets.df.select(
+            "doc_id", "file", "row", "n_shingles", "number", F.struct("high", "low").alias("set_key")
+        )
     )
+    placed = lookup(keyed.df, keyed.rows, "set_key", whole.df, whole.rows, values, _LIMITS)
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    stays = (F.col("component_id") == F.col("doc_id")) | (F.col("stays") == F.col("number"))
+    kept = (F.col("n_shingles") == 0) | F.coalesce(stays, F.lit(False))
     return placed.select(
-        "doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept")
+        "doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept"), "file", "row"
     )
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stand for their component, with all their columns."""
-    stays = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    boxed = docs.select(
+    scratch = Scratch(docs.sparkSession, "near-dedup-kept")
+    whole = docs if _is_scan(docs) else scratch.store(docs).df
+    stays = _placed(whole).where("kept").select("file", "row")
+    boxed = whole.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
-        F.col("doc_id").cast("long").alias("own_id"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"),
     )
-    return boxed.join(stays, boxed["own_id"] == stays["kept_id"], "left_semi").select("document.*")
+    return boxed.join(stays, ["file", "row"], "left_semi").select("document.*")
 
 
 # a look-up table that is broadcast has at most so many rows of a few numbers

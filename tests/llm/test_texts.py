@@ -199,6 +199,20 @@ def test_near_duplicates(docs, none, rows):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_keep_documents_without_id(spark):
+    rnd = random.Random(8)
+    one, two, three = (" ".join(rnd.choice(WORDS[:40]) for _ in range(60)) for _ in range(3))
+    rows = [(None, one), (None, one.upper()), (None, two), (5, two), (4, f"{two} end"), (None, ""), (None, None), (6, three)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(table).collect())
+    want = {(None, None, True): 3, (None, None, False): 1, (None, 4, False): 1, (5, 4, False): 1, (4, 4, True): 1, (6, 6, True): 1}
+    assert got == want
+    kept = near_dedup.kept_documents(table)
+    assert kept.columns == table.columns
+    own = Counter((r.doc_id, (r.text or "").upper()) for r in kept.collect())
+    assert own == Counter({(None, one.upper()): 1, (4, f"{two} end".upper()): 1, (None, ""): 2, (6, three.upper()): 1})
+
+
 def test_bitmaps_never_differ_more_than_the_sets(spark):
     sets = {0: range(40), 1: range(5, 44), 2: range(20, 60), 3: range(100, 103), 4: [-1, 1 << 62, 7]}
     keys = spark.createDataFrame([(i, k) for i, s in sets.items() for k in s], "id long, key long")
