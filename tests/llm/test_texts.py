@@ -213,6 +213,18 @@ def test_near_duplicates_keep_documents_without_id(spark):
     assert own == Counter({(None, one.upper()): 1, (4, f"{two} end".upper()): 1, (None, ""): 2, (6, three.upper()): 1})
 
 
+def test_near_duplicates_with_several_texts_of_one_id(spark):
+    rnd = random.Random(9)
+    short, long = words(rnd, 40), words(rnd, 80)
+    rows = [(3, short), (3, long), (9, f"{long} end"), (9, long), (2, f"{short} end")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(table).collect())
+    want = [(3, 36, 2, False), (3, 76, 3, True), (9, 77, 3, False), (9, 76, 3, False), (2, 37, 2, True)]
+    assert got == Counter(want)
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.kept_documents(table).collect())
+    assert kept == Counter([(2, f"{short} end"), (3, long)])
+
+
 def test_bitmaps_never_differ_more_than_the_sets(spark):
     sets = {0: range(40), 1: range(5, 44), 2: range(20, 60), 3: range(100, 103), 4: [-1, 1 << 62, 7]}
     keys = spark.createDataFrame([(i, k) for i, s in sets.items() for k in s], "id long, key long")
