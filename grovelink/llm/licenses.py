@@ -1,18 +1,23 @@
 """Licence scans with a trained paragraph classifier, confirmed by templates.
 
-Texts are cut into paragraphs (lines). A sparse logistic regression over hashed word n-grams
-(one to three words) gives each paragraph a probability per licence family and for
-``unknown``. It is trained on the notices below, on variants of them (words dropped, years
+Texts are cut into paragraphs: neighbouring lines, with lines without a letter or digit as
+borders. Comment marks are no words. In a paragraph, stretches of words that hold most of a
+notice's n-grams are looked for, also across line ends. A sparse logistic regression over
+hashed word n-grams (one to three words) gives each stretch a probability per licence family
+and for ``unknown``. It is trained on the notices below, on variants of them (words dropped, years
 and names put in, text around them) and, as ``unknown``, on lines of a bounded sample of the
 corpus that share no rare n-gram with any notice. A temperature fitted on held-back
 variants and lines calibrates the probabilities. A family above ``least`` is a prediction;
-it counts if most of the n-grams of one of the family's templates occur in the paragraph.
+it counts if most of the n-grams of one of the family's templates occur in the stretch. Of
+stretches that overlap the best covered one counts, so a paragraph may hold several families.
+A line that no such stretch touches is also judged as a whole, for looser notices.
 
 Training is one bounded local step; the scan is one pass over all texts, where a table
 of the notices' words lets lines without any of their pairs of words pass at once. Every
-line is judged, whatever its length.
+paragraph is judged, whatever its length.
 
-Defined cases: a null text is empty and has no licences; a text may hold several families;
+Defined cases: a null text is empty and has no licences; a text, a paragraph and a line may
+hold several families; a notice is reported at the line it starts on, once per family and line;
 equal texts have equal results; repeated rows and ids stay; an empty table gives an empty
 table; other columns are ignored.
 """
@@ -21,6 +26,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,10 +61,14 @@ NOTICES = {
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1",
+        "This library is free software: you can redistribute it and/or modify it under the terms"
+        " of the GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "agpl": (
         "Licensed under the GNU Affero General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms"
+        " of the GNU Affero General Public License",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "bsd": (
@@ -96,6 +107,7 @@ WIDTH = 1 << 15
 SAMPLE_DOCUMENTS = 500  # bound of the corpus sample that ``unknown`` is learned from
 SAMPLE_LINES = 1000
 _WORD = re.compile(r"[a-z0-9]+")
+_FILLED = re.compile(r"[^\W_]")
 
 
 def words(paragraph: str) -> list[str]:
@@ -118,29 +130,89 @@ class Model:
     temperature: float
     templates: dict[str, list[frozenset[str]]]
     pairs: frozenset[str]  # two-word n-grams of all notices
+    each: list[tuple[str, int, frozenset[str]]]  # family, words and template of each notice
+    users: dict[str, list[int]]  # the notices with a pair, as places in ``each``
 
     def probabilities(self, own: list[str]) -> np.ndarray:
         columns = _columns(own)
         score = self.bias + self.weights[columns].sum(axis=0) / np.sqrt(max(1, len(columns)))
         return _softmax(score[None] / self.temperature)[0]
 
-    def family(self, paragraph: str, least: float, share: float) -> tuple[str, float, float]:
-        """(family, probability, share of the best template found) of a paragraph."""
-        own = words(paragraph)
-        if not any(f"{a} {b}" in self.pairs for a, b in zip(own, own[1:])):
-            return UNKNOWN, 1.0, 0.0
-        # a long paragraph is judged where the notice's words are
-        best = (UNKNOWN, 1.0, 0.0)
-        for window in self._windows(own):
-            chances = self.probabilities(window)
-            at = int(chances.argmax())
-            if FAMILIES[at] == UNKNOWN or chances[at] < least:
+    def notices(
+        self, lines: list[list[str]], least: float, share: float
+    ) -> list[tuple[int, str, float, float]]:
+        """(line, family, probability, share of the template found) of a paragraph's notices."""
+        own = [w for line in lines for w in line]
+        pairs = [f"{a} {b}" for a, b in zip(own, own[1:])]
+        hits = [i for i, pair in enumerate(pairs) if pair in self.pairs]
+        if not hits:
+            return []
+        starts, at = [], 0
+        for line in lines:
+            starts.append(at)
+            at += len(line)
+        touched, found = bytearray(len(own)), {}
+        for covered, family, start, end in sorted(
+            self._stretches(own, pairs, hits, share), key=lambda x: (-x[0], x[2], x[3], x[1])
+        ):
+            if any(touched[start:end]):
+                continue
+            chances = self.probabilities(own[start:end])
+            place = int(chances.argmax())
+            if FAMILIES[place] == family and chances[place] >= least:
+                touched[start:end] = b"\1" * (end - start)
+                line = bisect_right(starts, start) - 1
+                found.setdefault((line, family), (float(chances[place]), covered))
+        for n in sorted({bisect_right(starts, i) - 1 for i in hits}):
+            if any(touched[starts[n] : starts[n] + len(lines[n])]):
+                continue
+            for family, chance, covered in self.loose(lines[n], least, share):
+                if (chance, covered) > found.get((n, family), (0, 0)):
+                    found[n, family] = (chance, covered)
+        return [(line, family, *found[line, family]) for line, family in sorted(found)]
+
+    def _stretches(
+        self, own: list[str], pairs: list[str], hits: list[int], share: float
+    ) -> Iterator[tuple[float, str, int, int]]:
+        """(covered, family, start, end): words from one pair of a template to another."""
+        where = defaultdict(list)
+        for i in hits:
+            for t in self.users[pairs[i]]:
+                where[t].append(i)
+        for t, places in where.items():
+            family, length, template = self.each[t]
+            # with fewer pairs there are too few triples, too, even if all words are there
+            single = sum(" " not in g for g in template)
+            need = max(1.0, (share * len(template) - single) / 2)
+            if len(places) < need:
                 continue
-            found = set(grams(window))
-            covered = max(len(t & found) / len(t) for t in self.templates[FAMILIES[at]])
-            if covered >= share and (covered, chances[at]) > (best[2], best[1] if best[2] else 0):
-                best = (FAMILIES[at], float(chances[at]), covered)
-        return best
+            end = 0
+            for n, start in enumerate(places):
+                end = max(end, n)
+                while end < len(places) and places[end] + 2 - start <= length + max(2, length // 4):
+                    end += 1
+                if end - n < need:
+                    continue
+                stop = places[end - 1] + 2
+                covered = len(template & set(grams(own[start:stop]))) / len(template)
+                if covered >= share:
+                    yield covered, family, start, stop
+
+    def loose(self, own: list[str], least: float, share: float) -> list[tuple[str, float, float]]:
+        """(family, probability, share of the best template found) of the parts of a line."""
+        out = []
+        if any(f"{a} {b}" in self.pairs for a, b in zip(own, own[1:])):
+            # a long line is judged where the notices' words are
+            for window in self._windows(own):
+                chances = self.probabilities(window)
+                at = int(chances.argmax())
+                if FAMILIES[at] == UNKNOWN or chances[at] < least:
+                    continue
+                found = set(grams(window))
+                covered = max(len(t & found) / len(t) for t in self.templates[FAMILIES[at]])
+                if covered >= share:
+                    out.append((FAMILIES[at], float(chances[at]), covered))
+        return out
 
     def _windows(self, own: list[str], around: int = 24) -> list[list[str]]:
         """Stretches of words around the notices' pairs of words; together all of these."""
@@ -182,6 +254,8 @@ def fit(lines: list[str], rounds: int = 60, rate: float = 4.0, seed: int = 5) ->
     pairs = frozenset(
         f"{a} {b}" for ns in NOTICES.values() for n in ns for a, b in zip(words(n), words(n)[1:])
     )
+    each = [(f, len(words(n)), frozenset(grams(words(n)))) for f, ns in NOTICES.items() for n in ns]
+    users = {pair: [t for t, (_, _, own) in enumerate(each) if pair in own] for pair in pairs}
     split = [words(line) for line in sorted(set(lines))]
     plain = [w for w in split if w and not any(f"{a} {b}" in pairs for a, b in zip(w, w[1:]))]
     rows, labels = [], []
@@ -227,7 +301,7 @@ def fit(lines: list[str], rounds: int = 60, rate: float = 4.0, seed: int = 5) ->
     final = scores()[held]
     options = np.geomspace(0.2, 5, 40)
     loss = [-np.log(_softmax(final / t)[np.arange(len(final)), label[held]] + 1e-12).mean() for t in options]
-    return Model(weights, bias, float(options[int(np.argmin(loss))]), templates, pairs)
+    return Model(weights, bias, float(options[int(np.argmin(loss))]), templates, pairs, each, users)
 
 
 def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Model:
@@ -244,11 +318,25 @@ def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Model:
 FOUND = "array<struct<line:int,family:string,probability:double,covered:double>>"
 
 
+def _paragraphs(text: str) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first line, lines) of the runs of lines that hold a letter or digit."""
+    lines: list[str] = []
+    every = text.split("\n")
+    for n, line in enumerate(every):
+        if _FILLED.search(line):
+            lines.append(line)
+        elif lines:
+            yield n - len(lines), lines
+            lines = []
+    if lines:
+        yield len(every) - len(lines), lines
+
+
 def scan(docs: DataFrame, model: Model, least: float = 0.6, share: float = 0.6) -> DataFrame:
     """docs(doc_id, text) -> doc_id, found FOUND: the paragraphs that declare a licence."""
     small_batches(docs.sparkSession)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    # a line without any of these can't hold a pair of a notice's words
+    # a paragraph without any of these can't hold a pair of a notice's words
     starts = sorted({p.split(" ")[0] for p in model.pairs} - {"0"}, key=len)
     maybe = re.compile("|".join(rf"\b{re.escape(w)}\b" for w in starts), re.IGNORECASE)
 
@@ -263,11 +351,10 @@ def scan(docs: DataFrame, model: Model, least: float = 0.6, share: float = 0.6)
             out = []
             for text in batch.column(1).to_pylist():
                 found = []
-                for n, line in enumerate(text.split("\n")):
-                    if maybe.search(line):
-                        family, chance, covered = own.family(line, least, share)
-                        if family != UNKNOWN:
-                            found.append(dict(line=n, family=family, probability=chance, covered=covered))
+                for first, lines in _paragraphs(text):
+                    if any(map(maybe.search, lines)):
+                        for n, family, chance, covered in own.notices([words(x) for x in lines], least, share):
+                            found.append(dict(line=first + n, family=family, probability=chance, covered=covered))
                 out.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, item)], names=["doc_id", "found"])
 

@@ -343,6 +343,28 @@ def test_licences(spark, none):
     assert licenses.scan(none, model).count() == 0 and licenses.train(none)
 
 
+def test_licences_across_lines_and_several_on_one(spark):
+    header = (
+        "/*\n * This {0} is free software; you can redistribute it and/or modify\n"
+        " * it under the terms of the GNU {1}General Public License as published by\n * the Free Software Foundation.\n */"
+    )
+    plain = "plain words " * 40
+    texts = [
+        header.format("program", ""), header.format("library", "Lesser "), header.format("program", "Affero "),
+        "Licensed under the MIT License or the Apache License, Version 2.0",
+        f"{plain}Released under the MIT License. {plain}Licensed under CC BY-SA 4.0 {plain}",
+        "Released under the\n\nMIT License", "x\nReleased under the MIT License.\nLicensed under the ISC License.",
+        "This work is licensed under the GNU\nGeneral Public License, version 3",
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = licenses.fit(["plain words on a line", "the law of the land", "w1 w2 w3"])
+    got = {r.doc_id: [(f.line, f.family) for f in r.found] for r in licenses.scan(table, model).collect()}
+    assert got == {
+        0: [(1, "gpl")], 1: [(1, "lgpl")], 2: [(1, "agpl")], 3: [(0, "apache"), (0, "mit")], 4: [(0, "cc-by-sa"), (0, "mit")],
+        5: [], 6: [(1, "mit"), (2, "isc")], 7: [(0, "gpl")],
+    }
+
+
 def test_sha_of_ids_is_that_of_their_bytes(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = {r.doc_id: r for r in bpe.encode(docs.where("doc_id > 9"), path).collect()}
