@@ -6,8 +6,9 @@ into keyed state on disk (RocksDB, no watermark, so nothing expires): per digest
 identifier and locator of the row that stays and the number of rows. More documents can be
 added to the same state later; only new inbox files are read then.
 
-A digest that was met twice is a hit. The texts of all hits are fetched by their locators
-and compared byte by byte with the text that stays. Rows whose bytes differ although the
+A digest that was met twice is a hit. The texts of all hits, also those of rows that an
+earlier call added to the state, are fetched by their locators and compared byte by byte with
+the text that stays; so the files of earlier calls have to stay where they are. Rows whose bytes differ although the
 digest agrees are grouped again by the text itself.
 
 Defined cases: a null text is empty; a null doc_id is smaller than any other; of rows with
@@ -17,6 +18,8 @@ has kept = true; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +70,13 @@ class DedupState:
         self.folder = folder or Scratch(spark, "dedup-state").folder
         self.partitions = partitions
 
+    def arrivals(self) -> DataFrame | None:
+        """What was added so far; later additions aren't part of it."""
+        try:
+            return self.spark.read.parquet(f"{self.folder}/inbox")
+        except AnalysisException:
+            return None
+
     def add(self, arrivals: DataFrame) -> None:
         """arrivals(doc_id, digest, file, row) join the state."""
         inbox = f"{self.folder}/inbox"
@@ -120,17 +130,43 @@ def deduplicate(
     if not seen.rows:
         return _result(seen.df.select("*", *_none()))
     state = DedupState(spark, state_folder, max(8, seen.rows // STATE_ROWS))
+    before = state.arrivals()
     state.add(seen.df)
-    groups = scratch.store(state.groups())
-    joined = attach_groups(seen.df, groups.df, "digest", "group_size", seen.rows)
+    groups, size = state.groups(), "group_size"
+    if before is not None:
+        # a group of the state may have few rows or none in these documents
+        size = "own_size"
+        groups = groups.join(seen.df.groupBy("digest").agg(F.count(F.lit(1)).alias(size)), "digest")
+    groups = scratch.store(groups)
+    joined = attach_groups(seen.df, groups.df, "digest", size, seen.rows).select(
+        *seen.df.columns, "keep_id", "keep_file", "keep_row", "group_size"
+    )
 
-    odd, exact = _compared(scratch, located, groups.df.where("group_size > 1"))
+    hits = groups.df.where("group_size > 1")
+    found = located.withColumn("own", F.lit(True))
+    if before is not None:
+        found = found.unionByName(_earlier(scratch, before, hits))
+    odd, exact = _compared(scratch, found, hits)
     if odd is not None:
         sure = joined.join(odd, "digest", "left_anti")
         joined = sure.unionByName(exact)
     return _result(joined)
 
 
+def _earlier(scratch: Scratch, before: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of earlier calls that hits are about, with their texts read again."""
+    rows = scratch.store(before.join(hits.select("digest"), "digest", "left_semi"))
+    files = [unquote(r["file"]) for r in rows.df.select("file").distinct().collect()]
+    if not files:
+        return rows.df.withColumns({"text": F.lit(""), "own": F.lit(False)})
+    texts = scratch.spark.read.parquet(*files).select(
+        normalised(F.col("text")).alias("text"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"),
+    )
+    return rows.df.join(texts, ["file", "row"]).withColumn("own", F.lit(False))
+
+
 def _none() -> list[Column]:
     kinds = {"keep_id": "long", "keep_file": "string", "keep_row": "long", "group_size": "long"}
     return [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
@@ -155,7 +191,8 @@ def _compared(
     """Compare the bytes of every hit with the text that stays.
 
     Returns the digests under which different texts met, and those rows grouped by their
-    texts; (None, None) if there are none, as with any digest of good length.
+    texts; (None, None) if there are none, as with any digest of good length. Rows that
+    aren't ``own`` count in their groups, but aren't returned.
     """
     # a hot digest is one skewed key of these two sort-merge joins, which Spark splits
     texts = scratch.store(
@@ -178,7 +215,7 @@ def _compared(
     by_text = rows.groupBy("digest", "text").agg(
         best.alias("best"), F.count(F.lit(1)).alias("group_size")
     )
-    grouped = rows.join(by_text, ["digest", "text"]).select(
+    grouped = rows.where("own").join(by_text, ["digest", "text"]).select(
         *[c for c in ("digest", "doc_id", "file", "row")],
         F.col("best.doc_id").alias("keep_id"),
         F.col("best.file").alias("keep_file"),

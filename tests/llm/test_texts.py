@@ -173,6 +173,20 @@ def test_dedup_state_goes_on(spark, tmp_path):
     assert got == {"a": (5, "g", 2), "b": (2, "f", 1)}
 
 
+def test_dedup_compares_texts_of_earlier_calls(spark, tmp_path):
+    state, weak = str(tmp_path / "state"), lambda t: F.length(t).cast("string")
+    parts = [[(9, "aa"), (2, "bb"), (4, "ccc")], [(3, "AA"), (5, "bb"), (1, "dd")], [(10, "dd")]]
+    want = [
+        {(9, 9, 1, True), (2, 2, 1, True), (4, 4, 1, True)}, {(3, 9, 2, False), (5, 5, 2, True), (1, 1, 1, True)},
+        {(10, 10, 2, True)},
+    ]
+    for n, part in enumerate(parts):
+        folder = str(tmp_path / f"batch {n}")
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.parquet(folder)
+        got = exact_dedup.deduplicate(spark.read.parquet(folder), weak, state).collect()
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == want[n] and len(got) == len(part)
+
+
 def test_near_duplicates(docs, none, rows):
     rows = [r for r in rows if r[0] != 3]  # its two texts are told apart in test_exact_dedup only
     got = near_dedup.near_duplicates(docs.where("doc_id is null or doc_id != 3")).collect()
