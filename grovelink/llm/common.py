@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # a key that holds more than this share of all rows is answered by a broadcast; at
 # most HEAVY_SHARE keys can be that heavy, whatever the size of the table
@@ -23,6 +24,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def shaped(df: DataFrame, column: str, rest: str) -> StructType:
+    """The schema of a column of ``df``, then of those that ``rest`` declares."""
+    return StructType([df.schema[column], *StructType.fromDDL(rest)])
+
+
 def texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id LONG, text STRING): a null text is an empty one; other columns go."""
     return docs.select(

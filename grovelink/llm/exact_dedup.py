@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .common import attach_groups
+from .words import located, texts_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # keys in a partition of a new state, as a mean
@@ -123,10 +124,17 @@ def deduplicate(
     ``digest`` maps the normalised text to the key of the state; any function will do for
     right results, a good one avoids comparing texts in vain.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
-    located = _located(docs, scratch).withColumn("digest", digest(F.col("text")))
-    seen = scratch.store(located.select("doc_id", "digest", "file", "row"))
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    return _deduplicate(scratch, _located(docs, scratch), digest, state_folder)
+
+
+def _deduplicate(
+    scratch: Scratch, rows: DataFrame, digest=sha256, state_folder: str | None = None
+) -> DataFrame:
+    """The result for rows (doc_id, text, file, row) with normalised texts."""
+    spark = scratch.spark
+    rows = rows.withColumn("digest", digest(F.col("text")))
+    seen = scratch.store(rows.select("doc_id", "digest", "file", "row"))
     if not seen.rows:
         return _result(seen.df.select("*", *_none()))
     state = DedupState(spark, state_folder, max(8, seen.rows // STATE_ROWS))
@@ -143,7 +151,7 @@ def deduplicate(
     )
 
     hits = groups.df.where("group_size > 1")
-    found = located.withColumn("own", F.lit(True))
+    found = rows.withColumn("own", F.lit(True))
     if before is not None:
         found = found.unionByName(_earlier(scratch, before, hits))
     odd, exact = _compared(scratch, found, hits)
@@ -228,19 +236,7 @@ def _compared(
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     scratch = Scratch(docs.sparkSession, "exact-dedup-kept")
-    whole = scratch.store(docs).df if not _is_scan(docs) else docs
-    stays = deduplicate(whole).where("kept").select("file", "row")
-    boxed = whole.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
-    )
-    return boxed.join(stays, ["file", "row"], "left_semi").select("document.*")
-
-
-def _is_scan(docs: DataFrame) -> bool:
-    try:
-        docs.select("_metadata.row_index")
-        return True
-    except AnalysisException:
-        return False
+    places = located(scratch, docs)
+    rows = texts_of(places).withColumn("text", normalised(F.col("text")))
+    stays = _deduplicate(scratch, rows).where("kept").select("file", "row")
+    return places.join(stays, ["file", "row"], "left_semi").select("document.*")

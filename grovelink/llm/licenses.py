@@ -304,15 +304,19 @@ def fit(lines: list[str], rounds: int = 60, rate: float = 4.0, seed: int = 5) ->
     return Model(weights, bias, float(options[int(np.argmin(loss))]), templates, pairs, each, users)
 
 
-def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Model:
-    """Fit with lines of at most ``sample_documents`` documents, chosen by a hash of doc_id."""
-    chosen = (
-        texts(docs)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .limit(sample_documents)
-        .select(F.slice(F.split("text", "\n"), 1, 20).alias("lines"))
-    )
-    return fit([line[:400] for r in chosen.toLocalIterator() for line in r["lines"]])
+def train(
+    docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_lines: int = 3 * SAMPLE_LINES
+) -> Model:
+    """Fit with at most ``sample_lines`` lines out of the whole texts of at most
+    ``sample_documents`` documents; a hash chooses both."""
+    whole = texts(docs).withColumn("mark", F.xxhash64("text"))
+    # places first, so that no task carries the texts of all that it compares
+    chosen = whole.select("doc_id", "mark").orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(sample_documents)
+    own = F.broadcast(chosen.toDF("own_id", "own_mark").distinct())
+    met = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))
+    lines = whole.join(own, met, "left_semi").select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    drawn = lines.orderBy(F.xxhash64("line"), "line").limit(sample_lines)
+    return fit([r["line"] for r in drawn.collect()])
 
 
 FOUND = "array<struct<line:int,family:string,probability:double,covered:double>>"

@@ -14,11 +14,15 @@
 
 Large groups of near copies would still meet in all pairs, so steps 3 and 4 run in rounds.
 In the first two each class meets only the hub of its list (the smallest, then the largest
-id), and what that confirms is merged. The classes of lists that still hold several
-components are posted once more, under the rarest of their shingles, and these lists are
-joined in full, but only across components. No link between components is lost. The join
-leaves out pairs whose parity bitmaps of 1024 bits differ in more places than the sets of a
-linked pair can; the bits never differ in more places than the sets, so this loses nothing.
+id), and what that confirms is merged. Lists that still hold several components are then
+merged in full, but only across components: a list is cut into blocks of a bounded number of
+classes, a task takes two blocks at a time, counts the coordinates in which two
+classes agree, and gives a pair of at least ``matches`` agreements under the first
+coordinate alone that both are posted under, so a pair is one row however many lists it
+shares. Pairs are left out whose parity bitmaps of 1024 bits differ in more places than
+the sets of a linked pair can; the bits never differ in more places than the sets, so this
+loses nothing. A list of N classes that are not linked costs N * N / 2 comparisons, in
+N * N / (2 * BLOCK_CLASSES ** 2) blocks that are spread over tasks, and no rows.
 
 With 48 coordinates and 21 matches, and 70 of 128 matches in the sketch, a pair at the
 threshold of 0.75 is missed with a probability of 2e-6, at 0.8 of 1e-8.
@@ -36,14 +40,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lookup import Limits, lookup
 from ..operators.components import connected_components
 from ..scratch import Scratch
-from .common import Recent, small_batches
+from .common import Recent, attach_groups, small_batches
+from .words import located, texts_of
 
 WORDS, COORDINATES, MATCHES, PERCENT = 5, 48, 21, 75
 # a sketch has four bits of each of so many minima; similar sets agree in so many of them
@@ -52,6 +56,8 @@ SKETCH = [f"s{i}" for i in range(SKETCHED // 16)]
 # a bit of the bitmap says whether the shingles that fall to it are odd in number
 BITMAP = [f"bits{i}" for i in range(16)]
 CACHE_WORDS = 300_000
+BLOCK_CLASSES = 512  # classes of a list that meet those of another block at once
+PAIR_ROWS = 1 << 18  # pairs that a task looks at in one step
 PARTNERS = 64  # pairs that are confirmed against one class in one group
 _BLOCK = 1024
 
@@ -103,31 +109,20 @@ def signature(shingles: np.ndarray, coordinates: int) -> tuple[np.ndarray, np.nd
     return values, sketch.view(np.int64)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """For each of 1024 bits, whether an odd number of shingles falls to it, as LONGs."""
+    places = (shingles & np.uint64(64 * len(BITMAP) - 1)).astype(np.int64)
+    odd = (np.bincount(places, minlength=64 * len(BITMAP)) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _key(shingles: np.ndarray) -> tuple[int, int]:
     """A digest of the set as two LONGs."""
     key = xxhash.xxh3_128_intdigest(shingles.tobytes())
     return (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _is_scan(docs: DataFrame) -> bool:
-    try:
-        docs.select("_metadata.row_index")
-        return True
-    except AnalysisException:
-        return False
-
-
-def _located(docs: DataFrame) -> DataFrame:
-    """(doc_id LONG, text STRING, file, row): a null text is an empty one; other columns go."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
-    )
-
-
-def _sets(located: DataFrame, words: int, coordinates: int) -> DataFrame:
+def _sets(places: DataFrame, words: int, coordinates: int) -> DataFrame:
     """(doc_id, file, row, n_shingles, set_key LONG pair, signature, number) per document.
 
     ``number`` is unique; the graph's nodes are numbers, as a doc_id may be null or repeated.
@@ -136,7 +131,7 @@ def _sets(located: DataFrame, words: int, coordinates: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            size, high, low, rows, sketches = [], [], [], [], []
+            size, high, low, rows, sketches, maps = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingler(text)
                 one, two = _key(shingles)
@@ -146,6 +141,7 @@ def _sets(located: DataFrame, words: int, coordinates: int) -> DataFrame:
                 values, sketch = signature(shingles, coordinates)
                 rows.append(values)
                 sketches.append(sketch)
+                maps.append(bitmap(shingles))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -156,37 +152,40 @@ def _sets(located: DataFrame, words: int, coordinates: int) -> DataFrame:
                     pa.array(low, pa.int64()),
                     pa.array(rows, pa.list_(pa.int32())),
                     *(pa.array(c) for c in np.array(sketches).reshape(-1, len(SKETCH)).T),
+                    *(pa.array(c) for c in np.array(maps).reshape(-1, len(BITMAP)).T),
                 ],
-                names=["doc_id", "file", "row", "n_shingles", "high", "low", "signature", *SKETCH],
+                names=["doc_id", "file", "row", "n_shingles", "high", "low", "signature", *SKETCH, *BITMAP],
             )
 
-    found = located.mapInArrow(
+    found = places.mapInArrow(
         run,
         "doc_id long, file string, row long, n_shingles long, high long, low long, "
-        "signature array<int>, " + ", ".join(f"{c} long" for c in SKETCH),
+        "signature array<int>, " + ", ".join(f"{c} long" for c in (*SKETCH, *BITMAP)),
     )
     return found.withColumn("number", F.monotonically_increasing_id())
 
 
 def _postings(scratch: Scratch, classes: DataFrame, matches: int) -> DataFrame:
-    """(key LONG, id, n): the prefix of every class that can have a partner."""
+    """(key LONG, at, id, n, SKETCH): the prefix of every class that can have a partner."""
     each = scratch.store(
         classes.select("id", "n", F.posexplode("signature").alias("at", "value")).select(
-            "id", "n", F.xxhash64("at", "value").alias("key")
+            "id", "n", "at", F.xxhash64("at", "value").alias("key")
         )
     )
-    often = each.df.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # a frequent value is a skewed key of this sort-merge join, which Spark splits
+    often = scratch.store(
+        each.df.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    )
     shared = (
-        each.df.join(often, "key")
+        attach_groups(each.df, often.df, "key", "often", each.rows)
         .groupBy("id", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("values"))
+        .agg(F.array_sort(F.collect_list(F.struct("often", "key", "at"))).alias("values"))
         .where(F.size("values") >= matches)
     )
-    prefix = F.slice("values.key", F.lit(1), F.size("values") - (matches - 1))
-    posted = shared.select("id", "n", F.explode(prefix).alias("key"))
+    prefix = F.slice("values", F.lit(1), F.size("values") - (matches - 1))
+    posted = shared.select("id", "n", F.explode(prefix).alias("_v"))
+    posted = posted.select("id", "n", F.col("_v.key").alias("key"), F.col("_v.at").alias("at"))
     out = scratch.store(posted.join(classes.select("id", *SKETCH), "id"))
-    scratch.drop(each)
+    scratch.drop(each, often)
     return out
 
 
@@ -207,29 +206,10 @@ def _alike(percent: int) -> F.Column:
     return sizes & (differ <= SKETCHED - SKETCH_MATCHES)
 
 
-def _bitmaps(shingles: DataFrame) -> DataFrame:
-    """(id, BITMAP) of the distinct (id, key) rows: the parity of the keys at each bit."""
-    word = F.pmod(F.shiftright("key", 6), F.lit(len(BITMAP)))
-    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
-    parts = [F.bit_xor(F.when(word == i, bit)) for i in range(len(BITMAP))]
-    return shingles.groupBy("id").agg(
-        *[F.coalesce(part, F.lit(0)).alias(c) for c, part in zip(BITMAP, parts)]
-    )
-
-
-def _few_bits_differ(percent: int) -> F.Column:
-    """Bitmaps differ in no more places than sets of these sizes and this similarity can."""
-    differ = F.lit(0)
-    for c in BITMAP:
-        differ = differ + F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    return differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-
-
 def _side(lists: DataFrame, x: str) -> DataFrame:
     """Postings as one side of a join."""
-    marks = [F.col(c).alias(f"{c}_{x}") for c in ("n", *SKETCH, *BITMAP) if c in lists.columns]
-    more = [F.col("comp").alias(f"comp_{x}")] if "comp" in lists.columns else []
-    return lists.select("key", F.col("id").alias(x), *marks, *more)
+    marks = [F.col(c).alias(f"{c}_{x}") for c in ("n", *SKETCH)]
+    return lists.select("key", F.col("id").alias(x), *marks)
 
 
 def _confirmed(
@@ -296,27 +276,24 @@ def near_duplicates(
     Components that aren't linked have the same ``component_id`` if their smallest doc_id is
     the same.
     """
-    placed = _placed(docs, words, coordinates, matches, percent)
+    places = texts_of(located(Scratch(docs.sparkSession, "near-dedup"), docs))
+    placed = _placed(places, words, coordinates, matches, percent)
     return placed.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _placed(
-    docs: DataFrame,
+    places: DataFrame,
     words: int = WORDS,
     coordinates: int = COORDINATES,
     matches: int = MATCHES,
     percent: int = PERCENT,
 ) -> DataFrame:
-    """The rows of ``near_duplicates`` with file and row of the documents.
-
-    A frame that isn't a plain file scan is written first, and the locators are those of
-    the written files.
-    """
-    spark = docs.sparkSession
+    """The rows of ``near_duplicates`` with the file and row of ``places``."""
+    spark = places.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "near-dedup")
-    located = _located(docs if _is_scan(docs) else scratch.store(docs.select("doc_id", "text")).df)
-    sets = scratch.store(_sets(located, words, coordinates))
+    whole = places.withColumn("text", F.coalesce("text", F.lit("")))
+    sets = scratch.store(_sets(whole, words, coordinates))
     linked = sets.df.where("n_shingles > 0")
     # the document with the smallest doc_id stands for a class, which goes by its number
     best = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "number")).alias("best")
@@ -327,13 +304,13 @@ def _placed(
     first = classes.df.select("id").join(linked, F.col("id") == F.col("number"))
     signed = scratch.store(
         first.select(
-            "id", F.col("n_shingles").alias("n"), "high", "low", "signature", *SKETCH, "file", "row"
+            "id", F.col("n_shingles").alias("n"), "low", "signature", *SKETCH, *BITMAP, "file", "row"
         )
     ).df
     posted = _postings(scratch, signed, matches).df
     involved = posted.select("id").distinct().join(signed.select("id", "low", "file", "row"), "id")
     text = scratch.store(
-        located.drop("doc_id").join(involved, ["file", "row"]).select("id", "text", "low")
+        whole.drop("doc_id").join(involved, ["file", "row"]).select("id", "text", "low")
     ).df
 
     found = None
@@ -346,8 +323,7 @@ def _placed(
         merged = _components(scratch, found, signed).df
 
     lists = _still_open(scratch, posted, merged)
-    across = _across(_rare_shingles(scratch, lists, text, words, percent), percent)
-    rest = scratch.store(across).df
+    rest = scratch.store(_across(scratch, lists, signed, percent, matches)).df
     more = scratch.store(_confirmed(scratch, rest, text, words, percent))
     if more.rows:
         merged = _components(scratch, found.unionByName(more.df), signed).df
@@ -387,14 +363,9 @@ def _placed(
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stand for their component, with all their columns."""
     scratch = Scratch(docs.sparkSession, "near-dedup-kept")
-    whole = docs if _is_scan(docs) else scratch.store(docs).df
-    stays = _placed(whole).where("kept").select("file", "row")
-    boxed = whole.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
-    )
-    return boxed.join(stays, ["file", "row"], "left_semi").select("document.*")
+    places = located(scratch, docs)
+    stays = _placed(texts_of(places)).where("kept").select("file", "row")
+    return places.join(stays, ["file", "row"], "left_semi").select("document.*")
 
 
 # a look-up table that is broadcast has at most so many rows of a few numbers
@@ -425,54 +396,98 @@ def _still_open(scratch: Scratch, posted: DataFrame, merged: DataFrame) -> DataF
     return scratch.store(labelled.join(mixed.select("key"), "key", "left_semi")).df
 
 
-def _rare_shingles(
-    scratch: Scratch, lists: DataFrame, text: DataFrame, words: int, percent: int
+def _across(
+    scratch: Scratch, lists: DataFrame, signed: DataFrame, percent: int, matches: int
 ) -> DataFrame:
-    """Lists of the classes in ``lists`` under shingles instead of coordinates, again only
-    the prefix: of n shingles the n - ceil(n * percent / 100) + 1 rarest among these classes.
-
-    What shares a frequent passage and little else meets under coordinates, but not here.
-    """
-    own = lists.drop("key").dropDuplicates(["id"])
+    """(a, b) once for all classes of a list that are in different components and agree in
+    at least ``matches`` coordinates."""
+    own = scratch.store(lists.select("key", "at", "id", "comp"))
+    sizes = own.df.groupBy("key").agg(
+        F.count(F.lit(1)).alias("often"), F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).alias("blocks")
+    )
+    sizes = scratch.store(sizes).df
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("mine")
+    cut = attach_groups(own.df, sizes, "key", "often", own.rows).select("*", mine)
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cut = cut.select(
+        "key",
+        "at",
+        "id",
+        "comp",
+        F.least("mine", "other").alias("i"),
+        F.greatest("mine", "other").alias("j"),
+        (F.col("mine") > F.col("other")).alias("second"),
+    )
+    posted = own.df.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("posted"))
+    marks = signed.select("id", "n", "signature", *SKETCH, *BITMAP).join(posted, "id")
+    met = cut.join(marks, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            rows, found = [], []
-            for row, (text, key) in enumerate(zip(batch.column(1), batch.column(2))):
-                shingles = shingler(text.as_py())
-                if _key(shingles)[1] == key.as_py():
-                    rows.append(np.full(len(shingles), row))
-                    found.append(shingles.view(np.int64))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(np.concatenate(rows))),
-                        pa.array(np.concatenate(found)),
-                    ],
-                    names=["id", "key"],
-                )
-
-    open_text = text.join(own.select("id"), "id", "left_semi").select("id", "text", "low")
-    each = scratch.store(open_text.mapInArrow(run, "id long, key long").distinct())
-    own = own.join(_bitmaps(each.df), "id")
-    often = each.df.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # shingles of one class alone come first in the order; their number is what n lacks
-    shared = (
-        each.df.join(often, "key")
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("keys"))
-        .join(own, "id")
+            table = pa.Table.from_batches([*held, batch]).combine_chunks()
+            new = _new_list(table)
+            cut_at = int(np.flatnonzero(new)[-1])
+            if cut_at:
+                yield from _pairs(table.slice(0, cut_at), percent, matches)
+            held = table.slice(cut_at).to_batches()
+        if held:
+            yield from _pairs(pa.Table.from_batches(held), percent, matches)
+
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _new_list(table: pa.Table) -> np.ndarray:
+    """Rows that begin a list, or a pair of its blocks."""
+    new = np.ones(table.num_rows, dtype=bool)
+    new[1:] = False
+    for c in ("key", "i", "j"):
+        v = table.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return new
+
+
+def _pairs(table: pa.Table, percent: int, matches: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole lists that qualify, each under its first shared posting."""
+    ids, comp, n, at, posted = (
+        table.column(c).to_numpy() for c in ("id", "comp", "n", "at", "posted")
     )
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    left = length - (F.col("n") - F.size("keys"))
-    prefix = F.slice("keys.key", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
-    return scratch.store(shared.select(F.explode(prefix).alias("key"), *own.columns)).df
-
-
-def _across(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of all classes that share a list and are in different components."""
-    one, two = _side(lists, "a"), _side(lists, "b")
-    met = (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _alike(percent)
-    met &= _few_bits_differ(percent)
-    return one.join(two, "key").where(met).select("a", "b").distinct()
+    second, crosses = table.column("second").to_numpy(), table.column("i").to_numpy() != table.column("j").to_numpy()
+    sketch = np.stack([table.column(c).to_numpy().view(np.uint64) for c in SKETCH], axis=1)
+    bits = np.stack([table.column(c).to_numpy().view(np.uint64) for c in BITMAP], axis=1)
+    flat = table.column("signature").combine_chunks().flatten().to_numpy()
+    values = flat.reshape(table.num_rows, -1)
+    starts = np.flatnonzero(_new_list(table))
+    ends = np.append(starts[1:], table.num_rows)
+    partners = np.repeat(ends, ends - starts) - np.arange(table.num_rows) - 1
+    total = np.concatenate([[0], np.cumsum(partners)])
+    lowest = np.uint64(0x1111111111111111)
+    row = 0
+    while row < table.num_rows:
+        stop = max(row + 1, int(np.searchsorted(total, total[row] + PAIR_ROWS, "right")) - 1)
+        own = partners[row:stop]
+        a = np.repeat(np.arange(row, stop), own)
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[row:stop] - total[row], own)
+        row = stop
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        keep = (comp[a] != comp[b]) & (100 * small >= percent * large)
+        keep &= ~crosses[a] | (second[a] != second[b])
+        a, b = a[keep], b[keep]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        keep = differ * (100 + percent) <= (n[a] + n[b]) * (100 - percent)
+        a, b = a[keep], b[keep]
+        other = sketch[a] ^ sketch[b]
+        other |= other >> np.uint64(2)
+        other |= other >> np.uint64(1)
+        apart = np.bitwise_count(other & lowest).sum(axis=1, dtype=np.int64)
+        keep = apart <= SKETCHED - SKETCH_MATCHES
+        a, b = a[keep], b[keep]
+        same = values[a] == values[b]
+        coordinate = np.arange(values.shape[1])
+        both = (posted[a] & posted[b])[:, None] >> coordinate & 1 == 1
+        keep = (same.sum(axis=1) >= matches) & ((same & both).argmax(axis=1) == at[a]) & (at[a] == at[b])
+        a, b = ids[a[keep]], ids[b[keep]]
+        if len(a):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
+            )

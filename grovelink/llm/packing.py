@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .common import small_batches, texts
+from .common import shaped, small_batches, texts
+from .words import boxed, named
 
 # words remembered by a Python worker, twice this at most
 CACHE_WORDS = 500_000
@@ -217,24 +218,24 @@ def pack(pieces: DataFrame, length: str, order_by: list[str], capacity: int = 20
     # one row per length: at most ``capacity`` rows reach the driver
     histogram = {
         r[0]: r[1]
-        for r in stored.df.groupBy(F.col(length).cast("int").alias("s"))
+        for r in stored.df.groupBy(named(length).cast("int").alias("s"))
         .agg(F.count(F.lit(1)))
         .collect()
     }
     places = _places(plan_sequences(histogram, capacity))
     buckets = max(MIN_BUCKETS, -(-stored.rows // RANK_ROWS))
-    boxed = stored.df.select(
-        F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("item"),
-        F.col(f"`{length}`").cast("int").alias("size"),
-        F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order_by]), F.lit(buckets)).alias("bucket"),
+    items = stored.df.select(
+        boxed(pieces).alias("item"),
+        named(length).cast("int").alias("size"),
+        F.pmod(F.xxhash64(*[named(c) for c in order_by]), F.lit(buckets)).alias("bucket"),
     )
-    sizes = boxed.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = items.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
-    order = Window.partitionBy("size", "bucket").orderBy(*[F.col(f"item.`{c}`") for c in order_by])
-    ranked = boxed.withColumn("row", F.row_number().over(order)).join(starts, ["size", "bucket"])
+    order = Window.partitionBy("size", "bucket").orderBy(*[F.col("item")[c] for c in order_by])
+    ranked = items.withColumn("row", F.row_number().over(order)).join(starts, ["size", "bucket"])
     ranked = ranked.select("item", "size", (F.col("first") + F.col("row") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +255,7 @@ def pack(pieces: DataFrame, length: str, order_by: list[str], capacity: int = 20
                 names=["item", "sequence_id", "offset"],
             )
 
-    item = ranked.schema["item"].dataType.simpleString()
-    placed = ranked.mapInArrow(place, f"item {item}, sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, shaped(ranked, "item", "sequence_id long, offset long"))
     return placed.select("item.*", "sequence_id", "offset")
 
 

@@ -24,13 +24,17 @@ import re
 from collections.abc import Iterator
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import shaped, small_batches
+from .words import boxed
 
 ROUNDS = 10
+# halves of up to LONG / 2 places are below 2**113, so a draw of 256 bits is as good as uniform
+LONG = 48
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "date", "key", "secret")
 _FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 
@@ -48,8 +52,28 @@ class Feistel:
         said = f"{kind}|{n}|{half}|".encode() + radices
         return int.from_bytes(hashlib.blake2b(said, key=self.key, digest_size=32).digest(), "big")
 
+    def _steps(self, kind: str, n: int, half: np.ndarray, radices: np.ndarray) -> np.ndarray:
+        """A draw below each of ``radices``, 64 bits each, from all of the other half."""
+        said = f"{kind}|{n}|{len(half)}|{len(radices)}|".encode() + half.tobytes() + radices.tobytes()
+        seed = hashlib.blake2b(said, key=self.key, digest_size=64).digest()
+        drawn = np.frombuffer(hashlib.shake_256(seed).digest(8 * len(radices)), dtype="<u8")
+        return (drawn % radices.astype(np.uint64)).astype(np.int64)
+
+    def _long(self, kind: str, values: list[int], radices: list[int]) -> list[int]:
+        """The network for values of any length: halves are added place by place."""
+        cut = len(values) // 2
+        v, r = np.array(values, dtype=np.int64), np.array(radices, dtype=np.int64)
+        sides = [slice(0, cut), slice(cut, None)]
+        for n in reversed(range(ROUNDS)) if self.back else range(ROUNDS):
+            own, other = sides[n % 2], sides[1 - n % 2]
+            step = self._steps(kind, n, v[other], r[own])
+            v[own] = (v[own] - step if self.back else v[own] + step) % r[own]
+        return v.tolist()
+
     def digits(self, kind: str, values: list[int], radices: list[int]) -> list[int]:
         """Permute ``values`` with values[i] < radices[i]."""
+        if len(values) > LONG:
+            return self._long(kind, values, radices)
         cut = len(values) // 2
         shape = ",".join(map(str, radices)).encode()
         left, a = _number(values[:cut], radices[:cut])
@@ -230,7 +254,9 @@ _NUMERIC = re.compile(
     re.VERBOSE | re.ASCII,
 )
 _REGION = re.compile(r"[+(]?[+(]?\d[\d .\-/()]{6,}", re.ASCII)
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.ASCII)
+_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_LOCAL = _LETTERS | frozenset("._%+-")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.ASCII)
 _KEY = re.compile(r"(?<![A-Za-z0-9])AKIA([0-9A-Z]{16})(?![A-Za-z0-9])", re.ASCII)
 _SECRET = re.compile(
     r"(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,})", re.ASCII
@@ -242,6 +268,23 @@ _IBAN = re.compile(
 _BY_KIND = {"ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "iban": _iban}
 
 
+def _local_parts(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the local parts of e-mail addresses, read outwards from each @."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        domain = _DOMAIN.match(text, at)
+        if domain:
+            start = at
+            while start > low and text[start - 1] in _LOCAL:
+                start -= 1
+            while start < at and text[start] not in _LETTERS:
+                start += 1
+            if start < at:
+                yield start, at
+                low = domain.end()
+        at = text.find("@", at + 1)
+
+
 def replacements(f: Feistel, text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, new) of every validated value, in order and apart."""
     found: list[tuple[int, int, str, str]] = []
@@ -255,10 +298,8 @@ def replacements(f: Feistel, text: str) -> list[tuple[int, int, str, str]]:
         # to one character behind, so that what follows a value is seen
         for m in _NUMERIC.finditer(text, region.start(), min(len(text), region.end() + 1)):
             note(*m.span(), m.lastgroup if m.lastgroup in _BY_KIND else _group(m))
-    if "@" in text:
-        for m in _EMAIL.finditer(text):
-            end = m.start() + m[0].index("@")
-            found.append((m.start(), end, "email", _characters(f, "email", text[m.start() : end])))
+    for start, end in _local_parts(text):
+        found.append((start, end, "email", _characters(f, "email", text[start:end])))
     if "AKIA" in text:
         for m in _KEY.finditer(text):
             found.append((*m.span(1), "key", _characters(f, "key", m[1])))
@@ -313,7 +354,7 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
+        boxed(docs),
         F.col("text").cast("string").alias("text"),
     )
 
@@ -332,8 +373,7 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
                 names=["document", "text", "found"],
             )
 
-    kind = rows.schema["document"].dataType.simpleString()
-    return rows.mapInArrow(run, f"document {kind}, text string, found {FOUND}")
+    return rows.mapInArrow(run, shaped(rows, "document", f"text string, found {FOUND}"))
 
 
 def pseudonymised_documents(docs: DataFrame, key: bytes) -> DataFrame:
@@ -341,5 +381,5 @@ def pseudonymised_documents(docs: DataFrame, key: bytes) -> DataFrame:
     done = pseudonymise(docs, key)
     new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return done.select(
-        *[new[c].alias(c) if c in new else F.col(f"document.`{c}`") for c in docs.columns]
+        *[new[c].alias(c) if c in new else F.col("document")[c].alias(c) for c in docs.columns]
     )

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import shaped, small_batches
+from .words import boxed
 
 # bound of the training sample; the only part of the work that does not grow with the data
 TRAIN_ROWS = 20_000
@@ -277,7 +278,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
     """document STRUCT (a row of ``docs`` as given) and its score DOUBLE."""
     small_batches(docs.sparkSession)
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
+        boxed(docs),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 
@@ -288,8 +289,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
                 [batch.column(0), pa.array(scores)], names=["document", "score"]
             )
 
-    kind = rows.schema["document"].dataType.simpleString()
-    return rows.mapInArrow(run, f"document {kind}, score double")
+    return rows.mapInArrow(run, shaped(rows, "document", "score double"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:

@@ -88,6 +88,20 @@ def test_nearest(vectors, probe, least):
     assert ann.nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("count", [1, 2, 5, 21, 25, 40])
+def test_nearest_of_few(spark, count):
+    rng = np.random.default_rng(count)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(count)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    if count == 1:
+        assert not got
+    for q, own in got.items():
+        assert len(own) == min(20, count - 1)
+
+
 def test_walk_is_in_order():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=9), rng.normal(size=7)

@@ -3,6 +3,8 @@
 import array
 import hashlib
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -188,29 +190,30 @@ def test_dedup_compares_texts_of_earlier_calls(spark, tmp_path):
 
 
 def test_near_duplicates(docs, none, rows):
-    rows = [r for r in rows if r[0] != 3]  # its two texts are told apart in test_exact_dedup only
-    got = near_dedup.near_duplicates(docs.where("doc_id is null or doc_id != 3")).collect()
-    sets, parent = {}, {}
-    for doc_id, text, *_ in rows:
+    got = near_dedup.near_duplicates(docs).collect()
+    sets, parent = [], {}
+    for _, text, *_ in rows:
         own = clean(text).encode().lower().split()
         n = min(5, len(own))
-        sets[doc_id] = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own else set()
+        sets.append({tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own else set())
 
     def root(x):
         while parent.setdefault(x, x) != x:
             x = parent[x]
         return x
 
-    ids = [i for i in sets if i is not None]
-    for a in ids:
-        for b in ids:
+    for a in range(len(rows)):
+        for b in range(a):
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    want = Counter((d, len(sets[d]), root(d), root(d) == d) for d, *_ in rows if d is not None)
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    ids = {}
+    for n, (doc_id, *_) in enumerate(rows):
+        ids.setdefault(root(n), []).append(doc_id)
+    low = [min((i for i in ids[root(n)] if i is not None), default=None) for n in range(len(rows))]
+    want = Counter((r[0], len(own), lowest, lowest == r[0]) for r, own, lowest in zip(rows, sets, low) if r[0] is not None)
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None) == want
-    assert near_dedup.near_duplicates(none).count() == 0
+    assert len(got) == len(rows) and near_dedup.near_duplicates(none).count() == 0
 
 
 def test_near_duplicates_keep_documents_without_id(spark):
@@ -239,19 +242,101 @@ def test_near_duplicates_with_several_texts_of_one_id(spark):
     assert kept == Counter([(2, f"{short} end"), (3, long)])
 
 
-def test_bitmaps_never_differ_more_than_the_sets(spark):
-    sets = {0: range(40), 1: range(5, 44), 2: range(20, 60), 3: range(100, 103), 4: [-1, 1 << 62, 7]}
-    keys = spark.createDataFrame([(i, k) for i, s in sets.items() for k in s], "id long, key long")
-    got = {r.id: r for r in near_dedup._bitmaps(keys).collect()}
+def test_bitmaps_never_differ_more_than_the_sets():
+    sets = {0: range(40), 1: range(5, 44), 2: range(20, 60), 3: range(100, 103), 4: [(1 << 64) - 1, 1 << 62, 7]}
+    got = {i: near_dedup.bitmap(np.array(list(s), dtype=np.uint64)) for i, s in sets.items()}
     for a in sets:
         for b in sets:
-            differ = sum(
-                bin((got[a][c] ^ got[b][c]) & ((1 << 64) - 1)).count("1") for c in near_dedup.BITMAP
-            )
+            differ = int(np.bitwise_count(got[a] ^ got[b]).sum())
             assert differ <= len(set(sets[a]) ^ set(sets[b]))
             assert differ or set(sets[a]) == set(sets[b])
 
 
+@pytest.mark.parametrize("block", [1 << 20, 7])
+def test_lists_give_each_pair_once(spark, monkeypatch, block):
+    """A family of texts most of which aren't linked, and lists that are cut into blocks."""
+    rnd = random.Random(10)
+    base = [rnd.choice(WORDS) for _ in range(150)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for at in rnd.sample(range(150), rnd.choice([1, 3, 5, 7])):
+            own[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", block)
+    monkeypatch.setattr(near_dedup, "PAIR_ROWS", 50)
+    found, across = [], near_dedup._across
+
+    def watched(*args):
+        pairs = across(*args)
+        found.append([tuple(r) for r in pairs.collect()])
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_across", watched)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table).collect()}
+    assert found[0] and len(found[0]) == len(set(found[0]))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    comp = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+    assert got == comp and 2 < len(set(comp.values())) < 60
+
+
+def test_odd_column_names_pass_through(spark, tmp_path):
+    """Blanks, dots, backticks and names of Spark's own in the columns of documents."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, `a b.c` int, `t``ick` string, _metadata string, document int"
+    rows = [(i, f"{words(random.Random(i % 3), 60)} me@mail.example.com", "en", "s", 1, i, "t", "m", i) for i in range(6)]
+    path = str(tmp_path / "odd")
+    spark.createDataFrame(rows, kind).write.parquet(path)
+    for table in (spark.read.parquet(path), spark.createDataFrame(rows, kind)):
+        labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+        for done in (
+            quality.good_documents(table, labels, least=0.0), exact_dedup.kept_documents(table),
+            near_dedup.kept_documents(table), pii.pseudonymised_documents(table, b"k"),
+        ):
+            assert done.columns == table.columns and done.count() in (3, 6)
+        sized = table.withColumn("n_chars", F.lit(700))
+        assert packing.pack(sized, "n_chars", ["a b.c", "t`ick"], 2048).columns == [*table.columns, "sequence_id", "offset"]
+
+
+def test_long_values_leave_nothing_readable():
+    rnd = random.Random(12)
+    f, back = pii.Feistel(b"key"), pii.Feistel(b"key", back=True)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._-"
+    for size in (8, 20, 47, 48, 49, 50, 97, 240, 2000):
+        value = "".join(rnd.choice(letters) for _ in range(size))
+        text = f"token: {value} and more"
+        new, found = pii.replace(f, text)
+        assert len(new) == len(text) and pii.replace(back, new)[0] == text and len(found) == 1
+        made = new[7 : 7 + size]
+        if size >= 20:
+            blocks = [value[i : i + 8] for i in range(size - 7)]
+            assert not any(made[i : i + 8] == b for i, b in enumerate(blocks) if sum(c.isalnum() for c in b) > 5)
+        assert sum(a == b for a, b in zip(value, made) if a.isalnum()) <= 3 + size // 8
+    seen = {tuple(pii.Feistel(b"k")._long("x", [a, b, c], [3, 4, 5])) for a in range(3) for b in range(4) for c in range(5)}
+    assert len(seen) == 60
+
+
+def test_addresses_are_found_in_linear_time():
+    f = pii.Feistel(b"key")
+    start = time.perf_counter()
+    pii.replace(f, "a" * 1_000_000 + " x@y")
+    pii.replace(f, "a" * 1_000_000 + "@" + "b" * 1000)
+    assert time.perf_counter() - start < 5
+    for text in ("a@b.com@c.org", "..x@y.de, a@b@c.com; @d.com -@e.fr", "é.me@mail.example.com.", "a" * 1_000_000 + "@b.de"):
+        want = [(m.start(), m.start() + m[0].index("@")) for m in re.finditer(
+            r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text[-200:])]
+        shift = max(0, len(text) - 200)
+        got = list(pii._local_parts(text))
+        assert [e for _, e in got] == [e + shift for _, e in want]
+        if not shift:
+            assert got == want
+
+
 @pytest.mark.parametrize("group", [8000, 2, 1])
 def test_repeats(docs, none, rows, group):
     length = 200
