@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..lookup import DEFAULT_LIMITS, Limits, flags, lookup
 from ..scratch import Scratch
 from .components import connected_components
-from .pairs import eps_join, knn_symmetric
+from .pairs import eps_join, finite, knn_symmetric
 
 # fixed value: neighbours (with itself) a point needs to be a core point by default
 DBSCAN_MIN_POINTS = 5
@@ -61,8 +61,9 @@ def dbscan(
 
     A core point has at least ``min_points`` points (itself included) within
     ``eps``; a border point joins the smallest cluster among its core
-    neighbours. Copies of a point are first folded into one weighted point, so
-    a large group of copies costs one row instead of all its pairs.
+    neighbours. A point with an undefined or infinite coordinate is noise. Copies
+    of a point are first folded into one weighted point, so a large group of
+    copies costs one row instead of all its pairs.
     """
     scratch = Scratch(vertices.sparkSession, "dbscan")
     places = scratch.store(
@@ -83,6 +84,7 @@ def dbscan(
     core = scratch.store(
         places.df.join(around, "id", "left")
         .where(F.col("weight") + F.coalesce("_n", F.lit(0)) >= min_points)
+        .transform(finite)
         .select("id")
     )
     marked = flags(near.df.select("src", "dst"), near.rows, ["src", "dst"], {"core": core.df}, limits)
@@ -110,4 +112,4 @@ def dbscan(
     by_place = placed.df.select(F.col("features").alias("id"), "cluster")
     points = vertices.select("id", "features")
     found = lookup(points, total, "features", by_place, placed.rows, {"cluster": "cluster"}, limits)
-    return found.select("id", "cluster")
+    return found.select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))

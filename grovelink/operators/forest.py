@@ -32,7 +32,7 @@ from ..functions.scalars import (
 from ..lookup import DEFAULT_LIMITS, Limits, flags, lookup
 from ..schema import EDGE_SCHEMA, assign_ids, canonical_edges, distinct_vertices, first_n
 from ..scratch import Scratch, Stored
-from . import kernels
+from . import kernels, planar
 from .contraction import best_of, both_ends, follow_pointers, rank_by_weight, relabel_ranked
 from .pairs import BLOCK_ROWS, complete_forest_candidates, dimension, finite
 
@@ -40,6 +40,7 @@ BUCKET_EDGES = 1_000_000  # edges a task reads before it squeezes them
 FOREST_EDGES = 4_000_000  # largest forest of one bucket
 WORTHWHILE = 0.9  # a round that keeps more than this share is the last one
 LINE_ROWS = 50_000
+PLANAR_ROWS = 50_000
 MAX_TASKS = 20_000
 
 
@@ -51,6 +52,7 @@ class Forest:
     rounds: list[tuple[int, int]] = field(default_factory=list)
     vertices: int = 0
     size: int | None = None
+    work: dict = field(default_factory=dict)
 
 
 def _forest_filter(flagged: bool, weight=np.float64):
@@ -292,18 +294,28 @@ def complete_forest(
     block_rows: int = BLOCK_ROWS,
     limits: Limits = DEFAULT_LIMITS,
     line_rows: int = LINE_ROWS,
+    planar_rows: int = PLANAR_ROWS,
 ) -> Forest:
     """Minimum spanning forest of the complete graph over points.
 
     The first sparsifier round is fused with the distances, so the n(n-1)/2
     edges never exist as rows. More than ``line_rows`` points on a line are
-    only sorted. A point with an undefined or infinite coordinate has no edges.
+    only sorted; of more than ``planar_rows`` points in two or three dimensions only those
+    are compared that can be neighbours in the tree (``planar``). A point with an
+    undefined or infinite coordinate has no edges.
     """
     n = vertices.count()
     points = finite(vertices)
-    if n > line_rows and metric in ("euclidean", "manhattan") and dimension(points) == 1:
+    flat = metric in ("euclidean", "manhattan") and n > min(line_rows, planar_rows)
+    dim = dimension(points) if flat else 0
+    if n > line_rows and dim == 1:
         return Forest(line_forest(points, n, limits), [], n)
-    candidates = complete_forest_candidates(points, metric, block_rows, rows=n)
+    candidates, work = None, {}
+    if n > planar_rows and dim in planar.CURVE_BITS:
+        found = planar.planar_candidates(points, metric, dim, n, min(block_rows, planar.BLOCK_ROWS))
+        candidates, work = found or (None, {})
+    if candidates is None:
+        candidates = complete_forest_candidates(points, metric, block_rows, rows=n)
     forest = minimum_spanning_forest(
         candidates,
         vertices,
@@ -311,6 +323,7 @@ def complete_forest(
         limits=limits,
         canonical=True,
     )
+    forest.work = work
     return forest
 
 

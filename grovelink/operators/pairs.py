@@ -252,9 +252,11 @@ def eps_join(
     """edges: pairs within ``eps``.
 
     In up to three dimensions a grid keeps far pairs from ever meeting,
-    otherwise block pairs with a threshold are used.
+    otherwise block pairs with a threshold are used. A point with an undefined or infinite
+    coordinate is in no pair.
     """
     check_metric(metric)
+    vertices = finite(vertices)
     dim = dimension(vertices) if dim is None else dim
     if metric in grid.GRID_METRICS and 0 < dim <= grid.GRID_DIMENSIONS and eps > 0:
         return grid.eps_join_grid(vertices, eps, metric, dim, cell_rows)

@@ -521,6 +521,12 @@ def q_mst_2d(spark, sf):
     return _rounded(forest.complete_forest(suppliers_2d(spark, sf)).edges)
 
 
+def q_mst_planar(spark, sf):
+    # the form for large tables; small blocks, so that there are several here
+    points = customers_2d(spark, sf)
+    return _rounded(forest.complete_forest(points, planar_rows=0, line_rows=0, block_rows=64).edges)
+
+
 def q_mst_embeddings(spark, sf):
     return _rounded(forest.complete_forest(embeddings(spark, sf)).edges)
 
@@ -706,6 +712,7 @@ QUERIES: dict[str, Query] = {
     "mst_cut_1d": q_mst_cut_1d,
     "mst_2d": q_mst_2d,
     "mst_manhattan": q_mst_manhattan,
+    "mst_planar": q_mst_planar,
     "mst_embeddings": q_mst_embeddings,
     "mst_sparsified": _edge_forest(sparsifier="hash"),
     "mst_vertex_partition": _edge_forest(sparsifier="vertex"),

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.weights import bucket_bounds, bucketize, max_weight, perturb_weights
+from ..functions.weights import bucket_bounds
 from ..lookup import DEFAULT_LIMITS, Limits, lookup
 from ..operators.agglomerate import RUN_BITS, Hierarchy, agglomerate, run_of, tag_run, untag
 from ..operators.components import connected_components
 from ..operators.features import make_vertices, select_features
-from ..operators.forest import bucket_forests, complete_forest, cut_heaviest, vertex_pair_bucket
+from ..operators.forest import complete_forest, cut_heaviest
 from ..operators.pairs import (
     all_pairs,
     complete_forest_candidates,
@@ -19,6 +19,7 @@ from ..operators.pairs import (
     knn,
     limit_edges,
 )
+from ..operators.perturbed import max_perturbed_weight, perturbed_graph
 from ..operators.stats import graph_summary, run_differences
 from ..schema import assign_ids, edges_to_arcs
 from ..scratch import Scratch
@@ -81,20 +82,19 @@ def cluster_points(
     sparsified graph that contains that forest: same labels and merges.
     With ``buckets``: all pairs, weights perturbed by ``gamma`` (and put into
     geometric buckets when ``beta`` is given), then the k lightest arcs with
-    equal weights in random order.
+    equal weights in random order. The perturbed pairs are made and cut down inside tasks.
     """
     n = vertices.count()
     whole = k is None or k >= n - 1
     if not buckets:
         arcs = edges_to_arcs(complete_forest_candidates(vertices, rows=n)) if whole else knn(vertices, k)
         return agglomerate(arcs, vertices, num_clusters, limits=limits)
-    scratch = Scratch(vertices.sparkSession, "cluster")
-    edges = scratch.store(perturb_weights(all_pairs(vertices), gamma, seed)).df
+    bounds = None
     if beta is not None:
-        edges = bucketize(edges, bucket_bounds(max_weight(edges), beta, alpha, seed))
-    arcs = edges_to_arcs(edges)
-    if not whole:
-        arcs = k_nearest_per_vertex(arcs, k, tie_seed=seed)
+        bounds = bucket_bounds(max_perturbed_weight(vertices, gamma, seed), beta, alpha, seed)
+    graph = perturbed_graph(vertices, gamma, [seed], None if whole else k, bounds, tie_seed=seed)
+    arcs = graph.select("src", "dst", "w")
+    arcs = edges_to_arcs(arcs) if whole else k_nearest_per_vertex(arcs, k, tie_seed=seed)
     return agglomerate(arcs, vertices, num_clusters, limits=limits)
 
 
@@ -108,41 +108,30 @@ def stability_runs(
 ) -> DataFrame:
     """runs(run, id, val): the parent of every vertex in each perturbed run.
 
-    All runs go through the same rounds as one disjoint graph. For the complete
-    graph each run is first sparsified bucket by bucket, which cannot drop an
-    edge that any best-neighbour choice uses. Ids that leave no room for the run
+    All runs go through the same rounds as one disjoint graph. A task perturbs the pairs of two
+    blocks for every run and keeps their forest, which cannot drop an edge that any
+    best-neighbour choice uses, or the k lightest arcs. Ids that leave no room for the run
     number are numbered in their own order meanwhile, so all ties fall alike.
     """
     spark = vertices.sparkSession
     scratch = Scratch(spark, "stability")
     n, lowest, highest = vertices.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
-    base = scratch.store(all_pairs(vertices))
+    whole = k is None or k >= n - 1
+    drawn = perturbed_graph(vertices, gamma, list(range(runs)), None if whole else k)
+    graph = scratch.store(drawn.withColumns({"_a": F.col("src"), "_b": F.col("dst")}))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("_run")
-    ids, pairs_of_ids = vertices.select("id"), base.df.withColumns({"_a": F.col("src"), "_b": F.col("dst")})
+    ids, placed = vertices.select("id"), graph.df
     places = None
     if n and (lowest < 0 or highest >> RUN_BITS):
         places = scratch.store(assign_ids(ids.withColumnRenamed("id", "own"), "own", id_col="place"))
         by_own = places.df.select(F.col("own").alias("id"), "place")
-        ids, pairs_of_ids = by_own.select(F.col("place").alias("id")), base.df
+        ids, placed = by_own.select(F.col("place").alias("id")), graph.df.drop("_a", "_b")
         for end, place in (("src", "_a"), ("dst", "_b")):
-            pairs_of_ids = lookup(
-                pairs_of_ids, base.rows, end, by_own, places.rows, {"place": place}, limits
-            )
-    shifted = perturb_weights(
-        pairs_of_ids.select("src", "dst", "w", "_a", "_b", numbers), gamma, seed=F.col("_run")
-    )
-    tagged = shifted.select(
-        tag_run(F.col("_a"), F.col("_run")).alias("src"),
-        tag_run(F.col("_b"), F.col("_run")).alias("dst"),
-        "w",
+            placed = lookup(placed, graph.rows, end, by_own, places.rows, {"place": place}, limits)
+    tagged = placed.select(
+        tag_run(F.col("_a"), F.col("run")).alias("src"), tag_run(F.col("_b"), F.col("run")).alias("dst"), "w"
     )
-    if k is None or k >= n - 1:
-        parts = max(2, -(-n // 1024))
-        pairs = parts * (parts + 1) // 2
-        bucket = vertex_pair_bucket(parts, "stability") * runs + run_of(F.col("src"))
-        arcs = edges_to_arcs(bucket_forests(tagged, bucket, pairs * runs))
-    else:
-        arcs = k_nearest_per_vertex(edges_to_arcs(tagged), k)
+    arcs = edges_to_arcs(tagged) if whole else k_nearest_per_vertex(tagged, k)
     everyone = ids.select("id", numbers).select(
         tag_run(F.col("id"), F.col("_run")).alias("id")
     )

@@ -358,6 +358,7 @@ def oracle_sql() -> dict[str, str]:
           s AS (SELECT id, sum(CASE WHEN id IN (SELECT id FROM cut) THEN 1 ELSE 0 END) OVER (ORDER BY x, id) AS part FROM g)
           SELECT min(id) AS comp, count(*) AS n FROM s GROUP BY part""",
         "mst_2d": rec + _forest(_pairs(P2, D2), 10) + " " + forest_out,
+        "mst_planar": rec + _forest(_pairs(C2, D2), 12) + " " + forest_out,
         "mst_manhattan": rec + _forest(_pairs(P2, "abs(a.x - b.x) + abs(a.y - b.y)"), 10) + " " + forest_out,
         "mst_embeddings": rec + _forest(_pairs(PE, DE), 9) + " " + forest_out,
         "mst_vertex_partition": rec + _forest(EL, edge_rounds) + " " + forest_out,
