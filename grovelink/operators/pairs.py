@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from ..functions.distance import check_metric
 from ..functions.hashing import hashed_uniform
 from ..schema import EDGE_SCHEMA, first_n
-from . import grid, kernels
+from . import grid, kernels, pivots
 
 BLOCK_ROWS = 4096
 MAX_TASKS = 20_000
 GRID_ROWS = 50_000
+PIVOT_ROWS = 50_000
 
 EDGE_ARROW = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("w", pa.float64())])
 
@@ -157,21 +158,25 @@ def knn(
     metric: str = "euclidean",
     block_rows: int = BLOCK_ROWS,
     grid_rows: int = GRID_ROWS,
+    pivot_rows: int = PIVOT_ROWS,
 ) -> DataFrame:
     """arcs: exact k nearest other vertices; ties by id, the vertex itself excluded by id.
 
     More than ``grid_rows`` points of up to three dimensions are searched by
-    growing grid cells. Otherwise every block pair keeps k neighbours per
+    growing grid cells, more than ``pivot_rows`` of more dimensions in the cells of pivots
+    that the triangle inequality can't rule out (not for cosine). Otherwise every block pair keeps k neighbours per
     vertex, and the best k of these partial lists are taken. A point with an undefined
     or infinite coordinate has no neighbours and is nobody's neighbour.
     """
     check_metric(metric)
     rows = vertices.count()
     vertices = finite(vertices)
-    if rows > grid_rows and metric in grid.GRID_METRICS:
+    if rows > min(grid_rows, pivot_rows) and metric in grid.GRID_METRICS:
         dim = dimension(vertices)
-        if 0 < dim <= grid.GRID_DIMENSIONS:
+        if rows > grid_rows and 0 < dim <= grid.GRID_DIMENSIONS:
             return grid.knn_grid(vertices, k, metric, dim)
+        if rows > pivot_rows and dim > grid.GRID_DIMENSIONS:
+            return pivots.knn_pivots(vertices, k, metric)[0]
 
     def nearest(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = _pair_index(key[0].as_py())
@@ -248,11 +253,13 @@ def eps_join(
     dim: int | None = None,
     cell_rows: int = grid.CELL_ROWS,
     block_rows: int = BLOCK_ROWS,
+    pivot_rows: int = PIVOT_ROWS,
 ) -> DataFrame:
     """edges: pairs within ``eps``.
 
-    In up to three dimensions a grid keeps far pairs from ever meeting,
-    otherwise block pairs with a threshold are used. A point with an undefined or infinite
+    In up to three dimensions a grid keeps far pairs from ever meeting, in more the cells
+    of pivots do for more than ``pivot_rows`` points (not for cosine); otherwise block
+    pairs with a threshold are used. A point with an undefined or infinite
     coordinate is in no pair.
     """
     check_metric(metric)
@@ -260,6 +267,8 @@ def eps_join(
     dim = dimension(vertices) if dim is None else dim
     if metric in grid.GRID_METRICS and 0 < dim <= grid.GRID_DIMENSIONS and eps > 0:
         return grid.eps_join_grid(vertices, eps, metric, dim, cell_rows)
+    if metric in pivots.METRICS and dim > grid.GRID_DIMENSIONS and vertices.count() > pivot_rows:
+        return pivots.eps_join_pivots(vertices, eps, metric)[0]
     return all_pairs(vertices, metric, eps, block_rows)
 
 

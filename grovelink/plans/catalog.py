@@ -271,6 +271,14 @@ def q_eps_join_salted(spark, sf):
     return _rounded(pairs.eps_join(customers_2d(spark, sf), EPS, cell_rows=2))
 
 
+def q_knn_pivots(spark, sf):
+    return _rounded(pairs.knn(embeddings(spark, sf), 5, pivot_rows=0))
+
+
+def q_eps_join_pivots(spark, sf):
+    return _rounded(pairs.eps_join(embeddings(spark, sf), THRESHOLD, pivot_rows=0))
+
+
 def q_knn_join(spark, sf):
     return _rounded(pairs.knn(embeddings(spark, sf), 5))
 
@@ -670,6 +678,8 @@ QUERIES: dict[str, Query] = {
     "eps_join_2d": q_eps_join_2d,
     "eps_join_salted": q_eps_join_salted,
     "knn_join": q_knn_join,
+    "knn_pivots": q_knn_pivots,
+    "eps_join_pivots": q_eps_join_pivots,
     "knn_grid": q_knn_grid,
     "knn_cosine": q_knn_cosine,
     "knn_symmetric": q_knn_symmetric,

@@ -438,6 +438,8 @@ def oracle_sql() -> dict[str, str]:
           LEFT JOIN comps c ON p.id = c.id LEFT JOIN border b ON p.id = b.id""",
     }
     sql["eps_join_salted"] = sql["eps_join_2d"]
+    sql["knn_pivots"] = sql["knn_join"]
+    sql["eps_join_pivots"] = sql["threshold_edges"]
     sql["mst_line"] = sql["mst_1d"]
     for name in ("mst_sparsified", "mst_two_way", "mst_contraction", "mst_shuffled"):
         sql[name] = sql["mst_vertex_partition"]

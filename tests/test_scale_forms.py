@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from grovelink.functions.weights import bucket_bounds, bucketize, max_weight, perturb_weights
-from grovelink.operators import compare, forest, pairs, perturbed, planar
+from grovelink.operators import compare, forest, pairs, perturbed, pivots, planar
 from grovelink.plans import graphs
 from grovelink.schema import edges_to_arcs
 
@@ -115,3 +115,34 @@ def test_undefined_coordinates_give_no_pairs(spark):
         assert metric == "cosine" or met == {(0, 1), (0, 2), (1, 2)}
     got = {r.id: r.cluster for r in compare.dbscan(table, 1.0, 3).collect()}
     assert got == {0: 0, 1: 0, 2: 0} | {i: -1 for i in range(3, 10)}
+
+
+def many_dimensions(seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(8, 6)) * 10
+    x = np.concatenate([centres[i % 8] + rng.normal(size=(1, 6)) for i in range(300)])
+    return np.concatenate([x, x[:1].repeat(30, axis=0), rng.integers(0, 2, (40, 6))]).tolist()
+
+
+@pytest.mark.parametrize("metric,part_rows", [("euclidean", 4096), ("manhattan", 11)])
+def test_knn_by_pivots(make, metric, part_rows):
+    rows = many_dimensions(5)
+    arcs, work = pivots.knn_pivots(make.points(rows), 4, metric, part_rows=part_rows)
+    want = pairs.knn(make.points(rows), 4, metric)
+    assert {tuple(r) for r in arcs.collect()} == {tuple(r) for r in want.collect()}
+    assert work["pairs"] < 0.6 * work["places"] * len(rows)
+    few = make.points(rows[:3] + [[float("nan")] * 6])
+    assert pairs.knn(few, 4, metric, pivot_rows=0).count() == 6
+    assert pairs.knn(few.limit(0), 4, metric, pivot_rows=-1).count() == 0
+
+
+@pytest.mark.parametrize("metric,part_rows", [("euclidean", 4096), ("manhattan", 11)])
+def test_threshold_by_pivots(make, metric, part_rows):
+    rows = many_dimensions(6)
+    for eps in (0.0, 2.5, 6.0):
+        edges, work = pivots.eps_join_pivots(make.points(rows), eps, metric, part_rows=part_rows)
+        got = [tuple(r) for r in edges.collect()]
+        want = pairs.all_pairs(make.points(rows), metric, eps)
+        assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in want.collect()}
+        assert work["pairs"] < 0.6 * len(rows) ** 2
+    assert pairs.eps_join(make.points(rows).limit(0), 1.0, metric, 6, pivot_rows=-1).count() == 0
