@@ -54,10 +54,10 @@ WORDS, COORDINATES, MATCHES, PERCENT = 5, 48, 21, 75
 SKETCHED, SKETCH_MATCHES = 128, 70
 SKETCH = [f"s{i}" for i in range(SKETCHED // 16)]
 # a bit of the bitmap says whether the shingles that fall to it are odd in number
-BITMAP = [f"bits{i}" for i in range(16)]
-CACHE_WORDS = 300_000
-BLOCK_CLASSES = 512  # classes of a list that meet those of another block at once
-PAIR_ROWS = 1 << 18  # pairs that a task looks at in one step
+BITMAP_BYTES = 128
+CACHE_WORDS = 50_000
+BLOCK_CLASSES = 4096  # classes of a list that meet those of another block at once
+PAIR_ROWS = 1 << 14  # pairs that a task looks at in one step, so their bitmaps take two megabytes
 PARTNERS = 64  # pairs that are confirmed against one class in one group
 _BLOCK = 1024
 
@@ -109,11 +109,11 @@ def signature(shingles: np.ndarray, coordinates: int) -> tuple[np.ndarray, np.nd
     return values, sketch.view(np.int64)
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """For each of 1024 bits, whether an odd number of shingles falls to it, as LONGs."""
-    places = (shingles & np.uint64(64 * len(BITMAP) - 1)).astype(np.int64)
-    odd = (np.bincount(places, minlength=64 * len(BITMAP)) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view("<i8")
+def bitmap(shingles: np.ndarray) -> bytes:
+    """For each of 1024 bits, whether an odd number of shingles falls to it."""
+    places = (shingles & np.uint64(8 * BITMAP_BYTES - 1)).astype(np.int64)
+    odd = (np.bincount(places, minlength=8 * BITMAP_BYTES) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
 
 
 def _key(shingles: np.ndarray) -> tuple[int, int]:
@@ -152,15 +152,15 @@ def _sets(places: DataFrame, words: int, coordinates: int) -> DataFrame:
                     pa.array(low, pa.int64()),
                     pa.array(rows, pa.list_(pa.int32())),
                     *(pa.array(c) for c in np.array(sketches).reshape(-1, len(SKETCH)).T),
-                    *(pa.array(c) for c in np.array(maps).reshape(-1, len(BITMAP)).T),
+                    pa.array(maps, pa.binary()),
                 ],
-                names=["doc_id", "file", "row", "n_shingles", "high", "low", "signature", *SKETCH, *BITMAP],
+                names=["doc_id", "file", "row", "n_shingles", "high", "low", "signature", *SKETCH, "bits"],
             )
 
     found = places.mapInArrow(
         run,
         "doc_id long, file string, row long, n_shingles long, high long, low long, "
-        "signature array<int>, " + ", ".join(f"{c} long" for c in (*SKETCH, *BITMAP)),
+        "signature array<int>, " + ", ".join(f"{c} long" for c in SKETCH) + ", bits binary",
     )
     return found.withColumn("number", F.monotonically_increasing_id())
 
@@ -304,7 +304,7 @@ def _placed(
     first = classes.df.select("id").join(linked, F.col("id") == F.col("number"))
     signed = scratch.store(
         first.select(
-            "id", F.col("n_shingles").alias("n"), "low", "signature", *SKETCH, *BITMAP, "file", "row"
+            "id", F.col("n_shingles").alias("n"), "low", "signature", *SKETCH, "bits", "file", "row"
         )
     ).df
     posted = _postings(scratch, signed, matches).df
@@ -419,7 +419,7 @@ def _across(
         (F.col("mine") > F.col("other")).alias("second"),
     )
     posted = own.df.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("posted"))
-    marks = signed.select("id", "n", "signature", *SKETCH, *BITMAP).join(posted, "id")
+    marks = signed.select("id", "n", "signature", *SKETCH, "bits").join(posted, "id")
     met = cut.join(marks, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +454,9 @@ def _pairs(table: pa.Table, percent: int, matches: int) -> Iterator[pa.RecordBat
     )
     second, crosses = table.column("second").to_numpy(), table.column("i").to_numpy() != table.column("j").to_numpy()
     sketch = np.stack([table.column(c).to_numpy().view(np.uint64) for c in SKETCH], axis=1)
-    bits = np.stack([table.column(c).to_numpy().view(np.uint64) for c in BITMAP], axis=1)
+    maps = table.column("bits").cast(pa.binary(BITMAP_BYTES)).combine_chunks()
+    bits = np.frombuffer(maps.buffers()[1], dtype=np.uint64).reshape(-1, BITMAP_BYTES // 8)
+    bits = bits[maps.offset : maps.offset + len(maps)]
     flat = table.column("signature").combine_chunks().flatten().to_numpy()
     values = flat.reshape(table.num_rows, -1)
     starts = np.flatnonzero(_new_list(table))

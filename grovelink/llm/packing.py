@@ -274,7 +274,8 @@ class _Words:
     with the start of a special string, which is told by its case, goes in whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the cores
         from tokenizers import Tokenizer
 
@@ -326,19 +327,23 @@ class _Words:
         for w in new:
             if len(w) > CACHE_CHARS:
                 del known[w]
-        if len(known) > CACHE_WORDS:
+        if len(known) > self.cache_words:
             self.known, self.old = {}, known
         return out
 
 
 @functools.lru_cache(maxsize=2)
-def _words(path: str) -> _Words:
-    return _Words(path)
+def _words(path: str, cache_words: int) -> _Words:
+    return _Words(path, cache_words)
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def cut_pieces(
+    docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, cache_words: int = CACHE_WORDS
+) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece INT, start LONG, length LONG, ids BINARY.
 
+    A worker remembers the ids of up to twice ``cache_words`` words, some 250 bytes each.
+
     A document is its ids and then ``end_id``; longer than ``capacity`` it is cut into
     pieces of that length and a last one. ids are little-endian unsigned 32-bit integers.
     """
@@ -346,7 +351,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
     step, end = 4 * capacity, end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path)
+        words = _words(path, cache_words)
         for batch in batches:
             rows, piece, start, ids = [], [], [], []
             for row, coded in enumerate(words.encode(batch.column(1).to_pylist())):
