@@ -48,7 +48,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with ids and places in sequences: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    pieces = packing.cut_pieces(docs, path, CAPACITY)
+    # the workers still hold what earlier stages left, so fewer words are remembered here
+    pieces = packing.cut_pieces(docs, path, CAPACITY, cache_words=100_000)
     light = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(light, "length", ["doc_id", "piece", "ids_crc32"], CAPACITY)
 
