@@ -39,6 +39,8 @@ from .words import boxed, named
 # words remembered by a Python worker, twice this at most
 CACHE_WORDS = 500_000
 CACHE_CHARS = 48
+# characters of several texts that are split into words at once
+STEP_CHARS = 1 << 20
 # pieces of one length that a task ranks at once, as a mean
 RANK_ROWS = 200_000
 MIN_BUCKETS = 256
@@ -331,6 +333,17 @@ class _Words:
             self.known, self.old = {}, known
         return out
 
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The same for any number of texts: only some are split into words at a time."""
+        some, chars = [], 0
+        for text in texts:
+            if some and chars + len(text) > STEP_CHARS:
+                yield from self.encode(some)
+                some, chars = [], 0
+            some.append(text)
+            chars += len(text)
+        yield from self.encode(some)
+
 
 @functools.lru_cache(maxsize=2)
 def _words(path: str, cache_words: int) -> _Words:
@@ -352,9 +365,11 @@ def cut_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path, cache_words)
+        # what an earlier task's batches took goes back before this one's are read
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             rows, piece, start, ids = [], [], [], []
-            for row, coded in enumerate(words.encode(batch.column(1).to_pylist())):
+            for row, coded in enumerate(words.encode_all(batch.column(1).to_pylist())):
                 coded += end
                 for n, at in enumerate(range(0, len(coded), step)):
                     rows.append(row)
