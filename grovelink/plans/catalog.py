@@ -16,7 +16,19 @@ from .. import schema, sources
 from ..functions.scalars import bucket_count, density_exponent, edge_budget, partition_count
 from ..lookup import SHUFFLE_ONLY, Limits
 from ..operators import agglomerate as agg
-from ..operators import compare, components, contraction, features, forest, modify, pairs, stats
+from ..operators import (
+    compare,
+    components,
+    contraction,
+    features,
+    forest,
+    linkage,
+    minibatch,
+    modify,
+    pairs,
+    spectral,
+    stats,
+)
 from ..scratch import Scratch
 from . import graphs
 
@@ -653,6 +665,26 @@ def q_dbscan(spark, sf):
     return compare.dbscan(customers_2d(spark, sf), EPS, 3)
 
 
+def q_minibatch_kmeans(spark, sf):
+    return minibatch.minibatch_kmeans(customers_2d(spark, sf), 3, batch=300, steps=5, seed=3)
+
+
+def q_spectral_lanczos(spark, sf):
+    """Clusters of the embedding that one restart gives; the directions have no structure to wait for."""
+    v = embeddings(spark, sf)
+    graph = pairs.knn_symmetric(v, 10)
+    return compare.kmeans(spectral.spectral_embedding(graph, v, 3, restarts=1).vectors, 3)
+
+
+def _linkage(method: str) -> Query:
+    def query(spark, sf):
+        v = suppliers_2d(spark, sf)
+        merges = linkage.connected_linkage(pairs.knn(v, 5), v, method)
+        return merges.select("round", "src", "dst", F.round("w", 4).alias("w"), "n")
+
+    return query
+
+
 QUERIES: dict[str, Query] = {
     "read_polygon_json": q_read_polygon_json,
     "read_edge_tsv": q_read_edge_tsv,
@@ -751,4 +783,8 @@ QUERIES: dict[str, Query] = {
     "gaussian_mixture": lambda spark, sf: compare.gaussian_mixture(customers_2d(spark, sf), 3),
     "spectral": lambda spark, sf: compare.spectral(embeddings(spark, sf), 3),
     "dbscan": q_dbscan,
+    "minibatch_kmeans": q_minibatch_kmeans,
+    "spectral_lanczos": q_spectral_lanczos,
+    "linkage_ward": _linkage("ward"),
+    "linkage_average": _linkage("average"),
 }

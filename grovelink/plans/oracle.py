@@ -24,6 +24,7 @@ BOTH = "SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e"
 
 
 LINKS = 14  # linkage rounds to unroll
+WARD_ROUNDS = 30
 
 
 def _with(*ctes: tuple[str, str], recursive: bool = False) -> str:
@@ -71,6 +72,56 @@ WALK = """walk AS (SELECT id, id AS cur FROM best UNION
     lead AS MATERIALIZED (SELECT id, min(cur) AS leader FROM walk GROUP BY id)"""
 
 
+def _connected_linkage(height: str, rounds: int) -> str:
+    """Merges of mutual best neighbours under the suppliers' neighbour graph, rounds unrolled."""
+    parts = [
+        f"near AS MATERIALIZED ({_knn(P2, D2, 5)})",
+        """l0 AS MATERIALIZED (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, min(w) AS total, 1 AS links
+          FROM near GROUP BY 1, 2)""",
+        f"c0 AS MATERIALIZED (SELECT id, 1 AS n, x, y FROM ({P2}))",
+    ]
+    for r in range(1, rounds + 1):
+        p = r - 1
+        parts += [
+            f"""w{r} AS MATERIALIZED (SELECT l.src, l.dst, {height} AS w, a.n + b.n AS n FROM l{p} l
+              JOIN c{p} a ON l.src = a.id JOIN c{p} b ON l.dst = b.id)""",
+            f"""b{r} AS MATERIALIZED (SELECT id, min(row(w, src, dst)) AS first FROM (SELECT src AS id, * FROM w{r}
+              UNION ALL SELECT dst AS id, * FROM w{r}) GROUP BY id)""",
+            f"""m{r} AS MATERIALIZED (SELECT w.src, w.dst, w.w, w.n FROM w{r} w JOIN b{r} a ON w.src = a.id
+              JOIN b{r} b ON w.dst = b.id WHERE a.first = b.first AND a.first = row(w.w, w.src, w.dst))""",
+            f"""l{r} AS MATERIALIZED (SELECT least(s, d) AS src, greatest(s, d) AS dst, sum(total) AS total, sum(links) AS links
+              FROM (SELECT coalesce(a.src, l.src) AS s, coalesce(b.src, l.dst) AS d, total, links FROM l{p} l
+              LEFT JOIN m{r} a ON l.src = a.dst LEFT JOIN m{r} b ON l.dst = b.dst) WHERE s <> d GROUP BY 1, 2)""",
+            f"""c{r} AS MATERIALIZED (SELECT coalesce(m.src, c.id) AS id, sum(c.n) AS n, sum(x) AS x, sum(y) AS y
+              FROM c{p} c LEFT JOIN m{r} m ON c.id = m.dst GROUP BY 1)""",
+        ]
+    union = " UNION ALL ".join(
+        f"SELECT CAST({r} AS INTEGER) AS round, src, dst, round(w, 4) AS w, CAST(n AS BIGINT) AS n FROM m{r}"
+        for r in range(1, rounds + 1)
+    )
+    return f"WITH {', '.join(parts)} {union}"
+
+
+def _minibatch(points: str, k: int, batch: int, steps: int, seed: int) -> str:
+    near = "arg_min(c.c, row((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.c))"
+    first = _u(_lit(seed), "0", "id")
+    parts = [
+        f"p AS MATERIALIZED ({points})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {first}, id) - 1 AS c, x, y, 0 AS n FROM p "
+        f"QUALIFY row_number() OVER (ORDER BY {first}, id) <= {k})",
+    ]
+    for t in range(1, steps + 1):
+        parts += [
+            f"""a{t} AS MATERIALIZED (SELECT p.id, any_value(p.x) AS x, any_value(p.y) AS y, {near} AS c
+              FROM p, c{t - 1} c WHERE {_u(_lit(seed), str(t), 'p.id')} < CAST({batch} AS DOUBLE) / (SELECT count(*) FROM p)
+              GROUP BY p.id)""",
+            f"""c{t} AS MATERIALIZED (SELECT c.c, CASE WHEN m.n IS NULL THEN c.x ELSE (c.x * c.n + m.x) / (c.n + m.n) END AS x,
+              CASE WHEN m.n IS NULL THEN c.y ELSE (c.y * c.n + m.y) / (c.n + m.n) END AS y, c.n + coalesce(m.n, 0) AS n
+              FROM c{t - 1} c LEFT JOIN (SELECT c, sum(x) AS x, sum(y) AS y, count(*) AS n FROM a{t} GROUP BY c) m ON c.c = m.c)""",
+        ]
+    return f"WITH {', '.join(parts)} SELECT p.id, CAST({near} AS INTEGER) AS cluster FROM p, c{steps} c GROUP BY p.id"
+
+
 def _forest(edges: str, rounds: int) -> str:
     """CTE list ending in forest(src, dst, w): every group takes its first edge, rounds times."""
     parts = [
@@ -437,6 +488,11 @@ def oracle_sql() -> dict[str, str]:
           SELECT p.id, coalesce(c.comp, b.comp, -1) AS cluster FROM ({C2}) p
           LEFT JOIN comps c ON p.id = c.id LEFT JOIN border b ON p.id = b.id""",
     }
+    squares = "((a.x / a.n - b.x / b.n) * (a.x / a.n - b.x / b.n) + (a.y / a.n - b.y / b.n) * (a.y / a.n - b.y / b.n))"
+    ward = f"sqrt(CAST(2 AS DOUBLE) * a.n * b.n / (a.n + b.n) * {squares})"
+    sql["linkage_ward"] = _connected_linkage(ward, WARD_ROUNDS)
+    sql["linkage_average"] = _connected_linkage("l.total / l.links", WARD_ROUNDS)
+    sql["minibatch_kmeans"] = _minibatch(C2, 3, 300, 5, 3)
     sql["eps_join_salted"] = sql["eps_join_2d"]
     sql["knn_pivots"] = sql["knn_join"]
     sql["eps_join_pivots"] = sql["threshold_edges"]
