@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from grovelink.lookup import SHUFFLE_ONLY
-from grovelink.operators import minibatch, spectral
+from grovelink.operators import linkage, minibatch, spectral
+from grovelink.plans import graphs
 from grovelink.schema import edges_to_arcs
 
 
@@ -89,3 +90,56 @@ def test_few_and_undefined_points(spark, make):
     found = {r["id"]: r["cluster"] for r in minibatch.minibatch_kmeans(vertices, 3, 10, 2).collect()}
     assert found[1] == found[2] == -1 and {found[0], found[3]} == {0, 1}
     assert minibatch.minibatch_kmeans(make.points([[1.0]]).limit(0), 3).count() == 0
+
+
+def plain_linkage(points, edges, method):
+    """One merge at a time, the lowest first; ties to the smaller ids."""
+    members = {i: [i] for i in range(len(points))}
+    near = {tuple(sorted(e[:2])): [e[2]] for e in edges}
+    merges = []
+    while near:
+        def height(pair):
+            if method == "average":
+                return sum(near[pair]) / len(near[pair])
+            a, b = (points[members[i]] for i in pair)
+            weight = 2 * len(a) * len(b) / (len(a) + len(b))
+            return np.sqrt(weight) * np.linalg.norm(a.mean(axis=0) - b.mean(axis=0))
+
+        w, (a, b) = min((height(pair), pair) for pair in near)
+        members[a] += members.pop(b)
+        merges.append((a, b, w, len(members[a])))
+        merged = {}
+        for (s, d), ws in near.items():
+            s, d = (a if i == b else i for i in (s, d))
+            if s != d:
+                merged.setdefault((min(s, d), max(s, d)), []).extend(ws)
+        near = merged
+    return merges
+
+
+@pytest.mark.parametrize("method", ["ward", "average"])
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_linkage_of_a_complete_graph(spark, make, method, shuffled):
+    points = np.random.default_rng(8).normal(size=(20, 3))
+    edges = [
+        (a, b, float(np.linalg.norm(points[a] - points[b]))) for a in range(20) for b in range(a + 1, 20)
+    ]
+    options = {"limits": SHUFFLE_ONLY} if shuffled else {}
+    got = linkage.connected_linkage(make.edges(edges), make.points(points), method, **options).collect()
+    want = plain_linkage(points, edges, method)
+    assert sorted((r["src"], r["dst"], r["n"]) for r in got) == sorted((a, b, n) for a, b, _, n in want)
+    assert np.allclose(sorted(r["w"] for r in got), sorted(m[2] for m in want))
+
+
+def test_linkage_with_ties_parts_and_undefined_points(spark, make):
+    # two parts, equal steps along the first, a point without a place, an unknown vertex
+    vertices = make.points([[0.0], [1.0], [2.0], [3.0], [10.0], [11.0], [float("nan")]])
+    edges = make.edges([(0, 1, 1), (1, 2, 1), (3, 2, 1), (4, 5, 1), (5, 6, 1), (3, 77, 1), (0, 1, 5), (2, 2, 0)])
+    got = [tuple(r) for r in linkage.connected_linkage(edges, vertices).orderBy("round", "src").collect()]
+    assert [(r[0], r[1], r[2], r[4]) for r in got] == [(1, 0, 1, 2), (1, 4, 5, 2), (2, 2, 3, 2), (3, 0, 2, 4)]
+    assert np.allclose([r[3] for r in got], [1, 1, 1, np.sqrt(2) * 2])
+    merges = linkage.connected_linkage(edges, vertices)
+    cut = {r["id"]: r["comp"] for r in graphs.cut_clusters(merges.select("src", "dst", "w"), vertices, 2).collect()}
+    assert cut == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6}
+    assert linkage.connected_linkage(edges.limit(0), vertices).count() == 0
+    assert linkage.connected_linkage(edges, vertices, "average", max_rounds=1).where("round > 1").count() == 0
