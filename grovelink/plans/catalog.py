@@ -20,6 +20,7 @@ from ..operators import (
     compare,
     components,
     contraction,
+    density,
     features,
     forest,
     linkage,
@@ -37,6 +38,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SUPPLIER_OFFSET = 1_000_000_000
 THRESHOLD = 1.2
 EPS = 60.0
+DENSITY_LEVELS = (60.0, 120.0, 240.0)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -665,6 +667,19 @@ def q_dbscan(spark, sf):
     return compare.dbscan(customers_2d(spark, sf), EPS, 3)
 
 
+def _density(spark, sf):
+    return density.density_hierarchy(customers_2d(spark, sf), DENSITY_LEVELS, 3, 5)
+
+
+def q_density_levels(spark, sf):
+    """Clusters of core points at three radii, and which of them the labels take."""
+    return _density(spark, sf).clusters.select("level", "comp", "n", "chosen")
+
+
+def q_density_clusters(spark, sf):
+    return _density(spark, sf).labels
+
+
 def q_minibatch_kmeans(spark, sf):
     return minibatch.minibatch_kmeans(customers_2d(spark, sf), 3, batch=300, steps=5, seed=3)
 
@@ -783,6 +798,8 @@ QUERIES: dict[str, Query] = {
     "gaussian_mixture": lambda spark, sf: compare.gaussian_mixture(customers_2d(spark, sf), 3),
     "spectral": lambda spark, sf: compare.spectral(embeddings(spark, sf), 3),
     "dbscan": q_dbscan,
+    "density_levels": q_density_levels,
+    "density_clusters": q_density_clusters,
     "minibatch_kmeans": q_minibatch_kmeans,
     "spectral_lanczos": q_spectral_lanczos,
     "linkage_ward": _linkage("ward"),

@@ -122,6 +122,54 @@ def _minibatch(points: str, k: int, batch: int, steps: int, seed: int) -> str:
     return f"WITH {', '.join(parts)} SELECT p.id, CAST({near} AS INTEGER) AS cluster FROM p, c{steps} c GROUP BY p.id"
 
 
+def _density(points: str, distance: str, levels: tuple[float, ...], k: int, size: int) -> str:
+    """CTE list ending in chosen and p: density branches level by level, then from the loosest inwards."""
+    top = len(levels) - 1
+    gaps = [1 / a - 1 / b for a, b in zip(levels, levels[1:])] + [1 / levels[-1]]
+    close = f"abs(a.x - b.x) <= {levels[-1]} AND {distance} <= CAST({levels[-1]} AS DOUBLE)"
+    parts = [
+        f"p AS MATERIALIZED ({points})",
+        f"near AS MATERIALIZED ({_pairs(points, distance, close)})",
+        "ar AS MATERIALIZED (SELECT src, dst, w FROM near UNION ALL SELECT dst, src, w FROM near)",
+        f"""core AS MATERIALIZED (SELECT src AS id, w AS core FROM ar
+          QUALIFY row_number() OVER (PARTITION BY src ORDER BY w) = {k - 1})""",
+        """mr AS MATERIALIZED (SELECT src, dst, greatest(w, a.core, b.core) AS w FROM ar
+          JOIN core a ON src = a.id JOIN core b ON dst = b.id)""",
+    ]
+    for i, eps in enumerate(levels):
+        parts += [
+            f"""r{i} AS (SELECT id, id AS cur FROM core WHERE core <= {eps} UNION
+              SELECT r.id, e.dst FROM r{i} r JOIN mr e ON r.cur = e.src WHERE e.w <= {eps})""",
+            f"q{i} AS MATERIALIZED (SELECT id, min(cur) AS comp FROM r{i} GROUP BY id)",
+            f"z{i} AS MATERIALIZED (SELECT comp, count(*) AS n FROM q{i} GROUP BY comp HAVING count(*) >= {size})",
+        ]
+        kids = "SELECT NULL AS up, 0 AS kids, CAST(0 AS DOUBLE) AS mass, CAST(0 AS DOUBLE) AS sub, CAST(0 AS DOUBLE) AS best"
+        if i:
+            kids = f"""SELECT q.comp AS up, count(*) AS kids, max(s.mass) AS mass, max(s.sub) AS sub,
+              sum(greatest(s.mass, s.sub)) AS best FROM s{i - 1} s JOIN q{i} q ON s.comp = q.id GROUP BY 1"""
+        parts.append(
+            f"""s{i} AS MATERIALIZED (SELECT z.comp, z.n, coalesce(k.kids, 0) AS kids,
+              CASE WHEN k.kids = 1 THEN k.mass ELSE 0 END + z.n * CAST({gaps[i]!r} AS DOUBLE) AS mass,
+              CASE WHEN k.kids = 1 THEN k.sub ELSE coalesce(k.best, 0) END AS sub
+              FROM z{i} z LEFT JOIN ({kids}) k ON z.comp = k.up)"""
+        )
+    parts.append(f"t{top} AS MATERIALIZED (SELECT comp, n, kids, mass >= sub AS chosen, mass >= sub AS taken FROM s{top})")
+    for i in range(top - 1, -1, -1):
+        mine = "u.kids > 1 AND NOT u.taken AND s.mass >= s.sub"
+        parts.append(
+            f"""t{i} AS MATERIALIZED (SELECT s.comp, s.n, s.kids, {mine} AS chosen, u.taken OR ({mine}) AS taken
+              FROM s{i} s JOIN q{i + 1} q ON s.comp = q.id JOIN t{i + 1} u ON q.comp = u.comp)"""
+        )
+    labels = " UNION ALL ".join(
+        f"SELECT q.id, q.comp FROM q{i} q JOIN t{i} t ON q.comp = t.comp WHERE t.chosen" for i in range(top + 1)
+    )
+    return "WITH RECURSIVE " + ", ".join([*parts, f"chosen AS MATERIALIZED ({labels})"])
+
+
+def _density_levels(levels: int) -> str:
+    return " UNION ALL ".join(f" SELECT CAST({i} AS INTEGER) AS level, comp, n, chosen FROM t{i}" for i in range(levels))
+
+
 def _forest(edges: str, rounds: int) -> str:
     """CTE list ending in forest(src, dst, w): every group takes its first edge, rounds times."""
     parts = [
@@ -493,6 +541,9 @@ def oracle_sql() -> dict[str, str]:
     sql["linkage_ward"] = _connected_linkage(ward, WARD_ROUNDS)
     sql["linkage_average"] = _connected_linkage("l.total / l.links", WARD_ROUNDS)
     sql["minibatch_kmeans"] = _minibatch(C2, 3, 300, 5, 3)
+    branches = _density(C2, D2, (60.0, 120.0, 240.0), 3, 5)
+    sql["density_levels"] = branches + _density_levels(3)
+    sql["density_clusters"] = branches + " SELECT p.id, coalesce(c.comp, -1) AS cluster FROM p LEFT JOIN chosen c ON p.id = c.id"
     sql["eps_join_salted"] = sql["eps_join_2d"]
     sql["knn_pivots"] = sql["knn_join"]
     sql["eps_join_pivots"] = sql["threshold_edges"]
