@@ -4,20 +4,64 @@ from __future__ import annotations
 
 from typing import Iterator, Tuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lookup import DEFAULT_LIMITS, Limits, lookup
-from ..scratch import Scratch
+from ..scratch import Scratch, Stored
 from . import kernels
 from .contraction import follow_pointers, relabel_ranked
 
+CHUNK_PAIRS = 1_000_000  # pairs a task reads before it squeezes them
+HELD_LINKS = 2_000_000  # links a task holds
+
 
 def _end(own: str, other: str) -> Column:
     return F.struct(F.col(own).alias("id"), F.col(other).alias("nbr"))
 
 
+def _squeezed(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the same components, in each task at most one per vertex, and the loops
+    of vertices that have no other pair there.
+
+    Only the links so far and one chunk are held; more than HELD_LINKS are handed on.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.array([], np.int64)
+        a, b, waiting, held = none, none, [], 0
+
+        def links():
+            u = np.concatenate([a, *(w[0] for w in waiting)])
+            v = np.concatenate([b, *(w[1] for w in waiting)])
+            ids, leader = kernels.component_labels(u, v)
+            alone = np.ones(len(ids), dtype=bool)
+            alone[np.searchsorted(ids, leader[leader != ids])] = False
+            keep = (leader != ids) | alone
+            return leader[keep], ids[keep]
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+        for batch in batches:
+            waiting.append([batch.column(n).to_numpy() for n in ("a", "b")])
+            held += batch.num_rows
+            if held >= max(CHUNK_PAIRS, len(a)):
+                a, b = links()
+                waiting, held = [], 0
+                if len(a) > HELD_LINKS:
+                    yield out()
+                    a = b = none
+        if waiting:
+            a, b = links()
+        yield out()
+
+    return pairs.mapInArrow(squeeze, "a long, b long")
+
+
 def _finish(pairs: DataFrame) -> DataFrame:
     """(id, leader) of a remainder of edges whose count was checked to be small."""
 
@@ -42,12 +86,17 @@ def connected_components(
     Every vertex points at its smallest neighbour if that is smaller than
     itself; pointers are followed to a root and the graph is contracted, until
     few enough edges are left for one bounded task. Any two rounds at least
-    halve the live vertices. ``vertices`` adds isolated vertices.
+    halve the live vertices. Edges that close a cycle within a task go before the first shuffle. ``vertices`` adds isolated vertices.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    loops = pairs.where(F.col("a") == F.col("b")).select(F.col("a").alias("id"))
-    live = scratch.store(pairs.where(F.col("a") != F.col("b")).distinct())
+    # the edges are made once, and each task keeps at most one per vertex before any are shuffled
+    pairs = edges.select(
+        F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b")
+    ).where("a is not null")
+    kept = scratch.store(_squeezed(pairs).distinct(), links=F.sum((F.col("a") != F.col("b")).cast("long")))
+    loops = kept.df.where(F.col("a") == F.col("b")).select(F.col("a").alias("id"))
+    # without a path, so it is never dropped: the loops are read from it later
+    live = Stored(kept.df.where(F.col("a") != F.col("b")), kept.metrics["links"] or 0, "")
     maps = []
     while live.rows:
         if live.rows <= limits.finish_edges:
