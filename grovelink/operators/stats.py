@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lookup import DEFAULT_LIMITS, Limits, lookup
@@ -10,6 +10,8 @@ from ..schema import assign_ids
 from ..scratch import Scratch
 
 COLOURS = 23  # fixed value: number of colours a cluster index is reduced to
+MEDIAN_MARGIN = 0.001  # share of the weights to either side of the median that a second pass looks at
+MEDIAN_ACCURACY = 10_000
 
 
 def exact_median(df: DataFrame, value: str, *ties: str, rows: int | None = None) -> DataFrame:
@@ -22,20 +24,64 @@ def exact_median(df: DataFrame, value: str, *ties: str, rows: int | None = None)
     return middle.agg(F.avg(value).alias("median"))
 
 
+def _median_of_counts(counts: DataFrame, places: list[int]) -> DataFrame:
+    """One row (median): mean of the weights at two places, from 0, of counts(w, n) in order."""
+    ordered = counts.orderBy("w").withColumn("_part", F.spark_partition_id())
+    kept = Scratch(counts.sparkSession, "median").store(ordered)
+    sums = {r["_part"]: r["s"] for r in kept.df.groupBy("_part").agg(F.sum("n").alias("s")).collect()}
+    found, before = [], 0
+    for part in sorted(sums):
+        wanted = [p - before for p in places if before <= p < before + sums[part]]
+        if wanted:
+            upto = F.sum("n").over(Window.partitionBy("_part").orderBy("w"))
+            mine = kept.df.where(F.col("_part") == part).withColumn("_upto", upto)
+            for p in wanted:
+                found.append(mine.where(F.col("_upto") > p).agg(F.min("w").alias("w")))
+        before += sums[part]
+    both = found[0]
+    for more in found[1:]:
+        both = both.unionByName(more)
+    return both.agg(F.avg("w").alias("median"))
+
+
 def graph_summary(vertices: DataFrame, edges: DataFrame, feature_names: list[str]) -> DataFrame:
-    """One row: counts, features and min / max / mean / median weight (NULL without edges)."""
-    # the edges are made once: counts are taken while they are written
-    own = Scratch(edges.sparkSession, "summary").store(
-        edges.select("src", "dst", "w"), low=F.min("w"), high=F.max("w"), mean=F.avg("w")
-    )
-    median = exact_median(own.df, "w", "src", "dst", rows=own.rows)
+    """One row: counts, features and min / max / mean / median weight (NULL without edges).
+
+    No edges are stored: one pass takes the counts and two weights that enclose the median closely,
+    a second one keeps the weights between them, from which the median is exact.
+    """
+    w = F.col("w")
+    near = F.percentile_approx(w, [0.5 - MEDIAN_MARGIN, 0.5 + MEDIAN_MARGIN], MEDIAN_ACCURACY)
+    told = edges.agg(
+        F.count(F.lit(1)).alias("n"), F.count(w).alias("known"), F.min(w).alias("low"), F.max(w).alias("high"), F.avg(w).alias("mean"), near.alias("near")
+    ).first()
+    median = None
+    if told["n"] and told["near"]:
+        low, high = told["near"]
+        kind = F.when(w < low, 0).when(w <= high, 1)
+        counts = (
+            edges.select(kind.alias("part"), F.when(kind == 1, w).alias("w"))
+            .where("part is not null")
+            .groupBy("part", "w")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        own = Scratch(edges.sparkSession, "summary").store(
+            counts, below=F.sum(F.when(F.col("part") == 0, F.col("n"))), between=F.sum(F.when(F.col("part") == 1, F.col("n")))
+        )
+        below, between = (own.metrics[c] or 0 for c in ("below", "between"))
+        below += told["n"] - told["known"]  # in order, nulls come first
+        places = [(told["n"] - 1) // 2 - below, told["n"] // 2 - below]
+        if 0 <= places[0] and places[1] < between:
+            median = _median_of_counts(own.df.where("part = 1").select("w", "n"), places)
+    if median is None:
+        median = exact_median(edges.select("src", "dst", "w"), "w", "src", "dst", rows=told["n"])
     weights = {
-        f"{name}_edge_weight": F.lit(own.metrics.get(key)).cast("double")
+        f"{name}_edge_weight": F.lit(told[key]).cast("double")
         for name, key in (("min", "low"), ("max", "high"), ("mean", "mean"))
     }
     return vertices.agg(F.count(F.lit(1)).alias("num_vertices")).select(
         "num_vertices",
-        F.lit(own.rows).cast("long").alias("num_edges"),
+        F.lit(told["n"]).cast("long").alias("num_edges"),
         F.lit(len(feature_names)).alias("num_features"),
         F.array(*[F.lit(c) for c in feature_names]).alias("feature_names"),
         *[value.alias(name) for name, value in weights.items()],
