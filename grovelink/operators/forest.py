@@ -37,7 +37,7 @@ from .contraction import best_of, both_ends, follow_pointers, rank_by_weight, re
 from .pairs import BLOCK_ROWS, complete_forest_candidates, dimension, finite
 
 BUCKET_EDGES = 1_000_000  # edges a task reads before it squeezes them
-FOREST_EDGES = 4_000_000  # largest forest of one bucket
+FOREST_EDGES = 1_000_000  # largest forest of one bucket
 WORTHWHILE = 0.9  # a round that keeps more than this share is the last one
 LINE_ROWS = 50_000
 PLANAR_ROWS = 50_000
