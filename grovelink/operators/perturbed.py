@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from ..functions.hashing import TWO_32
 from ..functions.weights import PERTURB_SCALE
 from . import kernels
-from .pairs import _block_pairs, _pair_index, _read_group, finite
+from .pairs import _block_pairs, _pair_index, _read_group, eps_join, finite
 
 # a block pair has at most the square of it in pairs, whose weights a task holds at once
 BLOCK_ROWS = 512
+CHUNK_PAIRS = 200_000  # pairs a task reads before it draws and squeezes them
+HELD_EDGES = 4_000_000  # edges of all runs that a task holds
+ROUNDING = 1e-9
 
 
 def draws(seed, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,3 +145,52 @@ def perturbed_graph(
 
     blocks = _block_pairs(finite(vertices), block_rows)
     return blocks.applyInArrow(run, "run int, src long, dst long, w double")
+
+
+def perturbed_forests(
+    vertices: DataFrame, gamma: float, seeds: list, longest: float, metric: str = "euclidean"
+) -> DataFrame:
+    """(run, src, dst, w): edges that contain every run's minimum spanning forest of the perturbed complete graph.
+
+    ``longest`` is the longest edge of the unperturbed forest. No path of that forest gets heavier than
+    (1 + gamma) * longest, and a pair that is farther than (1 + gamma) / (1 - gamma) * longest stays
+    heavier than that, so it closes a cycle as its heaviest edge. Only nearer pairs are met; a
+    task draws their weights for every run and keeps one forest a run.
+    """
+    reach = longest * (1.0 + gamma) / (1.0 - gamma) * (1.0 + ROUNDING)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [np.array([], np.int64), np.array([], np.int64), np.array([])]
+        kept, waiting, held = [none] * len(seeds), [], 0
+
+        def out(n):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(kept[n][0]), n, dtype=np.int32)), *(pa.array(c) for c in kept[n])],
+                names=["run", "src", "dst", "w"],
+            )
+
+        def squeeze():
+            lo, hi, w = (np.concatenate([c[i] for c in waiting]) for i in range(3))
+            for n, seed in enumerate(seeds):
+                new = (lo, hi, perturbed(w, lo, hi, gamma, seed))
+                cols = [np.concatenate(c) for c in zip(kept[n], new)]
+                mask = kernels.forest_mask(*cols)
+                kept[n] = [c[mask] for c in cols]
+
+        for batch in batches:
+            waiting.append([batch.column(i).to_numpy() for i in range(3)])
+            held += batch.num_rows
+            if held >= max(CHUNK_PAIRS, len(kept[0][0])):
+                squeeze()
+                waiting, held = [], 0
+                if sum(len(k[0]) for k in kept) > HELD_EDGES:
+                    for n in range(len(seeds)):
+                        yield out(n)
+                    kept = [none] * len(seeds)
+        if waiting:
+            squeeze()
+        for n in range(len(seeds)):
+            yield out(n)
+
+    near = eps_join(vertices, reach, metric).select("src", "dst", "w")
+    return near.mapInArrow(run, "run int, src long, dst long, w double")

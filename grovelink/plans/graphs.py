@@ -10,7 +10,7 @@ from ..lookup import DEFAULT_LIMITS, Limits, lookup
 from ..operators.agglomerate import RUN_BITS, Hierarchy, agglomerate, run_of, tag_run, untag
 from ..operators.components import connected_components
 from ..operators.features import make_vertices, select_features
-from ..operators.forest import complete_forest, cut_heaviest
+from ..operators.forest import PLANAR_ROWS, complete_forest, cut_heaviest
 from ..operators.pairs import (
     all_pairs,
     complete_forest_candidates,
@@ -19,7 +19,7 @@ from ..operators.pairs import (
     knn,
     limit_edges,
 )
-from ..operators.perturbed import max_perturbed_weight, perturbed_graph
+from ..operators.perturbed import max_perturbed_weight, perturbed_forests, perturbed_graph
 from ..operators.stats import graph_summary, run_differences
 from ..schema import assign_ids, edges_to_arcs
 from ..scratch import Scratch
@@ -73,13 +73,15 @@ def cluster_points(
     alpha: float = 0.0,
     seed: int | str = 0,
     limits: Limits = DEFAULT_LIMITS,
+    planar_rows: int = PLANAR_ROWS,
 ) -> Hierarchy:
     """Points -> arcs -> linkage rounds.
 
     Plain: arcs to the ``k`` nearest; with ``k`` None or n-1 the graph is
     complete. In a symmetric graph every best-neighbour choice is an edge of
     the minimum spanning forest, so the complete graph is replaced by a
-    sparsified graph that contains that forest: same labels and merges.
+    sparsified graph that contains that forest: same labels and merges; for more than
+    ``planar_rows`` points by the forest itself.
     With ``buckets``: all pairs, weights perturbed by ``gamma`` (and put into
     geometric buckets when ``beta`` is given), then the k lightest arcs with
     equal weights in random order. The perturbed pairs are made and cut down inside tasks.
@@ -87,7 +89,13 @@ def cluster_points(
     n = vertices.count()
     whole = k is None or k >= n - 1
     if not buckets:
-        arcs = edges_to_arcs(complete_forest_candidates(vertices, rows=n)) if whole else knn(vertices, k)
+        if not whole:
+            arcs = knn(vertices, k)
+        elif n > planar_rows:
+            # the forest alone does; in few dimensions it is found without all pairs
+            arcs = edges_to_arcs(complete_forest(vertices, limits=limits, planar_rows=planar_rows, line_rows=planar_rows).edges)
+        else:
+            arcs = edges_to_arcs(complete_forest_candidates(vertices, rows=n))
         return agglomerate(arcs, vertices, num_clusters, limits=limits)
     bounds = None
     if beta is not None:
@@ -105,19 +113,29 @@ def stability_runs(
     num_clusters: int = 3,
     gamma: float = 0.05,
     limits: Limits = DEFAULT_LIMITS,
+    near_rows: int = PLANAR_ROWS,
 ) -> DataFrame:
     """runs(run, id, val): the parent of every vertex in each perturbed run.
 
     All runs go through the same rounds as one disjoint graph. A task perturbs the pairs of two
     blocks for every run and keeps their forest, which cannot drop an edge that any
-    best-neighbour choice uses, or the k lightest arcs. Ids that leave no room for the run
+    best-neighbour choice uses, or the k lightest arcs. Of more than ``near_rows`` points in complete
+    graphs only pairs are drawn that can be in such a forest. Ids that leave no room for the run
     number are numbered in their own order meanwhile, so all ties fall alike.
     """
     spark = vertices.sparkSession
     scratch = Scratch(spark, "stability")
     n, lowest, highest = vertices.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
     whole = k is None or k >= n - 1
-    drawn = perturbed_graph(vertices, gamma, list(range(runs)), None if whole else k)
+    longest = None
+    if whole and n > near_rows and 0.0 <= gamma < 1.0:
+        # pairs that are much longer than any edge of the plain forest are in no perturbed one
+        tree = complete_forest(vertices, limits=limits, planar_rows=near_rows, line_rows=near_rows).edges
+        longest = tree.agg(F.max("w")).first()[0]
+    if longest:
+        drawn = perturbed_forests(vertices, gamma, list(range(runs)), longest)
+    else:
+        drawn = perturbed_graph(vertices, gamma, list(range(runs)), None if whole else k)
     graph = scratch.store(drawn.withColumns({"_a": F.col("src"), "_b": F.col("dst")}))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("_run")
     ids, placed = vertices.select("id"), graph.df

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from grovelink.operators import components, forest, kernels, pairs, pivots, stats
+from grovelink.plans import graphs
 from grovelink.scratch import Scratch
 
 
@@ -119,3 +120,25 @@ def test_summary_stores_no_edges(spark, make, monkeypatch, margin):
 def test_forests_of_a_task_are_small():
     # a squeeze of so many edges and as many new ones takes about a hundred bytes per edge, several times
     assert forest.FOREST_EDGES <= 1_000_000
+
+
+def places(seed, n):
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.integers(0, 60, (n, 2)) * 1.5, rng.normal(size=(n, 2)) + 300.0]).tolist()
+
+
+def test_labels_from_the_forest_alone(make, monkeypatch):
+    points = make.points(places(9, 60))
+    want = graphs.cluster_points(points)
+    monkeypatch.setattr(graphs, "complete_forest_candidates", None)
+    got = graphs.cluster_points(points, planar_rows=0)
+    for part in (lambda h: h.labels(), lambda h: h.merges, lambda h: h.final_labels()):
+        assert {tuple(r) for r in part(got).collect()} == {tuple(r) for r in part(want).collect()}
+
+
+def test_stability_from_near_pairs(make, monkeypatch):
+    points = make.points(places(10, 50) + [[1.0, 2.0]] * 5)
+    want = {tuple(r) for r in graphs.stability_runs(points, 4).collect()}
+    monkeypatch.setattr(graphs, "perturbed_graph", None)
+    got = {tuple(r) for r in graphs.stability_runs(points, 4, near_rows=0).collect()}
+    assert got == want and len(got) == 4 * 105
