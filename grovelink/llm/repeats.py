@@ -125,31 +125,43 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
 
 
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes of ``data`` (integers), by doubling the sorted prefix.
+    """Order of all suffixes of ``data`` (integers from 0), by doubling the sorted prefix.
 
-    Only suffixes that still tie are sorted again. Ties beyond ``depth`` are resolved as
-    well: the doubling goes on until none is left.
+    The first order is that of as many symbols as fit one integer. Only suffixes that still tie
+    are sorted again. Ties beyond ``depth`` are resolved as well: the doubling goes on until none
+    is left.
     """
     n = len(data)
-    order = np.argsort(data, kind="stable")
+    if not n:
+        return np.empty(0, dtype=np.int64)
+    bits = int(data.max() + 1).bit_length()
+    # a symbol is one more than its number: behind the end is 0, in front of all
+    key, size, most = data + 1, 1, 63 // bits
+    while size < most:
+        # the symbols of the key, then as many of the key behind them as there is room for
+        more = min(size, most - size)
+        ahead = np.zeros(n, dtype=np.int64)
+        ahead[: max(n - size, 0)] = key[size:] >> bits * (size - more)
+        key = key << bits * more | ahead
+        size += more
+    order = np.argsort(key)
+    key = key[order]
+    head = np.r_[True, key[1:] != key[:-1]]
     rank = np.empty(n, dtype=np.int64)
-    head = np.r_[True, data[order][1:] != data[order][:-1]]
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    size = 1
     while True:
         # suffixes whose rank is shared by a neighbour in the order
-        tied = ~(head & np.r_[head[1:], True])
-        where = np.flatnonzero(tied)
+        where = np.flatnonzero(~(head & np.r_[head[1:], True]))
         if not len(where):
             return order
         own = order[where]
         ahead = own + size
         follow = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        again = np.lexsort((follow, rank[own]))
-        own, follow = own[again], follow[again]
+        key = rank[own] * (n + 1) + follow
+        again = np.argsort(key)
+        own, key = own[again], key[again]
         order[where] = own
-        same = (rank[own][1:] == rank[own][:-1]) & (follow[1:] == follow[:-1])
-        new_head = np.r_[True, ~same]
+        new_head = np.r_[True, key[1:] != key[:-1]]
         head[where] = new_head
         starts = np.maximum.accumulate(np.where(new_head, np.arange(len(where)), 0))
         rank[own] = where[starts]
@@ -163,7 +175,8 @@ def unknown_prefixes(bwt: np.ndarray, symbols: int, length: int) -> np.ndarray:
     ``bwt`` holds the symbol in front of each sorted suffix. The intervals of one depth are
     extended together: their rows are mapped backwards, and runs of one symbol in one
     interval are the intervals of the next depth. An interval whose end is known already
-    is not extended, so over all depths an end is the cause of one extension.
+    is not extended, so over all depths an end is the cause of one extension. Neighbouring rows
+    with one symbol are mapped together, by their first and their last.
     """
     n = len(bwt)
     unknown = np.ones(n + 1, dtype=bool)
@@ -171,19 +184,29 @@ def unknown_prefixes(bwt: np.ndarray, symbols: int, length: int) -> np.ndarray:
     by_symbol = np.argsort(bwt, kind="stable")
     back = np.empty(n, dtype=np.int64)  # row of the suffix that is one symbol longer
     back[by_symbol] = np.arange(n)
+    head = np.r_[True, bwt[1:] != bwt[:-1]][:n]
+    run = np.cumsum(head) - 1  # the run of equal symbols that a row is in
+    starts = np.flatnonzero(head)
+    ends = np.r_[starts[1:], n]
+    symbol = bwt[starts]
     low, high = np.array([0]), np.array([n])  # intervals [low, high)
+    if not n:
+        return unknown[:n]
     for _ in range(length):
-        # all rows of the intervals, with the interval that they are in
-        size = high - low
+        # all runs of the intervals, with the interval that they are in
+        from_run = run[low]
+        size = run[high - 1] - from_run + 1
         ids = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[ids]
-        key = ids * symbols + bwt[rows]
+        runs = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - from_run, size)
+        key = ids * symbols + symbol[runs]
         if (key[1:] < key[:-1]).any():
             by = np.argsort(key, kind="stable")
-            key, rows = key[by], rows[by]
+            key, runs, ids = key[by], runs[by], ids[by]
         head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         last = np.r_[head[1:], len(key)] - 1
-        low, high = back[rows[head]], back[rows[last]] + 1
+        first_row = np.maximum(starts[runs[head]], low[ids[head]])
+        last_row = np.minimum(ends[runs[last]], high[ids[last]]) - 1
+        low, high = back[first_row], back[last_row] + 1
         fresh = unknown[high]
         low, high = low[fresh], high[fresh]
         # several intervals of a depth never end in one place

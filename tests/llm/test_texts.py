@@ -469,3 +469,26 @@ def test_sha_of_ids_is_that_of_their_bytes(docs):
     plain = {r.doc_id: r for r in bpe.encode(docs.where("doc_id > 9"), path).collect()}
     for r in bpe.encode(docs.where("doc_id > 9"), path, digests=True).collect():
         assert r.ids_sha256 == hashlib.sha256(plain[r.doc_id].ids).hexdigest()
+
+
+def test_suffixes_and_shared_prefixes_with_little_sorting(monkeypatch):
+    sorted_rows = []
+
+    def counted(f, rows):
+        return lambda x, *args, **kind: (sorted_rows.append(rows(x)), f(x, *args, **kind))[1]
+
+    monkeypatch.setattr(np, "argsort", counted(np.argsort, len))
+    monkeypatch.setattr(np, "lexsort", counted(np.lexsort, lambda keys: len(keys) * len(keys[0])))
+    rng = np.random.default_rng(4)
+    for n, kinds in ((0, 1), (1, 1), (2, 1), (40, 1), (60, 2), (200, 3), (200, 90), (150, 1 << 40)):
+        data = rng.integers(0, kinds, n)
+        got = repeats.suffix_array(data, 20)
+        whole = data.tolist()
+        assert got.tolist() == sorted(range(n), key=lambda i: whole[i:])
+    # contexts of a frequent anchor: 40 texts that differ at their ends only
+    middle = bytes(rng.integers(97, 117, 240).astype(np.uint8))
+    own = [bytes([65 + i]) + middle + bytes([66 + i]) for i in range(40)]
+    sorted_rows.clear()
+    found = repeats.repeated_windows(own, 200)
+    assert [f.tolist() for f in found] == [list(range(1, 42))] * 40
+    assert sum(sorted_rows) < 11 * sum(len(c) + 1 for c in own)
