@@ -98,16 +98,59 @@ def _forest_filter(flagged: bool, weight=np.float64):
     return run
 
 
+def _flag_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Flags of edges that come by bucket and, inside it, in total order.
+
+    An edge is kept if no earlier ones connect its ends. A task holds one chunk and, of the
+    current bucket, a component per vertex.
+    """
+    trees, current, waiting, held = kernels.GrowingTrees(), None, [], 0
+
+    def flagged():
+        cols = [np.concatenate([w[i] for w in waiting]) for i in range(3)]
+        kept = trees.add(cols[0], cols[1])
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c) for c in cols), pa.array(kept)], names=["src", "dst", "w", "kept"]
+        )
+
+    for batch in batches:
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("src", "dst", "w")]
+        bucket = batch.column("_bucket")
+        # no bucket is a bucket of its own
+        none = bucket.is_null().to_numpy(zero_copy_only=False)
+        number = bucket.fill_null(0).to_numpy(zero_copy_only=False)
+        new = (none[1:] != none[:-1]) | (number[1:] != number[:-1])
+        heads = np.flatnonzero(np.r_[True, new][: len(none)])
+        for start, end in zip(heads, np.r_[heads[1:], len(none)]):
+            own = (bool(none[start]), int(number[start]))
+            if own != current or held >= BUCKET_EDGES:
+                if waiting:
+                    yield flagged()
+                waiting, held = [], 0
+            if own != current:
+                trees, current = kernels.GrowingTrees(), own
+            waiting.append([c[start:end] for c in cols])
+            held += end - start
+    if waiting:
+        yield flagged()
+
+
 def _bucketed(edges: DataFrame, bucket: Column, buckets: int):
     spread = edges.select("src", "dst", "w", bucket.cast("long").alias("_bucket"))
     return spread.repartition(max(1, min(buckets, MAX_TASKS)), "_bucket").groupBy("_bucket")
 
 
 def bucket_msf(edges: DataFrame, bucket: Column, buckets: int) -> DataFrame:
-    """(src, dst, w, kept): every edge, with whether its bucket's forest keeps it."""
-    return _bucketed(edges, bucket, buckets).applyInArrow(
-        _forest_filter(True), EDGE_SCHEMA + ", kept boolean"
+    """(src, dst, w, kept): every edge, with whether its bucket's forest keeps it.
+
+    Spark sorts the edges of a bucket, so a bucket may be larger than memory, and so may its forest.
+    """
+    weight = F.coalesce("w", F.lit(float("nan"))).alias("w")
+    spread = edges.select("src", "dst", weight, bucket.cast("long").alias("_bucket"))
+    ordered = spread.repartition(max(1, min(buckets, MAX_TASKS)), "_bucket").sortWithinPartitions(
+        "_bucket", "w", "src", "dst"
     )
+    return ordered.mapInArrow(_flag_in_order, EDGE_SCHEMA + ", kept boolean")
 
 
 def bucket_forests(edges: DataFrame, bucket: Column, buckets: int) -> DataFrame:

@@ -354,3 +354,28 @@ def component_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if np.array_equal(nxt, label):
             return ids, ids[label]
         label = nxt
+
+
+class GrowingTrees:
+    """The components of edges that come in total order, chunk by chunk: a number per vertex."""
+
+    def __init__(self):
+        self.ids, self.label = np.array([], np.int64), np.array([], np.int64)
+
+    def add(self, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+        """True for edges whose ends nothing earlier connects."""
+        ends = np.unique(np.concatenate([src, dst]))
+        at = np.searchsorted(self.ids, ends)
+        new = np.ones(len(ends), dtype=bool)
+        there = np.flatnonzero(at < len(self.ids))
+        new[there] = self.ids[at[there]] != ends[there]
+        old = len(self.ids)
+        self.ids = np.insert(self.ids, at[new], ends[new])
+        self.label = np.insert(self.label, at[new], np.arange(old, len(self.ids)))
+        a, b = (self.label[np.searchsorted(self.ids, e)] for e in (src, dst))
+        kept = forest_mask(a, b, np.arange(len(a)))
+        joined, lowest = component_labels(a[kept], b[kept])
+        moved = np.arange(len(self.ids))
+        moved[joined] = lowest
+        self.label = moved[self.label]
+        return kept

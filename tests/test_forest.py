@@ -3,6 +3,7 @@ import random
 import warnings
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,30 @@ def test_undefined_coordinates_have_no_edges(spark, line_rows):
     points = [(0, [1.0]), (1, [math.nan]), (2, [2.0]), (3, [None]), (4, [math.nan]), (5, [math.inf])]
     v = spark.createDataFrame(points, "id long, features array<double>")
     assert triples(forest.complete_forest(v, line_rows=line_rows).edges) == [(0, 2, 1.0)]
+
+
+def test_bucket_flags_hold_no_edges(make, monkeypatch):
+    """Copies, loops, no bucket and no weight; what a task holds has nothing but a number per vertex."""
+    rows = brute.random_edges(40, 300, 13)
+    rows += [(b, a, w) for a, b, w in rows[:60]] + rows[60:100] + [(3, 3, 0.5), (4, 4, 0.1)]
+    edges = make.edges(rows).withColumn("w", F.when(F.col("w") != rows[5][2], F.col("w")))
+    bucket = F.when(F.col("src") % 5 != 4, F.col("src") % 5)
+    want = {}
+    for r in edges.withColumn("b", bucket).collect():
+        want.setdefault(r["b"], []).append((r["src"], r["dst"], float("inf") if r["w"] is None else r["w"]))
+    want = {b: (len(own), weights(brute.kruskal(own))) for b, own in want.items()}
+    for chunk in (7, 1_000_000):
+        monkeypatch.setattr(forest, "BUCKET_EDGES", chunk)
+        got = {}
+        for r in forest.bucket_msf(edges, bucket, 3).withColumn("b", bucket).collect():
+            w = float("inf") if r["w"] != r["w"] else r["w"]
+            got.setdefault(r["b"], []).append((r["src"], r["dst"], w, r["kept"]))
+        assert {b: (len(own), weights(e[:3] for e in own if e[3])) for b, own in got.items()} == want
+    trees = kernels.GrowingTrees()
+    for at in range(50):
+        trees.add(np.arange(at * 100, at * 100 + 100), np.arange(at * 100 + 1, at * 100 + 101))
+    assert len(trees.ids) == 5001 and not trees.label.any()
+
+
+def weights(edges):
+    return sorted((min(a, b), max(a, b), w) for a, b, w in edges)
