@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from ..functions.distance import check_metric
 from ..functions.hashing import hashed_uniform
 from ..schema import EDGE_SCHEMA, first_n
+from ..scratch import Scratch
 from . import grid, kernels, pivots
 
 BLOCK_ROWS = 4096  # blocks whose forest is grown, or whose pairs all leave
 NEAR_ROWS = 16_384  # blocks of which only near pairs leave
 MAX_TASKS = 20_000
+FIRST_IDS = 16  # smallest ids whose pairs are made first
 GRID_ROWS = 50_000
 PIVOT_ROWS = 50_000
 
@@ -91,13 +93,19 @@ def all_pairs(
     metric: str = "euclidean",
     threshold: float | None = None,
     block_rows: int | None = None,
+    first: int | None = None,
 ) -> DataFrame:
     """edges: every unordered pair with its distance, or only those within ``threshold``.
 
     Without a threshold the answer itself has n(n-1)/2 rows; use ``knn``,
-    ``eps_join`` or ``complete_forest`` where the pairs are only a means.
+    ``eps_join`` or ``complete_forest`` where the pairs are only a means. Who wants no more than the
+    ``first`` pairs within ``threshold`` in (src, dst) order gets edges that contain them.
     """
     check_metric(metric)
+    if first is not None and threshold is not None:
+        some = _first_pairs(vertices, metric, threshold, first)
+        if some is not None:
+            return some
 
     def pairs(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = _pair_index(key[0].as_py())
@@ -123,6 +131,56 @@ def all_pairs(
     return _block_pairs(vertices, block_rows).applyInArrow(pairs, EDGE_SCHEMA)
 
 
+def _first_pairs(vertices: DataFrame, metric: str, threshold: float, count: int) -> DataFrame | None:
+    """Edges within ``threshold`` that contain the first ``count`` in (src, dst) order.
+
+    The smallest ids meet all vertices; if these pairs are too few, more of the smallest ids do. None for
+    small tables and where that many pairs need more ids than a block has.
+    """
+    rows = vertices.count()
+    few = FIRST_IDS
+    if rows <= NEAR_ROWS:
+        return None
+    spark = vertices.sparkSession
+    blocks = max(math.ceil(rows / NEAR_ROWS), spark.sparkContext.defaultParallelism)
+    every = vertices.select(
+        F.col("id").cast("long").alias("id"),
+        F.col("features").cast("array<double>").alias("features"),
+        F.expr(f"pmod(xxhash64(id), {blocks}L)").alias("block"),
+        F.lit(False).alias("small"),
+    )
+
+    def pairs(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, x = table.column("id").to_numpy(), kernels.vectors(table.column("features"))
+        small = table.column("small").to_numpy()
+        lower, upper = (np.flatnonzero(m)[np.argsort(ids[m], kind="stable")] for m in (small, ~small))
+        kept = [np.array([], np.int64), np.array([], np.int64), np.array([])]
+        bound = np.full(len(lower), float(threshold))
+        for i, j, w in kernels.near_pairs(x[lower], x[upper], metric, bound):
+            u, v = ids[lower[i]], ids[upper[j]]
+            new = u < v
+            kept = [np.concatenate([old, c[new]]) for old, c in zip(kept, (u, v, w))]
+            order = np.lexsort((kept[1], kept[0]))[:count]
+            kept = [c[order] for c in kept]
+        yield _edge_batch(*kept)
+
+    scratch = Scratch(spark, "first-pairs")
+    while few <= min(NEAR_ROWS, rows // 2):
+        top = first_n(every.select("id"), few, "id").agg(F.max("id")).first()[0]
+        places = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+        lower = every.where(F.col("id") <= top).select(
+            "id", "features", places.alias("block"), F.lit(True).alias("small")
+        )
+        met = every.unionByName(lower).repartition(min(blocks, MAX_TASKS), "block").groupBy("block")
+        found = scratch.store(met.applyInArrow(pairs, EDGE_SCHEMA))
+        if found.rows >= count:
+            return found.df
+        scratch.drop(found)
+        few *= 8
+    return None
+
+
 def complete_forest_candidates(
     vertices: DataFrame,
     metric: str = "euclidean",

@@ -269,7 +269,8 @@ def q_threshold_edges(spark, sf):
 
 
 def q_max_edges(spark, sf):
-    return _rounded(pairs.limit_edges(pairs.all_pairs(embeddings(spark, sf), threshold=1.3), 1000))
+    near = pairs.all_pairs(embeddings(spark, sf), threshold=1.3, first=1000)
+    return _rounded(pairs.limit_edges(near, 1000))
 
 
 def q_eps_join_1d(spark, sf):

@@ -132,3 +132,23 @@ def test_undefined_coordinates_have_no_neighbours(spark, grid_rows):
     points = [(0, [1.0, 0.0]), (1, [math.nan, 0.0]), (2, [2.0, 0.0]), (3, [None, 1.0]), (4, [0.0, math.inf])]
     v = spark.createDataFrame(points, "id long, features array<double>")
     assert triples(pairs.knn(v, 2, grid_rows=grid_rows)) == [(0, 2, 1.0), (2, 0, 1.0)]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_first_pairs_meet_few_vertices(make, monkeypatch, metric):
+    points = brute.random_points(200, 9, 3)
+    table = make.points(points)
+    copies = table.where("id in (0, 1, 150)")  # a repeated id repeats its pairs
+    table = table.union(copies)
+    every = sorted(triples(pairs.all_pairs(table, metric)), key=lambda e: e[:2])
+    threshold = sorted(w for *_, w in every)[len(every) // 4]
+    want = [e for e in every if e[2] <= threshold]
+    monkeypatch.setattr(pairs, "NEAR_ROWS", 64)
+    monkeypatch.setattr(pairs, "FIRST_IDS", 2)
+    for count in (40, 500):
+        some = pairs.all_pairs(table, metric, threshold, first=count)
+        assert triples(pairs.limit_edges(some, count)) == want[:count]
+        # no pair of the larger ids has been made
+        assert max(s for s, *_ in triples(some)) < 20
+    none = pairs.all_pairs(table, metric, threshold, first=len(want) + 5)
+    assert triples(none) == want
