@@ -355,8 +355,7 @@ def complete_forest(
         return Forest(line_forest(points, n, limits), [], n)
     candidates, work = None, {}
     if n > planar_rows and dim in planar.CURVE_BITS:
-        found = planar.planar_candidates(points, metric, dim, n, min(block_rows, planar.BLOCK_ROWS))
-        candidates, work = found or (None, {})
+        candidates, work = _planar_edges(points, metric, dim, min(block_rows, planar.BLOCK_ROWS), limits)
     if candidates is None:
         candidates = complete_forest_candidates(points, metric, block_rows, rows=n)
     forest = minimum_spanning_forest(
@@ -370,6 +369,26 @@ def complete_forest(
     return forest
 
 
+def _planar_edges(
+    points: DataFrame, metric: str, dim: int, block_rows: int, limits: Limits
+) -> tuple[DataFrame, dict]:
+    """Candidates of ``planar``; copies of a point hang on their smallest id and take no part."""
+    scratch = Scratch(points.sparkSession, "places")
+    plain = points.where("id is not null").select(
+        F.col("id").cast("long").alias("id"), F.transform("features", lambda v: v.cast("double")).alias("features")
+    )
+    places = scratch.store(plain.groupBy("features").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    edges, work = planar.planar_candidates(places.df, metric, dim, places.rows, block_rows)
+    several = scratch.store(places.df.where("n > 1").select(F.col("features").alias("id"), F.col("id").alias("first")))
+    if not several.rows:
+        return edges, work
+    told = lookup(plain, plain.count(), "features", several.df, several.rows, {"first": "first"}, limits)
+    copies = told.where(F.col("id") != F.col("first")).select(
+        F.col("first").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w")
+    )
+    return edges.unionByName(copies), work
+
+
 def line_forest(vertices: DataFrame, rows: int, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Spanning tree of points on a line: neighbours in sorted order, copies to their first id."""
     points = vertices.select(

@@ -208,20 +208,22 @@ def _nearest_outside(best_w, best_lo, best_hi):
     return ties[np.lexsort((best_hi[ties], best_lo[ties]))[0]]
 
 
-def dense_forest(ids: np.ndarray, x: np.ndarray, side: np.ndarray | None, metric: str):
+def dense_forest(
+    ids: np.ndarray, x: np.ndarray, side: np.ndarray | None, metric: str, core: np.ndarray | None = None
+):
     """Minimum spanning tree of a complete (or, with ``side``, bipartite) block.
 
     Grows one tree and keeps, for every vertex outside it, the lightest link
     into it, so only one row of distances exists at a time. Ties follow the
     total order (w, smaller id, larger id). Undefined distances are no edges.
     With many coordinates a product tells which vertices can have come nearer; only
-    those are measured.
+    those are measured. With ``core`` no link is lighter than the number of either end.
     """
     n = len(ids)
     big = np.iinfo(np.int64).max
     best_w, best_lo, best_hi = np.full(n, np.inf), np.full(n, big), np.full(n, big)
     outside, src, dst, weight = np.ones(n, dtype=bool), [], [], []
-    rough = Rough.of(x, x, metric) if metric == "euclidean" else None
+    rough = Rough.of(x, x, metric) if metric == "euclidean" and core is None else None
     if rough is not None:
         # the vertices that a side can be linked with, and up to where they can come nearer
         others = {s: np.flatnonzero(side != s) if side is not None else np.arange(n) for s in (np.unique(side) if side is not None else [None])}
@@ -234,6 +236,8 @@ def dense_forest(ids: np.ndarray, x: np.ndarray, side: np.ndarray | None, metric
             at = slice(None)
             reach = outside if side is None else outside & (side != side[v])
             d = block_distances(x[v : v + 1], x, metric)[0]
+            if core is not None:
+                d = np.maximum(np.maximum(d, core), core[v])
         else:
             nearer[v] = -np.inf
             s = None if side is None else side[v]

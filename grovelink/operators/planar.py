@@ -7,11 +7,16 @@ are linked to near ones by distances of sample points, and the spanning tree of
 gives, for any two fragments, a bound: every two of their points are connected by steps no
 longer than that. By the cycle property a longer edge between them is not in the answer. So
 two fragments meet only if their boxes are within their bound, and then only with the
-points that are that near to the other's box.
+points that are that near to the other's box. Such pairs of fragments are found from the
+boxes of runs of fragments down to single ones: two runs that are farther apart than the largest
+bound between them are left at once.
+
+Points may have a core distance, and no edge is lighter than that of either end (mutual
+reachability); all the above holds for these weights.
 
 A task holds one block, or the facing points of two fragments. What is gathered and
-broadcast is one row per fragment, and its number is counted and has a limit: blocks grow
-with the table, and beyond the limit the caller takes another way.
+broadcast is one row per fragment; blocks grow with the table, so that there are MOST_FRAGMENTS
+at most.
 """
 
 from __future__ import annotations
@@ -31,13 +36,16 @@ from . import kernels
 from .pairs import knn
 
 BLOCK_ROWS = 512
-MOST_BLOCKS = 100_000
 MOST_FRAGMENTS = 400_000
 CURVE_BITS = {2: 30, 3: 20}
 NEAR = 6  # fragments that each fragment is linked to
 SAMPLES = 64  # points that stand for a fragment when it is linked
 CUTS = 15  # edges that cut a block, at most, each more than LONG usual ones
 LONG = 4.0
+LINKS_AGAIN = 8  # fragments of a run that are linked again under a bound
+RUNS = 2048  # runs of fragments that are met one by one, before they are halved
+CHUNK_PAIRS = 500_000  # pairs of points that are measured at once
+HELD_EDGES = 1_000_000  # edges between fragments that a task reads before it squeezes them
 ROUNDING = 1e-9
 
 
@@ -70,7 +78,7 @@ def curve_position(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _in_blocks(scratch: Scratch, points: DataFrame, dim: int, rows: int, block_rows: int) -> Stored:
-    """(id, features, block): runs of at most ``block_rows`` points along the curve."""
+    """(id, features, core, block): runs of at most ``block_rows`` points along the curve."""
     coordinates = [F.col("features")[i] for i in range(dim)]
     ends = points.agg(*[f(c) for c in coordinates for f in (F.min, F.max)]).first()
     low, high = np.array(ends[0::2]), np.array(ends[1::2])
@@ -84,28 +92,31 @@ def _in_blocks(scratch: Scratch, points: DataFrame, dim: int, rows: int, block_r
             share = (x / 2 - low / 2) / extent
             cells = np.clip(share * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
             position = pa.array(curve_position(cells, bits))
-            yield pa.RecordBatch.from_arrays([*batch.columns, position], names=["id", "features", "curve"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, position], names=["id", "features", "core", "curve"])
 
-    placed = scratch.store(points.mapInArrow(place, "id long, features array<double>, curve long")).df
+    placed = scratch.store(
+        points.mapInArrow(place, "id long, features array<double>, core double, curve long")
+    ).df
     ordered = assign_ids(placed, "curve", "id", id_col="at")
-    return scratch.store(ordered.select("id", "features", F.floor(F.col("at") / block_rows).alias("block"), "at"))
+    return scratch.store(ordered.select("id", "features", "core", F.floor(F.col("at") / block_rows).alias("block"), "at"))
 
 
 _LOCAL = (
     "kind string, fragment long, src long, dst long, w double, "
-    "features array<double>, low array<double>, high array<double>"
+    "features array<double>, core double, low array<double>, high array<double>"
 )
 
 
 def _local_trees(points: DataFrame, metric: str) -> DataFrame:
     """Rows of four kinds: 'edge' (src, dst, w) of the blocks' trees, 'link' (src, dst, w) between
-    fragments of one block, 'point' (fragment, src, features), and 'box' of a fragment:
-    w its longest edge, features its flattened sample."""
+    fragments of one block, 'point' (fragment, src, features, core), and 'box' of a fragment:
+    w its longest edge, features its flattened sample with cores, core the smallest one."""
 
     def run(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by("at")
         ids, x = table.column("id").to_numpy(), kernels.vectors(table.column("features"))
-        src, dst, w = kernels.dense_forest(ids, x, None, metric)
+        core = table.column("core").to_numpy()
+        src, dst, w = kernels.dense_forest(ids, x, None, metric, core)
         order = np.argsort(ids)
         a, b = (order[np.searchsorted(ids, e, sorter=order)] for e in (src, dst))
         cut = np.zeros(len(w), dtype=bool)
@@ -128,9 +139,11 @@ def _local_trees(points: DataFrame, metric: str) -> DataFrame:
         for f in range(len(names)):
             rows = np.flatnonzero(own == f)
             inside = ~cut & (own[a] == f)
-            sample = x[rows[:: -(-len(rows) // SAMPLES)]]
+            some = rows[:: -(-len(rows) // SAMPLES)]
+            sample = np.column_stack([x[some], core[some]]).ravel().tolist()
             longest = float(w[inside].max()) if inside.any() else 0.0
-            boxes.append((longest, sample.ravel().tolist(), x[rows].min(axis=0).tolist(), x[rows].max(axis=0).tolist()))
+            box = x[rows].min(axis=0).tolist(), x[rows].max(axis=0).tolist()
+            boxes.append((longest, sample, float(core[rows].min()), *box))
         n, e, c, f = len(ids), len(w), int(cut.sum()), len(names)
         none = [None]
         yield pa.RecordBatch.from_arrays(
@@ -141,13 +154,14 @@ def _local_trees(points: DataFrame, metric: str) -> DataFrame:
                 pa.array(dst.tolist() + (own[b[cut]] + first).tolist() + none * (n + f), pa.int64()),
                 pa.array(w.tolist() + w[cut].tolist() + none * n + [v[0] for v in boxes], pa.float64()),
                 pa.array(none * (e + c) + x.tolist() + [v[1] for v in boxes], pa.list_(pa.float64())),
-                pa.array(none * (e + c + n) + [v[2] for v in boxes], pa.list_(pa.float64())),
+                pa.array(none * (e + c) + core.tolist() + [v[2] for v in boxes], pa.float64()),
                 pa.array(none * (e + c + n) + [v[3] for v in boxes], pa.list_(pa.float64())),
+                pa.array(none * (e + c + n) + [v[4] for v in boxes], pa.list_(pa.float64())),
             ],
-            names=["kind", "fragment", "src", "dst", "w", "features", "low", "high"],
+            names=["kind", "fragment", "src", "dst", "w", "features", "core", "low", "high"],
         )
 
-    blocks = points.select("block", "at", "id", "features").groupBy("block")
+    blocks = points.select("block", "at", "id", "features", "core").groupBy("block")
     return blocks.applyInArrow(run, _LOCAL)
 
 
@@ -162,21 +176,26 @@ def _links(boxes: DataFrame, inner: DataFrame, metric: str) -> DataFrame:
         (F.col("fragment") - each).alias("src"), F.col("fragment").alias("dst")
     )
     pairs = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-    pairs = pairs.unionByName(chain).distinct()
+    return _measured(pairs.unionByName(chain).distinct(), boxes, metric).unionByName(inner)
+
+
+def _measured(pairs: DataFrame, boxes: DataFrame, metric: str) -> DataFrame:
+    """(src, dst, w): the smallest distance of two fragments' sample points."""
     sample = boxes.select("fragment", "features")
     met = pairs.join(sample.toDF("src", "a"), "src").join(sample.toDF("dst", "b"), "dst").select("src", "dst", "a", "b")
-    dim = F.size("low")
-    width = boxes.select(dim).first()[0]
+    width = boxes.select(F.size("low")).first()[0]
+
+    def nearest(a: list[float], b: list[float]) -> float:
+        a, b = (np.array(v).reshape(-1, width + 1) for v in (a, b))
+        d = kernels.block_distances(a[:, :width], b[:, :width], metric)
+        return float(np.maximum(np.maximum(d, a[:, width:]), b[None, :, width]).min())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = [
-                float(kernels.block_distances(np.array(a).reshape(-1, width), np.array(b).reshape(-1, width), metric).min())
-                for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
+            w = [nearest(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w)], names=["src", "dst", "w"])
 
-    return met.mapInArrow(run, "src long, dst long, w double").unionByName(inner)
+    return met.mapInArrow(run, "src long, dst long, w double")
 
 
 def _bounds(fragments: np.ndarray, longest: np.ndarray, links: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -219,35 +238,113 @@ def box_distance(low_a, high_a, low_b, high_b, metric: str) -> np.ndarray:
     return away * (1.0 - ROUNDING)
 
 
+def _halved(values: np.ndarray, smallest: bool) -> list[np.ndarray]:
+    """Smallest or largest values of single rows, of runs of 2, of 4, and so on."""
+    levels = [values]
+    while len(levels[-1]) > 1:
+        two = levels[-1].reshape(-1, 2, *values.shape[1:])
+        levels.append(two.min(axis=1) if smallest else two.max(axis=1))
+    return levels
+
+
+def near_boxes(
+    low: np.ndarray, high: np.ndarray, core: np.ndarray, place: np.ndarray, gap: np.ndarray, metric: str
+):
+    """(number of runs, function): for a run of boxes, (i, j, bound, distance), i < j, of those within their bound.
+
+    Box i stands at ``place[i]`` of the order whose gaps are ``gap``. Boxes near to each other should follow
+    each other, so that the box of a run is small.
+    """
+    n = len(place)
+    size = 1 << max(0, (n - 1).bit_length())
+
+    def padded(values, fill):
+        return np.concatenate([values, np.full((size - n, *values.shape[1:]), fill, dtype=values.dtype)])
+
+    lows, highs = _halved(padded(low, np.inf), True), _halved(padded(high, -np.inf), False)
+    cores = _halved(padded(core, np.inf), True)
+    firsts, lasts = _halved(padded(place, n), True), _halved(padded(place, -1), False)
+    # largest gap of every 1, 2, 4, ... that follow each other
+    spans = [gap[: n - 1]]
+    while 2 << (len(spans) - 1) <= n - 1:
+        half = 1 << (len(spans) - 1)
+        spans.append(np.maximum(spans[-1][:-half], spans[-1][half:]))
+
+    def bounds(level, u, v):
+        first = np.minimum(firsts[level][u], firsts[level][v])
+        last = np.maximum(lasts[level][u], lasts[level][v])
+        length = last - first
+        out = np.full(len(u), np.inf)
+        power = np.frexp(np.maximum(length, 1))[1] - 1
+        for k in np.unique(power):
+            at = np.flatnonzero((power == k) & (length > 0))
+            out[at] = np.maximum(spans[k][first[at]], spans[k][last[at] - (1 << k)])
+        return out
+
+    def near(level, u, v):
+        there = (lasts[level][u] >= 0) & (lasts[level][v] >= 0)
+        u, v = u[there], v[there]
+        bound = bounds(level, u, v)
+        away = box_distance(lows[level][u], highs[level][u], lows[level][v], highs[level][v], metric)
+        away = np.maximum(away, np.maximum(cores[level][u], cores[level][v]))
+        met = (u == v) | (away <= bound)
+        return u[met], v[met], bound[met], away[met]
+
+    top = max(0, len(lows) - 1 - (RUNS - 1).bit_length())
+
+    def run(number: int):
+        others = np.arange(number, len(lows[top]))
+        u, v, bound, away = near(top, np.full(len(others), number), others)
+        for level in range(top - 1, -1, -1):
+            pairs = [(2 * u + i, 2 * v + j) for i in (0, 1) for j in (0, 1)]
+            u, v = (np.concatenate([p[side] for p in pairs]) for side in (0, 1))
+            once = u <= v
+            u, v, bound, away = near(level, u[once], v[once])
+        other = u != v
+        return u[other], v[other], bound[other], away[other]
+
+    return len(lows[top]), run
+
+
 def _near_pairs(
-    scratch: Scratch, fragments: np.ndarray, gap: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str
+    scratch: Scratch,
+    fragments: np.ndarray,
+    low: np.ndarray,
+    high: np.ndarray,
+    core: np.ndarray,
+    place: np.ndarray,
+    gap: np.ndarray,
+    metric: str,
+    nearest: int | None = None,
 ) -> Stored:
-    """(a, b, bound) of the fragments whose boxes are within their bound."""
+    """(a, b, bound) of the fragments whose boxes are within their bound.
+
+    With ``nearest`` only so many of a run of fragments that have the same bound.
+    """
     spark = scratch.spark
-    parts = max(8, min(len(fragments) // 64, spark.sparkContext.defaultParallelism * 8))
-    # a fragment meets those after it in the order, so the work falls from first to last
-    shuffled = spark.range(len(fragments)).select(F.xxhash64("id").alias("_mix"), "id").repartition(parts, "_mix")
+    runs, _ = near_boxes(low, high, core, place, gap, metric)
+    parts = max(1, min(runs // 16, spark.sparkContext.defaultParallelism * 4))
+    # a run meets those after it, so the work falls from first to last
+    shuffled = spark.range(runs).select(F.xxhash64("id").alias("_mix"), "id").repartition(parts, "_mix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, near = near_boxes(low, high, core, place, gap, metric)
         for batch in batches:
-            a, b, bound = [], [], []
-            for i in batch.column(0).to_pylist():
-                w = np.maximum.accumulate(gap[i:-1])
-                away = box_distance(low[i], high[i], low[i + 1 :], high[i + 1 :], metric)
-                met = np.flatnonzero(away <= w)
-                a.append(np.full(len(met), fragments[i]))
-                b.append(fragments[i + 1 + met])
-                bound.append(w[met])
-            if a:
+            for number in batch.column(0).to_pylist():
+                i, j, bound, away = near(number)
+                if nearest is not None:
+                    some = np.lexsort((j, i, away, bound))
+                    some = some[kernels.places_in_groups(bound[some]) < nearest]
+                    i, j, bound = i[some], j[some], bound[some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in (a, b, bound)], names=["a", "b", "bound"]
+                    [pa.array(fragments[i]), pa.array(fragments[j]), pa.array(bound)], names=["a", "b", "bound"]
                 )
 
     return scratch.store(shuffled.select("id").mapInArrow(run, "a long, b long, bound double"))
 
 
 def _facing(points: DataFrame, boxes: DataFrame, pairs: DataFrame, dim: int, metric: str) -> DataFrame:
-    """(a, b, second, id, features): the points of a pair that are near to the other's box."""
+    """(a, b, bound, second, id, features, core): the points of a pair that are near to the other's box."""
     sides = F.array(
         F.struct(F.col("a").alias("fragment"), F.col("b").alias("other"), F.lit(False).alias("second")),
         F.struct(F.col("b").alias("fragment"), F.col("a").alias("other"), F.lit(True).alias("second")),
@@ -264,61 +361,162 @@ def _facing(points: DataFrame, boxes: DataFrame, pairs: DataFrame, dim: int, met
     away = F.sqrt(total) if metric == "euclidean" else total
     return (
         points.join(looks, "fragment")
-        .where(away * (1.0 - ROUNDING) <= F.col("bound"))
-        .select("a", "b", "second", "id", "features")
+        .where(F.greatest(away * (1.0 - ROUNDING), F.col("core")) <= F.col("bound"))
+        .select("a", "b", "bound", "second", "id", "features", "core")
     )
 
 
+def _between(table: pa.Table, metric: str) -> tuple[np.ndarray, ...]:
+    """(src, dst, w) of the pairs of points within their bound, across whole pairs of fragments.
+
+    A pair of fragments with more than CHUNK_PAIRS gives only its forest.
+    """
+    a, b, second = (table.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "second"))
+    ids, core, bound = (table.column(c).to_numpy() for c in ("id", "core", "bound"))
+    x = kernels.vectors(table.column("features"))
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    end = np.r_[start[1:], len(a)]
+    here = np.add.reduceat((~second).astype(np.int64), start)
+    there = end - start - here
+    many = here * there
+    out = []
+    for g in np.flatnonzero(many > CHUNK_PAIRS):
+        rows = slice(start[g], end[g])
+        out.append(kernels.dense_forest(ids[rows], x[rows], second[rows], metric, core[rows]))
+    columns = np.ascontiguousarray(x.T)
+    rest = np.flatnonzero((many > 0) & (many <= CHUNK_PAIRS))
+    ends = np.cumsum(many[rest])
+    done = 0
+    while done < len(rest):
+        before = ends[done - 1] if done else 0
+        upto = max(done + 1, int(np.searchsorted(ends, before + CHUNK_PAIRS, side="right")))
+        groups, done = rest[done:upto], upto
+        owner = np.repeat(groups, many[groups])
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(many[groups]) - many[groups], many[groups])
+        i = start[owner] + number // there[owner]
+        j = start[owner] + here[owner] + number % there[owner]
+        w = kernels.pair_distances(columns, columns, i, j, metric)
+        w = np.maximum(np.maximum(w, core[i]), core[j])
+        near = w <= bound[i]
+        u, v = ids[i[near]], ids[j[near]]
+        out.append((np.minimum(u, v), np.maximum(u, v), w[near]))
+    none = (np.array([], np.int64), np.array([], np.int64), np.array([]))
+    return tuple(np.concatenate(c) for c in zip(none, *out))
+
+
+def _across(facing: DataFrame, parts: int, metric: str) -> DataFrame:
+    """(src, dst, w): edges between fragments; a task squeezes those it has to their forest."""
+    dealt = facing.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "second", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.array([], np.int64), np.array([], np.int64), np.array([])]
+        waiting, held, rest, rows = [], 0, [], 0
+
+        def squeeze():
+            cols = [np.concatenate(c) for c in zip(kept, *waiting)]
+            mask = kernels.forest_mask(*cols)
+            return [c[mask] for c in cols]
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["src", "dst", "w"])
+
+        def whole(last: bool):
+            """The whole pairs of fragments of what was read, and the rows of the one that may go on."""
+            table = pa.Table.from_batches(rest)
+            if last:
+                return table, []
+            a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+            other = np.flatnonzero((a != a[-1]) | (b != b[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            return table.slice(0, cut), table.slice(cut).to_batches()
+
+        batches, last = iter(batches), False
+        while not last:
+            batch = next(batches, None)
+            last = batch is None
+            if not last:
+                if batch.num_rows:
+                    rest.append(batch)
+                    rows += batch.num_rows
+                if rows < 20_000:
+                    continue
+            if not rest:
+                break
+            table, rest = whole(last)
+            # what goes on is looked at again when as much has come
+            rows = 0
+            if table.num_rows:
+                waiting.append(_between(table, metric))
+                held += len(waiting[-1][0])
+            if held >= max(HELD_EDGES, len(kept[0])):
+                kept, waiting, held = squeeze(), [], 0
+                if len(kept[0]) > HELD_EDGES:
+                    yield out()
+                    kept = [c[:0] for c in kept]
+        kept = squeeze()
+        yield out()
+
+    return dealt.mapInArrow(run, "src long, dst long, w double")
+
+
 def planar_candidates(
-    points: DataFrame, metric: str, dim: int, rows: int, block_rows: int = BLOCK_ROWS
-) -> tuple[DataFrame, dict] | None:
+    points: DataFrame, metric: str, dim: int, rows: int, block_rows: int = BLOCK_ROWS, longest: float = math.inf
+) -> tuple[DataFrame, dict]:
     """Edges that contain the minimum spanning tree of the complete graph, each pair once.
 
-    ``points`` are finite. Also the numbers of fragments, pairs of fragments and distances. None
-    if there are more fragments than one broadcast may hold.
+    ``points`` are finite; with a column ``core`` the weights are those of mutual reachability. No edge of
+    the tree above ``longest`` need be there. Also the numbers of fragments, pairs of fragments and distances.
     """
     scratch = Scratch(points.sparkSession, "planar")
-    block_rows = max(block_rows, -(-rows // MOST_BLOCKS))
+    # a block has CUTS + 1 fragments at most
+    block_rows = max(block_rows, -(-rows * (CUTS + 1) // MOST_FRAGMENTS))
+    core = F.col("core").cast("double") if "core" in points.columns else F.lit(0.0)
     plain = points.select(
-        F.col("id").cast("long").alias("id"), F.transform("features", lambda v: v.cast("double")).alias("features")
+        F.col("id").cast("long").alias("id"),
+        F.transform("features", lambda v: v.cast("double")).alias("features"),
+        core.alias("core"),
     )
     blocks = _in_blocks(scratch, plain, dim, rows, block_rows)
     local = scratch.store(
         _local_trees(blocks.df, metric),
         fragments=F.sum((F.col("kind") == "box").cast("long")),
     )
+    scratch.drop(blocks)
     count = local.metrics["fragments"] or 0
-    if count > MOST_FRAGMENTS:
-        return None
     trees = local.df.where("kind = 'edge'").select("src", "dst", "w")
     told = {"fragments": count, "pairs": 0, "distances": rows * block_rows}
     if count < 2:
         return trees, told
-    boxes = local.df.where("kind = 'box'").select("fragment", "w", "features", "low", "high")
+    boxes = local.df.where("kind = 'box'").select("fragment", "w", "features", "core", "low", "high")
     inner = local.df.where("kind = 'link'").select("src", "dst", "w")
     links = scratch.store(_links(boxes, inner, metric))
-    # one row per fragment, counted above
-    table = boxes.select("fragment", "w", "low", "high").toArrow()
-    fragments, longest = table.column("fragment").to_numpy(), table.column("w").to_numpy()
+    # one row per fragment, MOST_FRAGMENTS at most
+    table = boxes.select("fragment", "w", "core", "low", "high").toArrow().sort_by("fragment")
+    fragments, tallest = table.column("fragment").to_numpy(), table.column("w").to_numpy()
     low, high = (kernels.vectors(table.column(c)) for c in ("low", "high"))
-    order, gap = _bounds(fragments, longest, links.df.toArrow())
-    pairs = _near_pairs(scratch, fragments[order], gap, low[order], high[order], metric)
-    own = local.df.where("kind = 'point'").select("fragment", F.col("src").alias("id"), "features")
+    smallest = table.column("core").to_numpy()
+
+    def within_bounds(links: pa.Table, nearest: int | None = None) -> Stored:
+        order, gap = _bounds(fragments, tallest, links)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        gap = np.minimum(gap, longest)
+        return _near_pairs(scratch, fragments, low, high, smallest, place, gap, metric, nearest)
+
+    # groups that only a long link connects are linked again where they are near to each other
+    linked = links.df.toArrow()
+    again = within_bounds(linked, LINKS_AGAIN).df.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    shorter = scratch.store(_measured(again, boxes, metric))
+    pairs = within_bounds(pa.concat_tables([linked, shorter.df.toArrow().cast(linked.schema)]))
+    own = local.df.where("kind = 'point'").select("fragment", F.col("src").alias("id"), "features", "core")
     facing = scratch.store(_facing(own, boxes.select("fragment", "low", "high"), pairs.df, dim, metric))
     met = facing.df.groupBy("a", "b").agg(
         F.sum(F.col("second").cast("long")).alias("there"), F.count(F.lit(1)).alias("all")
     )
     there = F.col("there") * (F.col("all") - F.col("there"))
-    told |= {"pairs": pairs.rows, "distances": told["distances"] + (met.agg(F.sum(there)).first()[0] or 0)}
-
-    def run(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("id")
-        side = table.column("second").to_numpy(zero_copy_only=False)
-        if side.all() or not side.any():
-            return
-        x = kernels.vectors(table.column("features"))
-        src, dst, w = kernels.dense_forest(table.column("id").to_numpy(), x, side, metric)
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(w)], names=["src", "dst", "w"])
-
-    across = facing.df.groupBy("a", "b").applyInArrow(run, "src long, dst long, w double")
-    return scratch.store(trees.unionByName(across)).df, told
+    distances = met.agg(F.sum(there)).first()[0] or 0
+    told |= {"pairs": pairs.rows, "distances": told["distances"] + distances}
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    # fewer tasks squeeze more
+    parts = max(cores * 2, -(-facing.rows // HELD_EDGES))
+    return scratch.store(trees.unionByName(_across(facing.df, parts, metric))).df, told

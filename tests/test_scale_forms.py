@@ -146,3 +146,37 @@ def test_threshold_by_pivots(make, metric, part_rows):
         assert len(got) == len(set(got)) and set(got) == {tuple(r) for r in want.collect()}
         assert work["pairs"] < 0.6 * len(rows) ** 2
     assert pairs.eps_join(make.points(rows).limit(0), 1.0, metric, 6, pivot_rows=-1).count() == 0
+
+
+def test_near_boxes():
+    rng = np.random.default_rng(4)
+    n, metric = 700, "euclidean"
+    low = rng.random((n, 2))
+    low = low[np.lexsort((low[:, 1], np.floor(low[:, 0] * 8)))]
+    high, core = low + rng.random((n, 2)) * 0.02, rng.random(n) * 0.05
+    place, gap = rng.permutation(n), rng.random(n) * 0.1
+    runs, near = planar.near_boxes(low, high, core, place, gap, metric)
+    got = {(int(a), int(b)): w for r in range(runs) for a, b, w, _ in zip(*near(r))}
+    want = {}
+    for i in range(n):
+        away = np.maximum(planar.box_distance(low[i], high[i], low, high, metric), np.maximum(core, core[i]))
+        for j in range(i + 1, n):
+            bound = gap[min(place[i], place[j]) : max(place[i], place[j])].max()
+            if away[j] <= bound:
+                want[i, j] = bound
+    assert got == want and len(want) > n
+
+
+def test_planar_lines_and_many_fragments(make, monkeypatch):
+    """Points on lines far from each other: fragments meet few others, and there are never too many of them."""
+    rng = np.random.default_rng(8)
+    rows = [[float(x), 400.0 * (i % 5)] for i, x in enumerate(rng.integers(0, 1_000_000, 1200) / 100)]
+    rows += rows[:100]
+    done = forest.complete_forest(make.points(rows), planar_rows=0, line_rows=0, block_rows=16)
+    assert done.work["pairs"] <= 8 * done.work["fragments"]
+    want = plain_tree(dict(enumerate(rows)), "euclidean")
+    assert {tuple(r) for r in done.edges.collect()} == want
+    monkeypatch.setattr(planar, "MOST_FRAGMENTS", 64)
+    few = forest.complete_forest(make.points(rows), planar_rows=0, line_rows=0, block_rows=16)
+    assert 0 < few.work["fragments"] <= 64
+    assert {tuple(r) for r in few.edges.collect()} == want
