@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..lookup import DEFAULT_LIMITS, Limits, flags, lookup
 from ..scratch import Scratch
+from . import planar
 from .components import connected_components
-from .pairs import eps_join, finite, knn_symmetric
-
-# fixed value: neighbours (with itself) a point needs to be a core point by default
-DBSCAN_MIN_POINTS = 5
+from .cores import DBSCAN_MIN_POINTS, near_places
+from .forest import PLANAR_ROWS
+from .grid import GRID_METRICS
+from .pairs import dimension, eps_join, finite, knn_symmetric
 
 
 def _vectors(vertices: DataFrame) -> DataFrame:
@@ -56,6 +57,7 @@ def dbscan(
     min_points: int = DBSCAN_MIN_POINTS,
     metric: str = "euclidean",
     limits: Limits = DEFAULT_LIMITS,
+    planar_rows: int = PLANAR_ROWS,
 ) -> DataFrame:
     """(id, cluster): density clusters named by their smallest core id, noise is -1.
 
@@ -63,9 +65,16 @@ def dbscan(
     ``eps``; a border point joins the smallest cluster among its core
     neighbours. A point with an undefined or infinite coordinate is noise. Copies
     of a point are first folded into one weighted point, so a large group of
-    copies costs one row instead of all its pairs.
+    copies costs one row instead of all its pairs. Of more than ``planar_rows`` points in two or
+    three dimensions the pairs within ``eps`` aren't made either: core distances tell the core
+    points, their spanning tree what is connected.
     """
     scratch = Scratch(vertices.sparkSession, "dbscan")
+    total = vertices.count()
+    if total > planar_rows and metric in GRID_METRICS and min_points > 0 and eps > 0:
+        dim = dimension(finite(vertices))
+        if dim in planar.CURVE_BITS:
+            return _dbscan_planar(scratch, vertices, total, eps, min_points, metric, dim, limits)
     places = scratch.store(
         vertices.groupBy("features").agg(
             F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")
@@ -106,10 +115,49 @@ def dbscan(
         .join(comps.df.unionByName(border), "id", "left")
         .select("id", "features", F.coalesce("comp", F.lit(-1).cast("long")).alias("cluster"))
     )
-    total = vertices.count()
     if placed.rows == total:
         return placed.df.select("id", "cluster")
     by_place = placed.df.select(F.col("features").alias("id"), "cluster")
     points = vertices.select("id", "features")
     found = lookup(points, total, "features", by_place, placed.rows, {"cluster": "cluster"}, limits)
     return found.select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
+
+
+def _dbscan_planar(
+    scratch: Scratch,
+    vertices: DataFrame,
+    total: int,
+    eps: float,
+    min_points: int,
+    metric: str,
+    dim: int,
+    limits: Limits,
+) -> DataFrame:
+    """``dbscan`` without the pairs within ``eps``, whose number grows with the square of the points."""
+    cores, arcs = near_places(vertices, min_points, metric, limits, named=True)
+    places = scratch.store(cores)
+    core = scratch.store(places.df.where(F.col("core") <= eps).select("id", "features"))
+    links = core.df.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
+    if core.rows:
+        edges, _ = planar.planar_candidates(core.df, metric, dim, core.rows, longest=eps)
+        links = edges.where(F.col("w") <= eps).select("src", "dst")
+    comps = scratch.store(connected_components(links, core.df.select("id"), limits))
+    placed = comps.df
+    if arcs is not None:
+        # a place that isn't core has fewer others within eps than it has arcs
+        near = scratch.store(arcs.df.where(F.col("w") <= eps).join(core.df.select("id"), F.col("src") == F.col("id"), "left_anti"))
+        border = (
+            lookup(near.df.select("src", "dst"), near.rows, "dst", comps.df, comps.rows, {"comp": "comp"}, limits)
+            .where("comp is not null")
+            .groupBy(F.col("src").alias("id"))
+            .agg(F.min("comp").alias("comp"))
+        )
+        placed = placed.unionByName(border)
+    by_place = scratch.store(
+        places.df.select("id", F.col("features").alias("_at")).join(placed, "id").select(F.col("_at").alias("id"), F.col("comp").alias("cluster"))
+    )
+    points = vertices.select(
+        "id", F.transform("features", lambda x: x.cast("double")).alias("_at")
+    )
+    found = lookup(points, total, "_at", by_place.df, by_place.rows, {"cluster": "cluster"}, limits)
+    return found.select("id", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))

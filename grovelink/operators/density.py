@@ -13,15 +13,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lookup import DEFAULT_LIMITS, Limits, lookup
 from ..scratch import Scratch, Stored
-from .compare import DBSCAN_MIN_POINTS
+from . import planar
 from .components import connected_components
-from .forest import minimum_spanning_forest
-from .pairs import eps_join, finite, knn
+from .cores import DBSCAN_MIN_POINTS, core_distances
+from .forest import PLANAR_ROWS, minimum_spanning_forest
+from .grid import GRID_METRICS
+from .pairs import dimension, eps_join
 
 
 @dataclass
@@ -40,53 +42,28 @@ class DensityHierarchy:
     labels: DataFrame
 
 
-def core_distances(
-    vertices: DataFrame,
-    min_points: int = DBSCAN_MIN_POINTS,
-    metric: str = "euclidean",
-    limits: Limits = DEFAULT_LIMITS,
-) -> DataFrame:
-    """(id, features, weight, core) per distinct point, named by its smallest id.
-
-    ``core`` is the smallest radius that holds ``min_points`` points, itself and copies included;
-    NULL if there are too few. Points with an undefined or infinite coordinate are left out.
-    """
-    if min_points < 1:
-        raise ValueError("min_points must be positive")
-    scratch = Scratch(vertices.sparkSession, "cores")
-    points = finite(vertices).select(
-        F.col("id").cast("long").alias("id"), F.transform("features", lambda x: x.cast("double")).alias("features")
-    )
-    places = scratch.store(
-        points.groupBy("features").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
-    )
-    enough = F.col("weight") >= min_points
-    if min_points == 1 or not places.rows:
-        return places.df.select("id", "features", "weight", F.when(enough, F.lit(0.0)).alias("core"))
-    # each neighbour weighs one point at least, so so many places are enough
-    near = scratch.store(knn(places.df.select("id", "features"), min_points - 1, metric))
-    told = lookup(near.df, near.rows, "dst", places.df, places.rows, {"weight": "n"}, limits)
-    order = Window.partitionBy("src").orderBy("w", "dst").rowsBetween(Window.unboundedPreceding, 0)
-    counted = told.select(F.col("src").alias("id"), "w", F.sum("n").over(order).alias("_met"))
-    reached = counted.join(places.df.select("id", "weight"), "id").groupBy("id").agg(
-        F.min(F.when(F.col("weight") + F.col("_met") >= min_points, F.col("w"))).alias("_core")
-    )
-    return places.df.join(reached, "id", "left").select(
-        "id", "features", "weight", F.when(enough, F.lit(0.0)).otherwise(F.col("_core")).alias("core")
-    )
-
-
 def reachability_forest(
     vertices: DataFrame,
     max_eps: float,
     min_points: int = DBSCAN_MIN_POINTS,
     metric: str = "euclidean",
     limits: Limits = DEFAULT_LIMITS,
+    planar_rows: int = PLANAR_ROWS,
 ) -> Reachability:
-    """Minimum spanning forest of the mutual reachability graph, as far as ``max_eps``."""
+    """Minimum spanning forest of the mutual reachability graph, as far as ``max_eps``.
+
+    Of more than ``planar_rows`` core points in two or three dimensions only those meet that can be
+    neighbours in it (``planar``), however many are within ``max_eps`` of each other.
+    """
     scratch = Scratch(vertices.sparkSession, "reachability")
     places = scratch.store(core_distances(vertices, min_points, metric, limits))
     cores = places.df.where(F.col("core") <= max_eps)
+    rows = cores.count()
+    dim = dimension(cores) if metric in GRID_METRICS and rows > planar_rows else 0
+    if dim in planar.CURVE_BITS:
+        edges, _ = planar.planar_candidates(cores.where("id is not null"), metric, dim, rows, longest=max_eps)
+        tree = minimum_spanning_forest(edges.where(F.col("w") <= max_eps), limits=limits, canonical=True)
+        return Reachability(places, scratch.store(tree.edges))
     near = scratch.store(eps_join(cores.select("id", "features"), max_eps, metric))
     links = near.df
     for end in ("src", "dst"):
@@ -113,6 +90,7 @@ def density_hierarchy(
     min_size: int = DBSCAN_MIN_POINTS,
     metric: str = "euclidean",
     limits: Limits = DEFAULT_LIMITS,
+    planar_rows: int = PLANAR_ROWS,
 ) -> DensityHierarchy:
     """Clusters of core points at each radius of ``levels``, and the best branches as labels.
 
@@ -128,7 +106,7 @@ def density_hierarchy(
         raise ValueError("levels must be positive and ascending")
     spark = vertices.sparkSession
     scratch = Scratch(spark, "density")
-    reach = reachability_forest(vertices, radii[-1], min_points, metric, limits)
+    reach = reachability_forest(vertices, radii[-1], min_points, metric, limits, planar_rows)
     gaps = [1 / a - 1 / b for a, b in zip(radii, radii[1:])] + [1 / radii[-1]]
     members: list[Stored] = []
     found: list[Stored] = []

@@ -106,3 +106,21 @@ def test_undefined_points_few_points_and_no_points(spark, make):
     assert empty.clusters.count() == 0 and empty.labels.count() == 0
     with pytest.raises(ValueError):
         density.density_hierarchy(vertices, [2.0, 1.0])
+
+
+def test_planar_form_makes_no_pairs(spark, make, monkeypatch):
+    """Core points of large tables meet by fragments; no row per pair within the radius."""
+    dim = 2
+    rows = random_points(300, dim, 6, step=0.25) + [[40.0 + v for v in p] for p in random_points(150, dim, 7, step=0.5)]
+    vertices = make.points(rows + rows[:40] + [[float("nan")] * dim])
+    plain = density.reachability_forest(vertices, 6.0, 4)
+    levels = density.density_hierarchy(vertices, [0.5, 1.0, 6.0], 4, 5)
+    want = [set(map(tuple, f.collect())) for f in (plain.forest.df, levels.clusters, levels.labels)]
+    noise = set(map(tuple, compare.dbscan(vertices, 0.8, 5).collect()))
+    monkeypatch.setattr(density, "eps_join", None)
+    monkeypatch.setattr(compare, "eps_join", None)
+    planar = density.reachability_forest(vertices, 6.0, 4, planar_rows=0)
+    levels = density.density_hierarchy(vertices, [0.5, 1.0, 6.0], 4, 5, planar_rows=0)
+    assert [set(map(tuple, f.collect())) for f in (planar.forest.df, levels.clusters, levels.labels)] == want
+    assert set(map(tuple, compare.dbscan(vertices, 0.8, 5, planar_rows=0).collect())) == noise
+    assert len({c for _, c in noise}) > 2
