@@ -4,29 +4,41 @@ The draw of a pair is a hash of the seed and its two ids, so a task that holds t
 points makes the weights of all their pairs, for every run, and gives only what can matter
 later: the spanning forest of the block pair, or the k lightest arcs of each vertex.
 Values are those of ``perturb_weights`` and ``bucketize`` on the rows of ``all_pairs``.
+
+A draw moves a weight by a bounded share of itself, so distances tell which pairs can matter: in few
+dimensions the heaviest pair is looked for among far points only (``max_perturbed_weight``), and the
+k lightest arcs of a vertex within a radius of its own (``perturbed_nearest``).
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from hashlib import md5
 from typing import Tuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import TWO_32
-from ..functions.weights import PERTURB_SCALE
-from . import kernels
-from .pairs import _block_pairs, _pair_index, _read_group, eps_join, finite
+from ..functions.weights import PERTURB_SCALE, bucket_number
+from ..scratch import Scratch
+from . import grid, kernels
+from .pairs import _block_pairs, _pair_index, _read_group, dimension, eps_join, finite, knn
 
 # a block pair has at most the square of it in pairs, whose weights a task holds at once
 BLOCK_ROWS = 512
 CHUNK_PAIRS = 200_000  # pairs a task reads before it draws and squeezes them
 HELD_EDGES = 4_000_000  # edges of all runs that a task holds
 ROUNDING = 1e-9
+FAR_ROWS = 4096  # points whose pairs are measured without looking at boxes first
+FAR_CELLS = 2048  # boxes of points that the driver compares
+FAR_DEPTH = {1: 10, 2: 5, 3: 3}  # by dimension: an axis is first cut into 2 ** that many cells
+FAR_DRAWS = 50_000  # pairs whose draws give a first bound
+FINEST = 45  # no cell is smaller than 2 ** -that of the largest coordinate
 
 
 def draws(seed, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,21 +99,201 @@ def _pairs_of(key, batches, metric):
     return np.minimum(u, v), np.maximum(u, v), d[i, j]
 
 
+def _heaviest(w: np.ndarray, lo: np.ndarray, hi: np.ndarray, gamma: float, seed, top: float) -> float:
+    """The largest perturbed weight, ``top`` if none is larger; only weights that can be are drawn."""
+    if len(w) > FAR_DRAWS:
+        far = np.argpartition(w, len(w) - FAR_DRAWS)[-FAR_DRAWS:]
+        top = np.maximum(top, perturbed(w[far], lo[far], hi[far], gamma, seed).max())
+        may = np.flatnonzero(w * _most(gamma) >= top)
+        w, lo, hi = w[may], lo[may], hi[may]
+    return float(np.maximum(top, perturbed(w, lo, hi, gamma, seed).max(initial=0.0)))
+
+
+def _most(gamma: float) -> float:
+    """How many times a distance its perturbed weight can be at most."""
+    return PERTURB_SCALE * (1.0 + abs(gamma)) * (1.0 + ROUNDING)
+
+
+def _far_points(
+    points: DataFrame, gamma: float, seed, metric: str, few: int = FAR_ROWS
+) -> tuple[DataFrame, float]:
+    """The points that can be in the heaviest perturbed pair, and a weight that some pair has.
+
+    Points are put into cells; the driver compares the boxes of at most FAR_CELLS of them. A cell stays if
+    its points can be so far from those of some cell that a draw lifts them above a weight already
+    seen, and is cut into smaller ones.
+    """
+    dim = dimension(points)
+    if metric not in grid.GRID_METRICS or dim not in FAR_DEPTH:
+        return points, 0.0
+    spark = points.sparkSession
+    scratch = Scratch(spark, "far")
+    xs, cells = grid._axes(dim)
+    live = scratch.store(
+        grid._coordinates(points, dim),
+        **{f"min_{x}": F.min(x) for x in xs},
+        **{f"max_{x}": F.max(x) for x in xs},
+    )
+    ends = live.metrics
+    extent = max(ends[f"max_{x}"] - ends[f"min_{x}"] for x in xs) if live.rows else 0.0
+    top, depth = 0.0, FAR_DEPTH[dim]
+    while live.rows > few and 0.0 < extent < float("inf") and depth <= FINEST:
+        side = extent / 2.0**depth
+        placed = live.df.select(
+            "*", *[F.floor((F.col(x) - ends[f"min_{x}"]) / side).cast("long").alias(c) for x, c in zip(xs, cells)]
+        )
+        boxes = placed.groupBy(*cells).agg(
+            *[F.min(x).alias(f"lo_{x}") for x in xs],
+            *[F.max(x).alias(f"hi_{x}") for x in xs],
+            F.min(F.struct("id", *xs)).alias("one"),
+        )
+        table = boxes.select(*cells, *[f"{e}_{x}" for x in xs for e in ("lo", "hi")], "one.*").toArrow()
+        column = {name: table.column(name).to_numpy() for name in table.column_names}
+        span = np.stack(
+            [
+                np.maximum(u := column[f"hi_{x}"][:, None] - column[f"lo_{x}"][None, :], u.T)
+                for x in xs
+            ]
+        )
+        most = np.sqrt((span * span).sum(axis=0)) if metric == "euclidean" else span.sum(axis=0)
+        one = np.stack([column[x] for x in xs], axis=1)
+        i, j = np.triu_indices(len(one), 1)
+        d, u, v = kernels.block_distances(one, one, metric)[i, j], column["id"][i], column["id"][j]
+        far = np.flatnonzero(u != v)
+        if len(far) > FAR_DRAWS:
+            far = far[np.argpartition(d[far], len(far) - FAR_DRAWS)[-FAR_DRAWS:]]
+        top = max(top, perturbed(d[far], np.minimum(u, v)[far], np.maximum(u, v)[far], gamma, seed).max(initial=0.0))
+        stays = (most * _most(gamma) >= top).any(axis=1)
+        if not stays.all():
+            rows = list(zip(*[column[c][stays].tolist() for c in cells]))
+            kept = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in cells))
+            done, live = live, scratch.store(placed.join(F.broadcast(kept), cells).select("id", *xs))
+            scratch.drop(done)
+        if int(stays.sum()) << dim > FAR_CELLS:
+            break
+        depth += 1
+    return live.df.select("id", F.array(*xs).alias("features")), float(top)
+
+
 def max_perturbed_weight(
-    vertices: DataFrame, gamma: float, seed, metric: str = "euclidean", block_rows: int = BLOCK_ROWS
+    vertices: DataFrame, gamma: float, seed, metric: str = "euclidean", block_rows: int = FAR_ROWS
 ) -> float:
     """The largest perturbed weight of the complete graph, 0 without pairs."""
+    points, floor = _far_points(finite(vertices), gamma, seed, metric)
 
     def run(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _pairs_of(key, batches, metric)
-        if found is not None and len(found[2]):
-            lo, hi, w = found
-            top = perturbed(w, lo, hi, gamma, seed).max()
-            yield pa.RecordBatch.from_arrays([pa.array([float(top)])], names=["w"])
-
-    tops = _block_pairs(finite(vertices), block_rows).applyInArrow(run, "w double")
+        lo, hi = _pair_index(key[0].as_py())
+        blocks, _ = _read_group(batches)
+        if lo != hi and len(blocks) < 2:
+            return
+        (ids_a, xa), (ids_b, xb) = blocks[0], blocks[-1]
+        top = floor
+        for rows in kernels.row_chunks(len(ids_a), len(ids_b)):
+            d = kernels.block_distances(xa[rows], xb, metric)
+            far = d * _most(gamma) >= top  # not true of undefined ones
+            if lo == hi:
+                far &= ids_a[rows, None] < ids_b[None, :]
+            i, j = np.nonzero(far)
+            u, v = ids_a[rows][i], ids_b[j]
+            top = _heaviest(d[i, j], np.minimum(u, v), np.maximum(u, v), gamma, seed, top)
+        yield pa.RecordBatch.from_arrays([pa.array([float(top)])], names=["w"])
+
+    tops = _block_pairs(points, block_rows).applyInArrow(run, "w double")
     value = tops.agg(F.max("w")).first()[0]
-    return 0.0 if value is None else float(value)
+    return floor if value is None else float(value)
+
+
+def _reach(worst: Column, gamma: float, bounds: list[tuple[float, float]] | None) -> Column:
+    """How far a pair can be whose weight is in no later bucket than that of the distance ``worst``."""
+    heavy = worst * _most(gamma)
+    if bounds is not None:
+        upper = F.array(*[F.lit(float(hi)) for _, hi in bounds])
+        inside = F.get(upper, bucket_number(heavy, bounds) - 1)
+        heavy = F.greatest(heavy, F.coalesce(inside, F.lit(float(bounds[-1][1]))))
+    return heavy / (PERTURB_SCALE * (1.0 - gamma)) * (1.0 + ROUNDING)
+
+
+def perturbed_nearest(
+    vertices: DataFrame,
+    gamma: float,
+    seed,
+    k: int,
+    bounds: list[tuple[float, float]] | None = None,
+    tie_seed=None,
+    metric: str = "euclidean",
+    cell_rows: int = grid.CELL_ROWS,
+) -> DataFrame | None:
+    """arcs that contain the k lightest of every vertex of the perturbed complete graph.
+
+    The k nearest of a vertex are perturbed to at most (1 + gamma) times the distance of the last, so
+    no arc beyond the bucket of that weight is among the k lightest, and a pair that is (1 - gamma) times
+    less than farther than the bucket's end stays beyond it. Each vertex meets the points within that
+    radius, in cells as large as the radius is, by powers of two. ``bounds`` have to contain all weights. None where
+    this form can't tell: other metrics, more than three dimensions, or vertices with fewer than k arcs.
+    """
+    points = finite(vertices).where("id is not null")
+    dim = dimension(points)
+    if metric not in grid.GRID_METRICS or not 0 < dim <= grid.GRID_DIMENSIONS or not 0.0 <= gamma < 1.0:
+        return None
+    spark = points.sparkSession
+    scratch = Scratch(spark, "perturbed-nearest")
+    xs, axes = grid._axes(dim)
+    largest = F.max(F.greatest(F.lit(0.0), *[F.abs(x) for x in xs]))
+    own = scratch.store(grid._coordinates(points, dim), largest=largest)
+    nearest = knn(points, k, metric, grid_rows=0).groupBy("src").agg(F.max("w").alias("worst"), F.count("*").alias("n"))
+    big = own.metrics["largest"]
+    finest = math.ceil(math.log2(big)) - FINEST if big else 0
+    asked = scratch.store(
+        own.df.join(nearest, F.col("id") == F.col("src"), "left")
+        .select("id", *xs, _reach(F.col("worst"), gamma, bounds).alias("reach"), "n")
+        .withColumn("lv", F.greatest(F.ceil(F.log2("reach")), F.lit(finest)).cast("long")),
+        few=F.sum((F.coalesce("n", F.lit(0)) < k).cast("long")),
+    )
+    if asked.metrics["few"]:
+        return None
+    # at most one level per power of two
+    levels = [(r["lv"], 2.0 ** r["lv"]) for r in asked.df.select("lv").distinct().collect()]
+    sides = F.broadcast(spark.createDataFrame(levels, "lv long, side double"))
+
+    def celled(df: DataFrame) -> DataFrame:
+        return df.select("*", *[F.floor(F.col(x) / F.col("side")).cast("long").alias(c) for x, c in zip(xs, axes)]).drop("side")
+
+    cells = ["lv", *axes]
+    located = celled(own.df.crossJoin(sides))
+    crowded = grid._crowded(located, own.rows * len(levels), cells, cell_rows)
+    around = [(0, *o) for o in itertools.product((-1, 0, 1), repeat=dim)]
+    asking = grid._looking(celled(asked.df.drop("n").join(sides, "lv")), crowded, cells, around)
+    keys = [*cells, "_salt"]
+    near = (
+        grid._renamed(asking, keys, "a", xs, "reach")
+        .join(grid._renamed(grid._dealt(located, crowded, cells), keys, "b", xs), keys)
+        .where(F.col("a") != F.col("b"))
+        .select(F.col("a").alias("src"), F.col("b").alias("dst"), grid._pair_distance(xs, metric).alias("w"), "reach")
+        .where(F.col("w") <= F.col("reach"))
+        .select("src", "dst", "w")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+
+        def lightest():
+            src, dst, w = (np.concatenate([c[i] for c in waiting]) for i in range(3))
+            w = perturbed(w, np.minimum(src, dst), np.maximum(src, dst), gamma, seed)
+            if bounds is not None:
+                w = numbered(w, bounds)
+            take = _lightest(src, dst, w, k, tie_seed)
+            return pa.RecordBatch.from_arrays([pa.array(c[take]) for c in (src, dst, w)], names=["src", "dst", "w"])
+
+        for batch in batches:
+            waiting.append([batch.column(i).to_numpy() for i in range(3)])
+            held += batch.num_rows
+            if held >= CHUNK_PAIRS:
+                yield lightest()
+                waiting, held = [], 0
+        if held:
+            yield lightest()
+
+    return near.mapInArrow(run, "src long, dst long, w double")
 
 
 def perturbed_graph(

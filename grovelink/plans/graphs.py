@@ -19,12 +19,14 @@ from ..operators.pairs import (
     knn,
     limit_edges,
 )
-from ..operators.perturbed import max_perturbed_weight, perturbed_forests, perturbed_graph
+from ..operators.perturbed import max_perturbed_weight, perturbed_forests, perturbed_graph, perturbed_nearest
 from ..operators.stats import graph_summary, run_differences
 from ..schema import assign_ids, edges_to_arcs
 from ..scratch import Scratch
 from ..sources.readers import read_feature_table
 
+NEAR_ROWS = 5_000  # more points are not perturbed in all pairs if nearer ones do
+
 
 def build_graph(
     spark: SparkSession,
@@ -74,6 +76,7 @@ def cluster_points(
     seed: int | str = 0,
     limits: Limits = DEFAULT_LIMITS,
     planar_rows: int = PLANAR_ROWS,
+    near_rows: int = NEAR_ROWS,
 ) -> Hierarchy:
     """Points -> arcs -> linkage rounds.
 
@@ -84,7 +87,8 @@ def cluster_points(
     ``planar_rows`` points by the forest itself.
     With ``buckets``: all pairs, weights perturbed by ``gamma`` (and put into
     geometric buckets when ``beta`` is given), then the k lightest arcs with
-    equal weights in random order. The perturbed pairs are made and cut down inside tasks.
+    equal weights in random order. The perturbed pairs are made and cut down inside tasks; of more than
+    ``near_rows`` points in up to three dimensions only those that can be among the k lightest.
     """
     n = vertices.count()
     whole = k is None or k >= n - 1
@@ -100,7 +104,11 @@ def cluster_points(
     bounds = None
     if beta is not None:
         bounds = bucket_bounds(max_perturbed_weight(vertices, gamma, seed), beta, alpha, seed)
-    graph = perturbed_graph(vertices, gamma, [seed], None if whole else k, bounds, tie_seed=seed)
+    graph = None
+    if not whole and n > near_rows:
+        graph = perturbed_nearest(vertices, gamma, seed, k, bounds, tie_seed=seed)
+    if graph is None:
+        graph = perturbed_graph(vertices, gamma, [seed], None if whole else k, bounds, tie_seed=seed)
     arcs = graph.select("src", "dst", "w")
     arcs = edges_to_arcs(arcs) if whole else k_nearest_per_vertex(arcs, k, tie_seed=seed)
     return agglomerate(arcs, vertices, num_clusters, limits=limits)

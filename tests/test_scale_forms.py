@@ -98,6 +98,59 @@ def test_perturbed_graph(spark, make, beta, k):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
 
+def uneven(dim, seed):
+    """Clusters of different density, copies, a lattice with ties and outliers."""
+    rng = np.random.default_rng(seed)
+    blobs = [rng.normal(size=(n, dim)) * s + c for n, s, c in ((40, 1.0, 0), (30, 0.001, 30), (10, 40.0, -60))]
+    x = np.concatenate([*blobs, rng.integers(0, 3, (30, dim)) + 100.0, np.full((7, dim), 5.0), [[1e5] * dim]])
+    return x[rng.permutation(len(x))].tolist()
+
+
+@pytest.mark.parametrize(
+    "metric, dim, beta", [("manhattan", 1, 0.2), ("euclidean", 2, None), ("euclidean", 2, 0.2), ("euclidean", 3, 0.2)]
+)
+def test_perturbed_nearest(make, metric, dim, beta):
+    own = uneven(dim, dim)
+    table = make.points(own + [[float("nan")] * dim])
+    rows = perturb_weights(pairs.all_pairs(make.points(own), metric), 0.05, 9)
+    top, bounds = max_weight(rows), None
+    assert perturbed.max_perturbed_weight(table, 0.05, 9, metric) == top
+    if beta is not None:
+        bounds = bucket_bounds(top, beta, 0.1, 9)
+        rows = bucketize(rows, bounds)
+    got = perturbed.perturbed_nearest(table.where("not isnan(features[0])"), 0.05, 9, 4, bounds, "t", metric, cell_rows=20)
+    want = pairs.k_nearest_per_vertex(edges_to_arcs(rows), 4, tie_seed="t")
+    got = pairs.k_nearest_per_vertex(got, 4, tie_seed="t")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_perturbed_nearest_leaves_other_cases(make):
+    table = make.points(uneven(2, 1) + [[float("nan")] * 2])
+    assert perturbed.perturbed_nearest(table, 0.05, 9, 4, metric="cosine") is None
+    assert perturbed.perturbed_nearest(table, 1.0, 9, 4) is None
+    assert perturbed.perturbed_nearest(make.points([[0.0], [1.0]]), 0.05, 9, 4) is None
+
+
+@pytest.mark.parametrize("dim", [1, 2])
+def test_heaviest_pair_is_among_far_points(make, dim):
+    rng = np.random.default_rng(dim)
+    own = np.concatenate([rng.random((600, dim)), np.ones((20, dim)), np.zeros((20, dim))])
+    table = make.points(own.tolist())
+    far, top = perturbed._far_points(table, 0.05, 9, "euclidean", few=8)
+    assert far.count() < 200
+    want = max_weight(perturb_weights(pairs.all_pairs(table), 0.05, 9))
+    assert top <= want == max_weight(perturb_weights(pairs.all_pairs(far), 0.05, 9))
+
+
+def test_large_perturbed_graphs_make_no_block_pairs(make, monkeypatch):
+    table = make.points(uneven(2, 7))
+    options = dict(k=4, buckets=True, gamma=0.05, beta=0.2, alpha=0.1, seed=9)
+    want = {tuple(r) for r in graphs.cluster_points(table, **options).final_labels().collect()}
+    monkeypatch.setattr(graphs, "perturbed_graph", None)
+    got = graphs.cluster_points(table, **options, near_rows=0).final_labels()
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_stability_without_pairs(make, spark):
     one = make.points([[0.0], [1.0]])
     assert graphs.stability_runs(one.limit(0), runs=2).count() == 0
