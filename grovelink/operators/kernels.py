@@ -187,7 +187,8 @@ def near_pairs(
             if some.shape[1] > k:
                 kth = np.partition(some, k - 1, axis=1)[:, k - 1]
                 limit = np.fmin(limit, kth + slack)
-        i, j = np.nonzero(d <= (limit + slack)[:, None])
+        # far faster than nonzero in two dimensions
+        i, j = np.divmod(np.flatnonzero(d <= (limit + slack)[:, None]), d.shape[1])
         i += rows.start
         w = pair_distances(*columns, i, j, metric)
         if k is None:
