@@ -686,10 +686,10 @@ def q_minibatch_kmeans(spark, sf):
 
 
 def q_spectral_lanczos(spark, sf):
-    """Clusters of the embedding that one restart gives; the directions have no structure to wait for."""
+    """k-means on the vectors of the three smallest eigenvalues of the neighbour graph's Laplacian."""
     v = embeddings(spark, sf)
     graph = pairs.knn_symmetric(v, 10)
-    return compare.kmeans(spectral.spectral_embedding(graph, v, 3, restarts=1).vectors, 3)
+    return compare.kmeans(spectral.spectral_embedding(graph, v, 3).vectors, 3)
 
 
 def _linkage(method: str) -> Query:

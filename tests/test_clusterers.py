@@ -7,7 +7,8 @@ import pytest
 
 from grovelink.lookup import SHUFFLE_ONLY
 from grovelink.operators import linkage, minibatch, spectral
-from grovelink.plans import graphs
+from grovelink.operators.pairs import knn_symmetric
+from grovelink.plans import catalog, graphs
 from grovelink.schema import edges_to_arcs
 
 
@@ -53,6 +54,38 @@ def test_embedding_tells_components_and_lone_vertices(spark, make):
     assert spectral.spectral_embedding(arcs, make.ids([]), 2).values == []
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_embedding_waits_for_slow_vectors(spark, make, shuffled):
+    # a ring with few chords: many restarts, eigenvalues close to each other
+    rng = np.random.default_rng(8)
+    pairs = {(i, i + 1) for i in range(159)} | {(0, 159)}
+    pairs |= {(min(a, b), max(a, b)) for a, b in rng.integers(0, 160, (12, 2)).tolist() if a != b}
+    edges = [(a, b, 1.0) for a, b in sorted(pairs)]
+    matrix, degree = laplacian(160, edges)
+    options = {"limits": SHUFFLE_ONLY} if shuffled else {}
+    found = spectral.spectral_embedding(edges_to_arcs(make.edges(edges)), make.ids(range(160)), 3, **options)
+    assert np.allclose(found.values, np.linalg.eigvalsh(matrix)[:3], atol=1e-8) and max(found.residuals) <= 1e-6
+    rows = sorted((r["id"], r["features"]) for r in found.vectors.collect())
+    vectors = np.array([r[1] for r in rows]) * np.sqrt(degree)[:, None]
+    assert np.abs(matrix @ vectors - vectors * np.array(found.values)).max() < 2e-6
+
+
+def test_the_query_clusters_eigenvectors(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, x, 0) for i, x in enumerate(rng.normal(size=(300, 12)).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen = []
+    monkeypatch.setattr(catalog.compare, "kmeans", lambda vectors, k: seen.append(vectors) or vectors)
+    catalog.QUERIES["spectral_lanczos"](spark, str(tmp_path))
+    arcs = knn_symmetric(catalog.embeddings(spark, str(tmp_path)), 10).collect()
+    matrix, degree = laplacian(300, [tuple(r) for r in arcs])
+    found = sorted((r["id"], r["features"]) for r in seen[0].collect())
+    vectors = np.array([r[1] for r in found]) * np.sqrt(degree)[:, None]
+    values = np.linalg.eigvalsh(matrix)[:3]
+    assert np.abs(matrix @ vectors - vectors * values).max() < 2e-6
+
+
 def test_spectral_clusters_tell_groups_apart(spark, make):
     rng = np.random.default_rng(5)
     points = np.vstack([rng.normal(c, 0.3, (30, 2)) for c in ((0, 0), (5, 0), (0, 5))])
