@@ -7,7 +7,8 @@ Values are those of ``perturb_weights`` and ``bucketize`` on the rows of ``all_p
 
 A draw moves a weight by a bounded share of itself, so distances tell which pairs can matter: in few
 dimensions the heaviest pair is looked for among far points only (``max_perturbed_weight``), and the
-k lightest arcs of a vertex within a radius of its own (``perturbed_nearest``).
+k lightest arcs of a vertex within a radius of its own (``perturbed_nearest``); spanning forests need the
+pairs that the plain forest doesn't connect by much shorter steps (``perturbed_forests``).
 """
 
 from __future__ import annotations
@@ -25,10 +26,17 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import TWO_32
 from ..functions.weights import PERTURB_SCALE, bucket_number
-from ..scratch import Scratch
+from ..lookup import DEFAULT_LIMITS, Limits, lookup
+from ..scratch import Scratch, Stored
 from . import grid, kernels
-from .pairs import _block_pairs, _pair_index, _read_group, dimension, eps_join, finite, knn
-
+from .components import connected_components
+from .pairs import MAX_TASKS, _block_pairs, _pair_index, _read_group, dimension, eps_join, finite, knn
+
+FEW_DRAWS = 64
+HASHED_AT_ONCE = 8192
+HEAD_BYTES = 15  # with two numbers and a bar, what is hashed fits into one block of md5
+MD5_ADDED = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+MD5_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
 # a block pair has at most the square of it in pairs, whose weights a task holds at once
 BLOCK_ROWS = 512
 CHUNK_PAIRS = 200_000  # pairs a task reads before it draws and squeezes them
@@ -38,16 +46,71 @@ FAR_ROWS = 4096  # points whose pairs are measured without looking at boxes firs
 FAR_CELLS = 2048  # boxes of points that the driver compares
 FAR_DEPTH = {1: 10, 2: 5, 3: 3}  # by dimension: an axis is first cut into 2 ** that many cells
 FAR_DRAWS = 50_000  # pairs whose draws give a first bound
+LEVELS = (0.7, 0.4, 0.1, 0.025, 0.006)  # shares of the longest edge, whose clusters bound what pairs are drawn
+FINE_LEVELS = tuple(0.97**i for i in range(1, 48)) + LEVELS[2:]  # of a tree that one task holds
+TASK_ROWS = 2000  # places for which a task draws pairs
+HASHED = 8  # lists that the copies of a place are dealt to
+LISTED = 512  # copies in a list
+BOUND_COPIES = 32  # copies of a place whose pairs are drawn for a first bound
 FINEST = 45  # no cell is smaller than 2 ** -that of the largest coordinate
 
 
 def draws(seed, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The uniform numbers of ``hashed_uniform(seed, a, b)``."""
     head = f"{seed}|"
-    raw = b"".join(
-        [md5(f"{head}{x}|{y}".encode()).digest()[:4] for x, y in zip(a.tolist(), b.tolist())]
-    )
-    return np.frombuffer(raw, dtype=">u4") / TWO_32
+    a, b = np.asarray(a), np.asarray(b)
+    if len(a) < FEW_DRAWS or a.dtype.kind != "i" or b.dtype.kind != "i" or len(head.encode()) > HEAD_BYTES or min(a.min(), b.min()) < 0:
+        raw = b"".join(
+            [md5(f"{head}{x}|{y}".encode()).digest()[:4] for x, y in zip(a.tolist(), b.tolist())]
+        )
+        return np.frombuffer(raw, dtype=">u4") / TWO_32
+    out = np.empty(len(a), dtype=np.uint32)
+    powers = 10 ** np.arange(1, 19, dtype=np.int64)
+    kind = np.searchsorted(powers, a, "right") * 32 + np.searchsorted(powers, b, "right")
+    for one in np.unique(kind):
+        at = np.flatnonzero(kind == one)
+        for start in range(0, len(at), HASHED_AT_ONCE):
+            some = at[start : start + HASHED_AT_ONCE]
+            out[some] = _md5_heads(head.encode(), a[some], one // 32 + 1, b[some], one % 32 + 1)
+    return out.byteswap() / TWO_32
+
+
+def _md5_heads(head: bytes, a: np.ndarray, digits_a: int, b: np.ndarray, digits_b: int) -> np.ndarray:
+    """First words of the md5 of ``head``, a, a bar, b, for numbers of so many digits."""
+    words = np.zeros((16, len(a)), dtype=np.uint32)
+    for i, byte in enumerate(head):
+        words[i // 4] |= np.uint32(byte << 8 * (i % 4))
+    end = len(head)
+    for x, digits, after in ((a, digits_a, ord("|")), (b, digits_b, 0x80)):
+        for i in range(end + digits - 1, end - 1, -1):
+            rest = x // 10
+            words[i // 4] |= (x - rest * 10 + ord("0")).astype(np.uint32) << np.uint32(8 * (i % 4))
+            x = rest
+        end += digits + 1
+        words[(end - 1) // 4] |= np.uint32(after << 8 * ((end - 1) % 4))
+    words[14] = (end - 1) * 8
+    used = {*range((end + 3) // 4), 14}
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    p, q, r, s = (np.full(len(a), x, np.uint32) for x in start)
+    for i in range(64):
+        if i < 16:
+            mix, g = s ^ (q & (r ^ s)), i
+        elif i < 32:
+            mix, g = r ^ (s & (q ^ r)), (5 * i + 1) % 16
+        elif i < 48:
+            mix, g = q ^ r ^ s, (3 * i + 5) % 16
+        else:
+            mix, g = r ^ (q | ~s), 7 * i % 16
+        mix += p
+        mix += MD5_ADDED[i]
+        if g in used:
+            mix += words[g]
+        turn = MD5_TURNS[i // 16][i % 4]
+        turned = mix << np.uint32(turn)
+        turned |= mix >> np.uint32(32 - turn)
+        turned += q
+        p, q, r, s = s, turned, q, r
+    return p + start[0]
 
 
 def perturbed(w: np.ndarray, lo: np.ndarray, hi: np.ndarray, gamma: float, seed) -> np.ndarray:
@@ -339,21 +402,175 @@ def perturbed_graph(
     return blocks.applyInArrow(run, "run int, src long, dst long, w double")
 
 
+def _bounded_tree(
+    scratch: Scratch, places: DataFrame, rows: int, tree: DataFrame, gamma: float, seeds: list, limits: Limits
+) -> Stored:
+    """(src, dst, most): the edges of ``tree`` between places; no run needs more than ``most`` to step from one to the other.
+
+    Any pair of their copies is such a step, so it is the lightest of a few pairs, in the run where that is heaviest.
+    """
+    links = scratch.store(tree.where("w > 0").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "w"))
+    told = links.df
+    for end in ("src", "dst"):
+        told = lookup(told, links.rows, end, places, rows, {"some": f"{end}_some"}, limits)
+    lists = [F.coalesce(f"{end}_some", F.array(end)).alias(f"{end}_some") for end in ("src", "dst")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = np.zeros(batch.num_rows)
+            for at, lo, hi, w, first in _expanded(batch.column(3), batch.column(4), batch.column(2).to_numpy()):
+                for seed in seeds:
+                    lightest = np.minimum.reduceat(perturbed(w, lo, hi, gamma, seed), first)
+                    most[at] = np.maximum(most[at], lightest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(most / PERTURB_SCALE)], names=["src", "dst", "most"])
+
+    parts = told.sparkSession.sparkContext.defaultParallelism
+    spread = told.select("src", "dst", "w", *lists).repartition(parts, "src", "dst")
+    return scratch.store(spread.mapInArrow(run, "src long, dst long, most double"))
+
+
+def _expanded(a: pa.Array, b: pa.Array, w: np.ndarray):
+    """(rows, smaller id, larger id, weight, place where a row begins) of all pairs of the two lists of a row, in pieces."""
+    starts, ids = [x.offsets.to_numpy() for x in (a, b)], [x.values.to_numpy() for x in (a, b)]
+    size_a, size_b = (np.diff(x).astype(np.int64) for x in starts)
+    held = np.cumsum(size_a * size_b)
+    at = 0
+    while at < len(w):
+        end = max(at + 1, int(np.searchsorted(held, (held[at - 1] if at else 0) + CHUNK_PAIRS, "right")))
+        rows = np.arange(at, end)
+        count = size_a[rows] * size_b[rows]
+        row = np.repeat(rows, count)
+        first = np.cumsum(count) - count
+        place = np.arange(len(row)) - np.repeat(first, count)
+        u, v = ids[0][starts[0][row] + place // size_b[row]], ids[1][starts[1][row] + place % size_b[row]]
+        yield rows, np.minimum(u, v), np.maximum(u, v), w[row], first
+        at = end
+
+
+def _clusters_of_levels(
+    scratch: Scratch, places: DataFrame, tree: Stored, longest: float, limits: Limits
+) -> tuple[DataFrame, list[float]]:
+    """(id, l0, l1, ...): the cluster of every place that the edges up to some length make, from long to short."""
+    if tree.rows > limits.finish_edges:
+        labels, levels = places.select("id"), [longest * share for share in LEVELS]
+        for i, level in enumerate(levels):
+            comps = connected_components(tree.df.where(F.col("most") <= level), places.select("id"), limits)
+            labels = labels.join(comps.select("id", F.col("comp").alias(f"l{i}")), "id")
+        return labels, levels
+    levels = [longest * share for share in FINE_LEVELS]
+    names = [f"l{i}" for i in range(len(levels))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
+        if not cols:
+            return
+        src, dst, most = (np.concatenate(c) for c in zip(*cols))
+        ids = np.unique(np.r_[src, dst])
+        labels = []
+        for level in levels:
+            near = most <= level
+            some, lowest = kernels.component_labels(src[near], dst[near])
+            label = ids.copy()
+            label[np.searchsorted(ids, some)] = lowest
+            labels.append(pa.array(label))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *labels], names=["id", *names])
+
+    told = scratch.store(tree.df.coalesce(1).mapInArrow(run, ", ".join(f"{c} long" for c in ["id", *names])), small=True)
+    found = places.select("id").join(told.df, "id", "left")
+    return found.select("id", *[F.coalesce(c, "id").alias(c) for c in names]), levels
+
+
+def _near_by_levels(
+    points: DataFrame, gamma: float, seeds: list, metric: str, dim: int, tree: DataFrame, limits: Limits
+) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, w): lists of copies of two places whose pairs the forest ``tree`` doesn't keep out of a perturbed one;
+    and (src, dst): the links of copies, which weigh nothing in any run.
+
+    Two points of a cluster that steps up to some length make are connected by no longer ones in all runs, so their
+    pair matters only if a draw can make it that light.
+    """
+    scratch = Scratch(points.sparkSession, "levels")
+    xs, axes = grid._axes(dim)
+    own = scratch.store(grid._coordinates(points, dim).distinct())
+    lists = own.df.groupBy(*xs, F.expr(f"pmod(xxhash64(id), {HASHED})").alias("_hash")).agg(
+        F.array_sort(F.collect_list("id")).alias("ids")
+    )
+    lists = scratch.store(lists)
+    places = scratch.store(
+        lists.df.groupBy(*xs).agg(
+            F.min(F.col("ids")[0]).alias("id"),
+            F.sum(F.size("ids")).alias("n"),
+            F.slice(F.flatten(F.collect_list(F.slice("ids", 1, BOUND_COPIES))), 1, BOUND_COPIES).alias("some"),
+        )
+    )
+    # a place is known by its smallest id
+    narrow = Limits(limits.broadcast_rows // BOUND_COPIES, limits.pointer_rows, limits.finish_edges, limits.heavy_share)
+    bounds = _bounded_tree(scratch, places.df, places.rows, tree, gamma, seeds, narrow)
+    longest = bounds.df.agg(F.max("most")).first()[0]
+    zero = None
+    if places.rows < own.rows:
+        by_place = places.df.where("n > 1").select(*xs, F.col("id").alias("src"))
+        zero = own.df.join(by_place, xs).where(F.col("id") != F.col("src")).select("src", F.col("id").alias("dst"))
+    labels, levels = _clusters_of_levels(scratch, places.df, bounds, longest or 0.0, limits)
+    names = [f"l{i}" for i in range(len(levels))]
+    stretch = (1.0 + ROUNDING) / (1.0 - gamma)
+    reach = (longest or 1.0) * stretch
+    cut = F.transform(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(LISTED)), lambda i: F.slice("ids", i + 1, LISTED))
+    placed = places.df.select("id", *xs).join(labels, "id")
+    units = lists.df.join(placed, xs).select("id", *xs, *names, F.explode(cut).alias("ids"))
+    cells = [F.floor(F.col(x) / (reach * (1.0 + ROUNDING))).cast("long").alias(c) for x, c in zip(xs, axes)]
+    units = scratch.store(units.select("*", *cells))
+    crowded = grid._crowded(units.df, units.rows, axes, grid.CELL_ROWS)
+    half = [o for o in itertools.product((-1, 0, 1), repeat=dim) if o >= (0,) * dim]
+    keys = [*axes, "_salt"]
+    # few bytes can be many pairs
+    parts = min(max(4 * points.sparkSession.sparkContext.defaultParallelism, units.rows // TASK_ROWS), MAX_TASKS)
+
+    def side(df: DataFrame, prefix: str, *more: str) -> DataFrame:
+        named = [F.col(c).alias(prefix + c) for c in ["id", *xs, *names, "ids"]]
+        return df.select(*keys, *more, *named).repartition(parts, *keys)
+
+    most = F.lit(reach)
+    for name, level in zip(names, levels):
+        same = F.col(f"a{name}") == F.col(f"b{name}")
+        most = F.when(same, F.lit(level * stretch)).otherwise(most)
+    near = (
+        side(grid._dealt(units.df, crowded, axes), "a")
+        .join(side(grid._looking(units.df, crowded, axes, half), "b", "_own"), keys)
+        .where(F.when(F.col("_own"), F.col("aid") < F.col("bid")).otherwise(F.col("aid") != F.col("bid")))
+        .withColumn("w", grid._pair_distance(xs, metric))
+        .where((F.col("w") <= reach) & (F.col("w") <= most))
+        .select(F.col("aids").alias("a"), F.col("bids").alias("b"), "w")
+    )
+    return near, zero
+
+
 def perturbed_forests(
-    vertices: DataFrame, gamma: float, seeds: list, longest: float, metric: str = "euclidean"
+    vertices: DataFrame,
+    gamma: float,
+    seeds: list,
+    longest: float,
+    metric: str = "euclidean",
+    tree: DataFrame | None = None,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """(run, src, dst, w): edges that contain every run's minimum spanning forest of the perturbed complete graph.
 
     ``longest`` is the longest edge of the unperturbed forest. No path of that forest gets heavier than
     (1 + gamma) * longest, and a pair that is farther than (1 + gamma) / (1 - gamma) * longest stays
     heavier than that, so it closes a cycle as its heaviest edge. Only nearer pairs are met; a
-    task draws their weights for every run and keeps one forest a run.
+    task draws their weights for every run and keeps one forest a run. With the forest itself (``tree``) shorter
+    paths keep out more in few dimensions (``_near_by_levels``).
     """
-    reach = longest * (1.0 + gamma) / (1.0 - gamma) * (1.0 + ROUNDING)
+    points = finite(vertices).where("id is not null")
+    dim = dimension(points) if tree is not None and metric in grid.GRID_METRICS else 0
+    if 0 < dim <= grid.GRID_DIMENSIONS:
+        seen = grid._coordinates(points, dim).distinct().agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+        dim = dim if seen[0] == seen[1] else 0  # an id at two places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = [np.array([], np.int64), np.array([], np.int64), np.array([])]
-        kept, waiting, held = [none] * len(seeds), [], 0
+        kept, waiting, held = [none] * len(seeds), [[] for _ in seeds], 0
 
         def out(n):
             return pa.RecordBatch.from_arrays(
@@ -362,27 +579,46 @@ def perturbed_forests(
             )
 
         def squeeze():
-            lo, hi, w = (np.concatenate([c[i] for c in waiting]) for i in range(3))
-            for n, seed in enumerate(seeds):
-                new = (lo, hi, perturbed(w, lo, hi, gamma, seed))
-                cols = [np.concatenate(c) for c in zip(kept[n], new)]
+            for n in range(len(seeds)):
+                cols = [np.concatenate(c) for c in zip(kept[n], *waiting[n])]
                 mask = kernels.forest_mask(*cols)
-                kept[n] = [c[mask] for c in cols]
+                kept[n], waiting[n] = [c[mask] for c in cols], []
 
         for batch in batches:
-            waiting.append([batch.column(i).to_numpy() for i in range(3)])
-            held += batch.num_rows
-            if held >= max(CHUNK_PAIRS, len(kept[0][0])):
-                squeeze()
-                waiting, held = [], 0
-                if sum(len(k[0]) for k in kept) > HELD_EDGES:
-                    for n in range(len(seeds)):
-                        yield out(n)
-                    kept = [none] * len(seeds)
-        if waiting:
+            for _, lo, hi, w, first in _expanded(batch.column(0), batch.column(1), batch.column(2).to_numpy()):
+                for n, seed in enumerate(seeds):
+                    waiting[n].append(_lightest_of_rows(lo, hi, perturbed(w, lo, hi, gamma, seed), first))
+                held += len(first)
+                if held >= max(CHUNK_PAIRS, len(kept[0][0])):
+                    squeeze()
+                    held = 0
+                    if sum(len(k[0]) for k in kept) > HELD_EDGES:
+                        for n in range(len(seeds)):
+                            yield out(n)
+                        kept = [none] * len(seeds)
+        if held:
             squeeze()
         for n in range(len(seeds)):
             yield out(n)
 
-    near = eps_join(vertices, reach, metric).select("src", "dst", "w")
-    return near.mapInArrow(run, "run int, src long, dst long, w double")
+    kind = "run int, src long, dst long, w double"
+    if not 0 < dim <= grid.GRID_DIMENSIONS:
+        near = eps_join(vertices, longest * (1.0 + gamma) / (1.0 - gamma) * (1.0 + ROUNDING), metric)
+        return near.select(F.array("src").alias("a"), F.array("dst").alias("b"), "w").mapInArrow(run, kind)
+    near, zero = _near_by_levels(points, gamma, seeds, metric, dim, tree, limits)
+    drawn = near.mapInArrow(run, kind)
+    if zero is None:
+        return drawn
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(len(seeds) - 1))).alias("run")
+    return drawn.unionByName(zero.select(numbers, "src", "dst", F.lit(0.0).alias("w")))
+
+
+def _lightest_of_rows(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The lightest pair of every row, ties by id: copies are linked by edges that weigh nothing, so no other is in a forest."""
+    if len(first) == len(w):
+        return lo, hi, w
+    row = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(w)]))
+    best = np.flatnonzero(w == np.minimum.reduceat(w, first)[row])
+    best = best[np.lexsort((hi[best], lo[best], row[best]))]
+    best = best[kernels.places_in_groups(row[best]) == 0]
+    return lo[best], hi[best], w[best]

@@ -10,7 +10,7 @@ from ..lookup import DEFAULT_LIMITS, Limits, lookup
 from ..operators.agglomerate import RUN_BITS, Hierarchy, agglomerate, run_of, tag_run, untag
 from ..operators.components import connected_components
 from ..operators.features import make_vertices, select_features
-from ..operators.forest import PLANAR_ROWS, complete_forest, cut_heaviest
+from ..operators.forest import FOREST_EDGES, PLANAR_ROWS, bucket_forests, complete_forest, cut_heaviest
 from ..operators.pairs import (
     all_pairs,
     complete_forest_candidates,
@@ -139,9 +139,10 @@ def stability_runs(
     if whole and n > near_rows and 0.0 <= gamma < 1.0:
         # pairs that are much longer than any edge of the plain forest are in no perturbed one
         tree = complete_forest(vertices, limits=limits, planar_rows=near_rows, line_rows=near_rows).edges
+        tree = scratch.store(tree).df
         longest = tree.agg(F.max("w")).first()[0]
     if longest:
-        drawn = perturbed_forests(vertices, gamma, list(range(runs)), longest)
+        drawn = perturbed_forests(vertices, gamma, list(range(runs)), longest, tree=tree, limits=limits)
     else:
         drawn = perturbed_graph(vertices, gamma, list(range(runs)), None if whole else k)
     graph = scratch.store(drawn.withColumns({"_a": F.col("src"), "_b": F.col("dst")}))
@@ -157,6 +158,9 @@ def stability_runs(
     tagged = placed.select(
         tag_run(F.col("_a"), F.col("run")).alias("src"), tag_run(F.col("_b"), F.col("run")).alias("dst"), "w"
     )
+    if longest and n <= FOREST_EDGES:
+        # the forests of the tasks are many edges more than one of each run
+        tagged = bucket_forests(tagged, run_of(F.col("src")), runs)
     arcs = edges_to_arcs(tagged) if whole else k_nearest_per_vertex(tagged, k)
     everyone = ids.select("id", numbers).select(
         tag_run(F.col("id"), F.col("_run")).alias("id")

@@ -4,8 +4,11 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from grovelink.operators import components, forest, kernels, pairs, pivots, stats
+from grovelink.functions.hashing import hashed_uniform
+from grovelink.lookup import Limits
+from grovelink.operators import components, forest, kernels, pairs, perturbed, pivots, stats
 from grovelink.plans import graphs
 from grovelink.scratch import Scratch
 
@@ -142,3 +145,32 @@ def test_stability_from_near_pairs(make, monkeypatch):
     monkeypatch.setattr(graphs, "perturbed_graph", None)
     got = {tuple(r) for r in graphs.stability_runs(points, 4, near_rows=0).collect()}
     assert got == want and len(got) == 4 * 105
+
+
+def test_draws_of_whole_arrays_are_those_of_the_rows(spark):
+    rng = np.random.default_rng(4)
+    a = np.r_[[0, 9, 10, 99, 100, 10**18, 2**63 - 1], 10 ** rng.integers(0, 18, 300) - rng.integers(0, 2, 300)].astype(np.int64)
+    b = np.r_[[2**63 - 1, 0, 10**18 - 1], rng.integers(0, 2**62, 304)].astype(np.int64)
+    rows = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")
+    for seed in (0, 7, "s/1", "a seed that is too long for one block", -3):
+        want = [r[0] for r in rows.select(hashed_uniform(seed, "a", "b")).collect()]
+        assert perturbed.draws(seed, a, b).tolist() == want
+        assert perturbed.draws(seed, -a, b).tolist()[3] != want[3]
+
+
+def test_copies_of_places_are_drawn_in_lists(make, monkeypatch):
+    # places far apart with many copies, a line of close points, lists that are cut
+    points = [[100.0 * (i % 4), 70.0 * (i // 4)] for i in range(8)] * 9 + [[1000.0 + i * i / 7, 5.0] for i in range(30)]
+    table = make.points(points)
+    want = {tuple(r) for r in graphs.stability_runs(table, 3).collect()}
+    monkeypatch.setattr(perturbed, "HASHED", 2)
+    monkeypatch.setattr(perturbed, "LISTED", 3)
+    drawn = []
+    near = perturbed._near_by_levels
+    monkeypatch.setattr(perturbed, "_near_by_levels", lambda *a: drawn.append(near(*a)) or drawn[-1])
+    limits = Limits(finish_edges=0)  # the levels of a large tree
+    got = {tuple(r) for r in graphs.stability_runs(table, 3, near_rows=0, limits=limits).collect()}
+    assert got == want and len(got) == 3 * 102
+    # of 5,151 pairs the 288 of copies aren't drawn, nor are those that shorter steps connect
+    pairs, zero = drawn[0]
+    assert pairs.select(F.sum(F.size("a") * F.size("b"))).first()[0] < 4000 and zero.count() == 64
