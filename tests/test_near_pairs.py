@@ -174,3 +174,14 @@ def test_copies_of_places_are_drawn_in_lists(make, monkeypatch):
     # of 5,151 pairs the 288 of copies aren't drawn, nor are those that shorter steps connect
     pairs, zero = drawn[0]
     assert pairs.select(F.sum(F.size("a") * F.size("b"))).first()[0] < 4000 and zero.count() == 64
+
+
+def test_blocks_of_several_pieces_give_the_same_forest(make, monkeypatch):
+    points = make.points(rows_of(6, 200).round(1))
+    sizes = []
+    inner = pairs._block_pairs
+    monkeypatch.setattr(pairs, "_block_pairs", lambda v, size, rows: sizes.append(size) or inner(v, size, rows))
+    want = forest.complete_forest(points, block_rows=1000).edges
+    got = forest.complete_forest(points, block_rows=4).edges
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    assert sizes == [1000, 4 * (302 // 64)] and 302 // 64 > 1
